@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions: they take and return columns and stay in the JVM."""

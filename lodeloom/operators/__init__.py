@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators: they take and return DataFrames."""
