@@ -32,7 +32,7 @@ ITEMS_AT_ONCE = 4000
 #: Word pairs whose counts are kept at once.
 RUN = 1 << 14
 #: Windows of n words begin at every max(1, n // STEP)-th word.
-STEP = 8
+STEP = 6
 
 
 @dataclass
