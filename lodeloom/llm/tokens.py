@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Parts that a worker remembers; beyond that it starts afresh.
-MEMORY = 600_000
+MEMORY = 1_000_000
 #: An unsigned 32-bit item of an array; ids are little-endian, as are the machines.
 WORD = "I"
 assert pack(WORD).itemsize == 4 and sys.byteorder == "little"
@@ -31,6 +31,21 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: ASCII marks that form a token run of their own after a word (an apostrophe may not: it can begin a suffix).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+#: How the vocabulary writes a space.
+SPACE = chr(256 + 32)
+
+
+def _byte_letters() -> dict[int, str]:
+    """What a byte-level vocabulary writes for each byte: itself if printable, else the next letter from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 class Encoder:
     """``encode(texts)``: each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -39,36 +54,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.word = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.known) + len(parts) > MEMORY:
-            self.known.clear()
-        # A comma or full stop after a letter is a token of its own, so "word," needs only "word".
-        tailed = {p for p in parts if len(p) > 2 and p[-1] in ",." and p[-2].isalpha()}
-        new = list((parts - tailed) | {p[:-1] for p in tailed}.difference(self.known) | {",", "."}.difference(self.known))
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
+    def _one_word(self, part: str) -> bytes:
+        """A space, if any, and letters are one word to the vocabulary: straight to its merges."""
+        shown = part.replace(" ", SPACE) if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return pack(WORD, [t.id for t in self.word(shown)]).tobytes()
+
+    def _learn(self, parts: set[str], cut: bool) -> bool:
+        """Remember the ids of new parts; False if some part is not cut where the vocabulary would cut."""
+        known = self.known
+        if len(known) + len(parts) > MEMORY:
+            known.clear()
+        tailed, other = [], []
+        for p in parts:
+            if (p[1:] if p[:1] == " " else p).isalpha():
+                known[p] = self._one_word(p)
+                continue
+            core = p.rstrip(MARKS)
+            if (core[1:] if core[:1] == " " else core).isalpha():
+                tailed.append((p, core, p[len(core) :]))
+            elif not cut and (p in ("", " ") or p[-1].isspace() or p[1:2].isspace() or (p[0] != " " and p[0].isspace())):
+                return False
+            else:
+                other.append(p)
+        for p, core, tail in tailed:
+            if core not in known:
+                known[core] = self._one_word(core)
+            if tail not in known:
+                known[tail] = pack(WORD, self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
+            known[p] = known[core] + known[tail]
+        for lo in range(0, len(other), 4096):
+            some = other[lo : lo + 4096]
             for part, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = pack(WORD, got.ids).tobytes()
-        for part in tailed:
-            self.known[part] = self.known[part[:-1]] + self.known[part[-1]]
+                known[part] = pack(WORD, got.ids).tobytes()
+        return True
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         head, *rest = text.split(" ")
-        rest = [" " + p for p in rest]
-        parts = [head, *rest]
+        parts = [head, *[" " + p for p in rest]]
         new = set(parts).difference(self.known)
-        # A part that is blank or has white space at an end is never remembered as such: cut properly.
-        if any(p == " " or not p or p[-1].isspace() or p[1:2].isspace() or (p[0] != " " and p[0].isspace()) for p in new):
+        # Blank parts and those with white space at an end are never remembered, so they show up as new.
+        if new and not self._learn(new if len(self.known) + len(new) <= MEMORY else set(parts), False):
             parts = _CUT.split(text)
             new = set(parts).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > MEMORY:
-                new = set(parts)
-            self._learn(new)
+            self._learn(new if len(self.known) + len(new) <= MEMORY else set(parts), True)
         return b"".join(map(self.known.__getitem__, parts))
 
 

@@ -25,7 +25,7 @@ from .tokens import END, encoder, vocabulary
 
 U64 = np.uint64
 #: Ids under the rolling hash; mean, least and most ids of a chunk.
-WINDOW, MEAN, LEAST, MOST = 8, 256, 32, 2048
+WINDOW, MEAN, LEAST, MOST = 4, 256, 32, 2048
 #: Digests of chunks that a task has sent already (so that it need not send them again).
 SENT = 200_000
 RECIPE = "doc_id long, n_tokens long, n_chunks int, root binary, digests array<binary>, ends array<long>"
