@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import words as w
 from .store import Scratch
 
 U64 = np.uint64
 LEAST, GRAM = 50, 8
+#: A hash with a larger share of all suffixes than 1/HOT is looked up in a list.
+HOT = 200
 #: Different suffixes before and after each that it is compared with.
 NEIGHBOURS = 8
 #: Rows that are compared at once.
@@ -284,6 +287,19 @@ def _join_spans(spans: F.Column) -> F.Column:
     return F.aggregate(F.sort_array(spans), zero, step, last)
 
 
+def _frequent(chosen: DataFrame, scratch: Scratch) -> DataFrame:
+    """Suffixes whose first words occur more than once.
+
+    A hash with over 1/HOT of all suffixes would make a hot key; there are
+    fewer than HOT of them, so they are a list of literals and the others are joined.
+    """
+    often = scratch.keep(chosen.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    large = F.col("n") * HOT > chosen.count()
+    hot = F.col("gram").isin([r["gram"] for r in often.filter(large).select("gram").collect()])
+    rest = chosen.filter(~hot).join(often.filter(~large).select("gram"), "gram", "left_semi")
+    return chosen.filter(hot).select(*chosen.columns).unionByName(rest).select("doc_id", "text_hash", "place")
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """``doc_id, text_hash, spans, later``: for each text with a passage of ``least`` words that occurs elsewhere too.
 
@@ -299,8 +315,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = LEAST, gra
     chosen = scratch.keep(
         texts.mapInArrow(_choose(least, gram), "doc_id long, text_hash long, place int, gram long"), "chosen"
     )
-    often = chosen.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    places = chosen.join(often, "gram", "left_semi").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    places = _frequent(chosen, scratch).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
     suffixes = (
         texts.join(places, ["doc_id", "text_hash"])
         .dropDuplicates(["doc_id", "text_hash"])
@@ -348,7 +363,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, least: int = LEAST, gra
     """
     spans = repeated_spans(spark, docs, least, gram).select("doc_id", F.col("text_hash").alias("_hash"), "later")
     marked = docs.withColumn("_hash", F.xxhash64("text")).join(spans, ["doc_id", "_hash"], "left").drop("_hash").select(*docs.columns, "later")
-    schema = docs.schema.add("later", spans.schema["later"].dataType)
+    schema = StructType([*docs.schema.fields, spans.schema["later"]])  # add() would change the frame's own schema
     out = marked.mapInArrow(_cut, schema).filter("later is null or size(later) = 0 or trim(translate(text, '\t\n\x0b\x0c\r', '')) <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("later") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
