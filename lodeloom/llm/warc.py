@@ -176,25 +176,34 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
             yield path.as_py(), content.as_py()
 
 
-def _read_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows():
-        for path, content in _files(batches):
-            for r in parse_arc(content):
-                if r["URL"].startswith("filedesc:"):
-                    continue
+def _arc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for path, content in _files(batches):
+        for r in parse_arc(content):
+            if not r["URL"].startswith("filedesc:"):
                 head, payload = split_http(r["block"])
                 page = _header(head, "X-Page-Id")
                 yield path, r["offset"], int(page) if page else None, r["URL"], r["Archive-date"], r["Content-type"], head, payload
 
+
+def _read_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("captured", pa.string()),
              ("mime", pa.string()), ("head", pa.binary()), ("payload", pa.binary())]
-    yield from _batches(rows(), kinds)
+    yield from _batches(_arc_rows(batches), kinds)
+
+
+def _read_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("captured", pa.string()),
+             ("digest", pa.string()), ("n", pa.int64())]
+    yield from _batches(((*r[:5], sha1_32(r[7]), len(r[7])) for r in _arc_rows(batches)), kinds)
+
+
+def _arc_files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(root).select("path", "content")
 
 
 def read_arc(spark: SparkSession, root: str) -> DataFrame:
     """Records of the ARC files under ``root``: ``file, offset, page_id, url, captured, mime, head, payload``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(root).select("path", "content")
-    return files.mapInArrow(_read_arc, RECORD)
+    return _arc_files(spark, root).mapInArrow(_read_arc, RECORD)
 
 
 def iso_date(date: str) -> str:
@@ -254,14 +263,6 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [x.as_py() for x in batch.column("payload")]
-        out = batch.select(["file", "offset", "page_id", "url", "captured"])
-        out = out.append_column("digest", pa.array([sha1_32(x) for x in payloads], pa.string()))
-        yield out.append_column("n", pa.array([len(x) for x in payloads], pa.int64()))
-
-
 def convert(spark: SparkSession, arcs: str, warcs: str, scratch: Scratch, min_bytes: int = 0) -> None:
     """Convert the ARC files under ``arcs`` to WARC files under ``warcs``.
 
@@ -272,8 +273,8 @@ def convert(spark: SparkSession, arcs: str, warcs: str, scratch: Scratch, min_by
     """
     records = read_arc(spark, arcs)
     small = scratch.keep(
-        records.select("file", "offset", "page_id", "url", "captured", "payload").mapInArrow(
-            _digests, "file string, offset long, page_id long, url string, captured string, digest string, n long"
+        _arc_files(spark, arcs).mapInArrow(
+            _read_digests, "file string, offset long, page_id long, url string, captured string, digest string, n long"
         ),
         "digests",
     )
