@@ -17,7 +17,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import Scratch
@@ -25,7 +25,7 @@ from .tokens import END, encoder, vocabulary
 
 U64 = np.uint64
 #: Ids under the rolling hash; mean, least and most ids of a chunk.
-WINDOW, MEAN, LEAST, MOST = 4, 256, 32, 2048
+WINDOW, MEAN, LEAST, MOST = 4, 512, 64, 4096
 #: Digests of chunks that a task has sent already (so that it need not send them again).
 SENT = 200_000
 RECIPE = "doc_id long, n_tokens long, n_chunks int, root binary, digests array<binary>, ends array<long>"
@@ -44,33 +44,28 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one stream of ids."""
-    n = len(ids)
-    x = ids.astype(U64)
-    x = (x + U64(1)) * U64(0x9E3779B97F4A7C15)
+def candidates(ids: np.ndarray) -> np.ndarray:
+    """Ends that the rolling hash proposes. Only the last WINDOW ids count, so streams may stand one after the other:
+    what reaches into the stream before lies within the first LEAST ids, where no chunk ends."""
+    x = (ids.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)
     x ^= x >> U64(29)
-    rolled = np.zeros(n, dtype=U64)
-    odd = 1
-    for j in range(WINDOW):
-        if j < n:
-            rolled[j:] += x[: n - j] * U64(odd)
+    rolled, odd = x.copy(), 1
+    for j in range(1, min(WINDOW, len(ids))):
         odd = odd * 0xD6E8FEB86659FD93 % (1 << 64)
+        rolled[j:] += x[:-j] * U64(odd)
+    return np.flatnonzero((rolled >> U64(40)) % U64(MEAN) == 0) + 1
+
+
+def cuts(proposed: list[int], n: int) -> list[int]:
+    """Ends of the chunks of one stream of n ids: proposed ones that leave LEAST to MOST ids, and its end."""
     ends, last = [], 0
-    for at in (np.flatnonzero((rolled >> U64(40)) % U64(MEAN) == 0) + 1).tolist():
-        if at - last < LEAST:
-            continue
+    for at in [*proposed, n]:
         while at - last > MOST:
             last += MOST
             ends.append(last)
-        if at - last >= LEAST or at == n:
+        if at - last >= LEAST or (at == n and at > last):
             ends.append(at)
             last = at
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    if last < n:
-        ends.append(n)
     return ends
 
 
@@ -81,22 +76,28 @@ def _split(path: str, wide: bool):
         encode, sent = encoder(path).encode, set()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.frombuffer(encode(text.as_py()) + END, dtype="<u4")
-                stored = ids if wide else ids.astype("<u2")
-                names, ends, last = [], [], 0
-                for end in cuts(ids):
-                    content = stored[last:end].tobytes()
+            streams = [encode(x.as_py()) + END for x in batch.column("text")]
+            ids = np.frombuffer(b"".join(streams), dtype="<u4")
+            at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in streams]))).astype(np.int64)
+            proposed = candidates(ids)
+            of = np.searchsorted(proposed, at, side="right").tolist()
+            width = 4 if wide else 2
+            stored = memoryview(ids.astype("<u4" if wide else "<u2").tobytes())
+            for k, doc in enumerate(batch.column("doc_id").to_pylist()):
+                base, n = int(at[k]), int(at[k + 1] - at[k])
+                ends = cuts((proposed[of[k] : of[k + 1]] - base).tolist(), n)
+                names, last = [], 0
+                for end in ends:
+                    content = stored[(base + last) * width : (base + end) * width]
                     names.append(digest(content))
-                    ends.append(end)
                     last = end
                     if names[-1] not in sent:
                         if len(sent) >= SENT:
                             sent.clear()
                         sent.add(names[-1])
-                        rows.append((names[-1], content, None, None, None, None, None))
+                        rows.append((names[-1], bytes(content), None, None, None, None, None))
                 root = merkle(names)
-                rows.append((root, None, doc, len(ids), root, names, ends))
+                rows.append((root, None, doc, n, root, names, ends))
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             names = ["key", "content", "doc_id", "n_tokens", "root", "digests", "ends"]
@@ -105,21 +106,6 @@ def _split(path: str, wide: bool):
     return run
 
 
-def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, each chunk once; recipes as they are."""
-    last = None
-    for batch in batches:
-        is_recipe = batch.column("content").is_null().to_numpy(zero_copy_only=False)
-        keep = []
-        for i, key in enumerate(batch.column("key").to_pylist()):
-            if is_recipe[i]:
-                keep.append(i)
-            elif key != last:
-                keep.append(i)
-                last = key
-        yield batch.take(pa.array(keep, pa.int64()))
-
-
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Running count of ids within a file."""
     seen = 0
@@ -142,8 +128,10 @@ def write_store(spark: SparkSession, docs: DataFrame, root: str, path: str | Non
     wide = Tokenizer.from_file(path).get_vocab_size() > 1 << 16
     schema = "key binary, content binary, doc_id long, n_tokens long, root binary, digests array<binary>, ends array<long>"
     rows = docs.select("doc_id", "text").mapInArrow(_split(path, wide), schema)
-    salt = F.when(F.col("content").isNull(), F.col("doc_id"))  # one root may belong to many documents
-    rows = rows.repartition(F.col("key"), salt).sortWithinPartitions(F.col("content").isNotNull(), "key").mapInArrow(_unique, schema)
+    # Of each chunk one row stays; recipes, of which one root may belong to many, are told apart by their document.
+    rows = rows.withColumn("own", F.when(F.col("content").isNull(), F.coalesce("doc_id", F.lit(-1))))
+    place = F.row_number().over(Window.partitionBy("key", "own").orderBy("key"))
+    rows = rows.withColumn("place", place).filter("place = 1 or content is null").drop("place", "own")
     rows = rows.withColumn("kind", F.when(F.col("content").isNull(), "recipe").otherwise("chunk"))
     rows.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{root}/raw")
 
