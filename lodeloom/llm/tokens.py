@@ -56,54 +56,69 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.word = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        #: Ids of parts that follow a single space (which is in the ids, not in the key), and of any other text.
+        self.after: dict[str, bytes] = {}
+        self.alone: dict[str, bytes] = {}
 
-    def _one_word(self, part: str) -> bytes:
-        """A space, if any, and letters are one word to the vocabulary: straight to its merges."""
-        shown = part.replace(" ", SPACE) if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+    def _ids(self, text: str) -> bytes:
+        return pack(WORD, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _one_word(self, word: str) -> bytes:
+        """A space and letters are one word to the vocabulary: straight to its merges."""
+        shown = SPACE + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
         return pack(WORD, [t.id for t in self.word(shown)]).tobytes()
 
-    def _learn(self, parts: set[str], cut: bool) -> bool:
-        """Remember the ids of new parts; False if some part is not cut where the vocabulary would cut."""
-        known = self.known
-        if len(known) + len(parts) > MEMORY:
-            known.clear()
-        tailed, other = [], []
+    def _learn(self, parts: set[str]) -> bool:
+        """Remember the ids of parts after a space; False if some part is not cut where the vocabulary would cut."""
+        after, other = self.after, []
         for p in parts:
-            if (p[1:] if p[:1] == " " else p).isalpha():
-                known[p] = self._one_word(p)
+            if p.isalpha():
+                after[p] = self._one_word(p)
                 continue
             core = p.rstrip(MARKS)
-            if (core[1:] if core[:1] == " " else core).isalpha():
-                tailed.append((p, core, p[len(core) :]))
-            elif not cut and (p in ("", " ") or p[-1].isspace() or p[1:2].isspace() or (p[0] != " " and p[0].isspace())):
+            if core.isalpha():
+                if core not in after:
+                    after[core] = self._one_word(core)
+                after[p] = after[core] + self._rest(p[len(core) :])
+            elif not p or p[0].isspace() or p[-1].isspace():
                 return False
             else:
                 other.append(p)
-        for p, core, tail in tailed:
-            if core not in known:
-                known[core] = self._one_word(core)
-            if tail not in known:
-                known[tail] = pack(WORD, self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
-            known[p] = known[core] + known[tail]
         for lo in range(0, len(other), 4096):
             some = other[lo : lo + 4096]
-            for part, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[part] = pack(WORD, got.ids).tobytes()
+            for part, got in zip(some, self.tokenizer.encode_batch_fast([" " + p for p in some], add_special_tokens=False), strict=True):
+                after[part] = pack(WORD, got.ids).tobytes()
         return True
 
+    def _rest(self, text: str) -> bytes:
+        """Any other text, remembered."""
+        if text not in self.alone:
+            if len(self.alone) >= MEMORY // 10:
+                self.alone.clear()
+            self.alone[text] = self._ids(text)
+        return self.alone[text]
+
+    def _all_after(self, parts: list[str]) -> bool:
+        """Make sure that all parts are remembered."""
+        new = set(parts).difference(self.after)
+        if new and len(self.after) + len(new) > MEMORY:
+            self.after.clear()
+            new = set(parts)
+        return not new or self._learn(new)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         head, *rest = text.split(" ")
-        parts = [head, *[" " + p for p in rest]]
-        new = set(parts).difference(self.known)
         # Blank parts and those with white space at an end are never remembered, so they show up as new.
-        if new and not self._learn(new if len(self.known) + len(new) <= MEMORY else set(parts), False):
-            parts = _CUT.split(text)
-            new = set(parts).difference(self.known)
-            self._learn(new if len(self.known) + len(new) <= MEMORY else set(parts), True)
-        return b"".join(map(self.known.__getitem__, parts))
+        if head and not head[-1].isspace() and self._all_after(rest):
+            return self._rest(head) + b"".join(map(self.after.__getitem__, rest))
+        head, *rest = _CUT.split(text)
+        out = [self._rest(head) if head else b""]
+        plain = [p[1:] for p in rest if not any(map(str.isspace, p[1:]))]
+        self._all_after(plain)
+        out += [self.after[p[1:]] if p[1:] in self.after else self._ids(p) for p in rest]
+        return b"".join(out)
 
 
 @lru_cache(2)
