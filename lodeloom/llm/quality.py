@@ -85,7 +85,24 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _rows(texts: pa.Array) -> np.ndarray:
     data, offsets = w.raw(texts)
     parts = [statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in w.slices(offsets)]
-    return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)))
+    return (np.concatenate(parts) if parts else np.zeros((0, len(NAMES)))).astype(np.float32)
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = _rows(batch.column("text"))
+        stats = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), stats], names=["doc_id", "stats"])
+
+
+def document_statistics(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, stats``: the statistics of each row, written once; what follows moves these few numbers and no text."""
+    rows = docs.select("doc_id", "text").mapInArrow(_vectors, "doc_id long, stats array<float>")
+    return scratch.keep(rows, "statistics")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64)
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +110,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d = len(NAMES)
     sums = {}
     for batch in batches:
-        x, y = _rows(batch.column("text")), batch.column("label").to_numpy(zero_copy_only=False)
+        x, y = _matrix(batch.column("stats")), batch.column("label").to_numpy(zero_copy_only=False)
         for label in np.unique(y):
             own = x[y == label]
             n, s, p = sums.get(label, (0, np.zeros(d), np.zeros((d, d))))
@@ -146,13 +163,13 @@ def fit(sums: dict[int, tuple[float, np.ndarray]]) -> Model:
     return Model(np.array([mean[0], mean[1]]), np.array(factors), np.array(dets), priors)
 
 
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
-    """Model of ``labels(doc_id, label)`` over the texts of ``docs(doc_id, text)``: sums over all rows, no sample.
+def learn(known: DataFrame, labels: DataFrame) -> Model:
+    """Model of ``labels(doc_id, label)`` over ``known(doc_id, stats)``: sums over all rows, no sample.
 
     Rows with a null id or label, and labels other than 0 and 1, teach nothing.
     """
-    rows = docs.select("doc_id", "text").join(labels.filter("label in (0, 1)").select("doc_id", F.col("label").cast("int")), "doc_id")
-    parts = rows.select("text", "label").mapInArrow(_moments, "label int, n double, sums array<double>")
+    rows = known.join(labels.filter("label in (0, 1)").select("doc_id", F.col("label").cast("int")), "doc_id")
+    parts = rows.select("stats", "label").mapInArrow(_moments, "label int, n double, sums array<double>")
     width = len(NAMES) * (len(NAMES) + 1)
     added = parts.groupBy("label").agg(F.sum("n").alias("n"), *(F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(width)))
     return fit({r["label"]: (r["n"], np.array(r[2:], dtype=float)) for r in added.collect()})  # two rows
@@ -161,11 +178,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
 def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.score(_rows(batch.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(score)],
-                names=[*(c for c in batch.schema.names if c != "text"), "score"],
-            )
+            score = model.score(_matrix(batch.column("stats")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     return run
 
@@ -182,20 +196,19 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
     an empty one and gets a score too. Without any labels every score is 0.5.
     Repeated rows are scored each; other columns are ignored.
     """
-    Scratch(spark, "quality")
-    known = labels.select("doc_id", F.col("quality").alias("label")).filter(~held_out())
-    model = learn(spark, docs, known)
-    out = docs.select("doc_id", "text").mapInArrow(_scores(model), "doc_id long, score double")
+    stats = document_statistics(docs, Scratch(spark, "quality"))
+    model = learn(stats, labels.select("doc_id", F.col("quality").alias("label")).filter(~held_out()))
+    out = stats.mapInArrow(_scores(model), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` with a score of at least 0.5, all columns as they are (see ``quality_scores``)."""
-    Scratch(spark, "quality")
-    model = learn(spark, docs, labels.select("doc_id", F.col("quality").alias("label")).filter(~held_out()))
+    stats = document_statistics(docs, Scratch(spark, "quality"))
+    model = learn(stats, labels.select("doc_id", F.col("quality").alias("label")).filter(~held_out()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.score(_rows(batch.column("text"))) >= 0.5))
+            yield batch.filter(pa.array(model.score(_rows(batch.column("text")).astype(np.float64)) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
