@@ -12,10 +12,11 @@ import os
 import re
 import sys
 from array import array as pack
-from functools import lru_cache
 
 import numpy as np
 
+from .words import RELEASE
+
 #: Parts that a worker remembers; beyond that it starts afresh.
 MEMORY = 1_000_000
 #: An unsigned 32-bit item of an array; ids are little-endian, as are the machines.
@@ -121,10 +122,16 @@ class Encoder:
         return b"".join(out)
 
 
-@lru_cache(2)
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    return Encoder(path)
+    """One encoder for each worker process, until the worker turns to an operator on words."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+        RELEASE.append(_ENCODERS.clear)
+    return _ENCODERS[path]
 
 
 END = np.zeros(1, dtype="<u4").tobytes()

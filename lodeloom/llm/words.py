@@ -57,12 +57,17 @@ def byte_codes(lower: bool, strip: bool) -> np.ndarray:
     return t
 
 
+#: Called once before words are read: what another operator left in this worker's memory goes.
+RELEASE: list = []
+
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null counts as empty."""
+    while RELEASE:
+        RELEASE.pop()()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
