@@ -12,6 +12,8 @@ from lodeloom.session import ship_package
 
 #: Rows in one Arrow batch handed to Python. Texts are long, so batches are short.
 ARROW_ROWS = 256
+#: Bytes in one, so a run of long texts or sets is several batches (a row of more is its own).
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +35,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lodeloom/{name}-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
         ship_package(spark)
         atexit.register(self._remove, self.root)
 
