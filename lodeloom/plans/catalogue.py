@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodeloom.functions import text as T
 from lodeloom.functions import vectors as V
-from lodeloom.operators import metrics, retrieval, sampling, statistics, tables
+from lodeloom.operators import aspects, metrics, models, retrieval, sampling, statistics, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -697,3 +697,22 @@ def inject_severity(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.concat(F.lit("Severity : "), T.severity(F.col("body")), F.lit("\n"))
     t = _tickets(spark, sf).filter(F.instr("subject", "\n") == 0)
     return t.select("idx", T.insert_after_first_line(F.concat("subject", F.lit("\nrest")), lines).alias("prompt"))
+
+
+# --- span clean-up, heads ------------------------------------------------------------------------
+
+
+@register()
+def span_cleanup(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of each question as its spans and as what may replace them."""
+    said = _pairs(spark, sf).select("pair_id", T.sentences(F.col("question")).alias("s"))
+    spans = said.select("pair_id", "s", *(F.get("s", F.lit(k)).alias(c) for k, c in enumerate(aspects.SPANS)))
+    return aspects.clean_spans(spans, dict.fromkeys(aspects.SPANS, "s")).drop("s")
+
+
+@register()
+def lr_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """A head on the vectors: it learns where the id's crc32 leaves 0 to 2 of 4 and is measured on the others."""
+    e = _read(spark, sf, "embeddings").withColumn("part", F.crc32(F.col("vec_id").cast("string")) % 4)
+    model, names = models.train_head(e.filter("part < 3"), "embedding", "label")
+    return models.evaluate_head(models.predict_head(e.filter("part = 3"), "embedding", model, names), "label", "predicted")
