@@ -1,12 +1,13 @@
-"""Repeated passages by sparse suffix arrays.
-
-Suffixes begin only at minimisers: of each LEAST - GRAM + 1 successive runs of
-GRAM words the one with the smallest hash. Two equal passages of LEAST words
-pick the same place within them, so each holds a suffix of the other's.
-Suffixes whose first GRAM words occur once are dropped by a count of hashes.
-The others are sorted over the whole corpus, neighbours are compared to the
-right and then extended to the left, and a match of LEAST words or more marks
-both passages. Longer passages hold more minimisers; their marks join up.
+"""Repeated passages by minimisers, spans and windows.
+
+Of each LEAST - GRAM + 1 successive runs of GRAM words the one with the
+smallest hash is a minimiser. Every window of LEAST words has one, at the same
+place in all its copies, and the windows of one minimiser follow each other:
+together they are its span. Spans are grouped by their whole content, which
+settles all copies but the first of each group. Windows are compared one by one
+only for those first spans, and only where the minimiser's words stand in
+several groups. Both groupings are over the whole corpus and exact: each window
+finds all its copies and the earliest of them, however many there are.
 """
 
 from __future__ import annotations
@@ -14,9 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,12 +25,10 @@ from .store import Scratch
 
 U64 = np.uint64
 LEAST, GRAM = 50, 8
-#: A hash with a larger share of all suffixes than 1/HOT is looked up in a list.
+#: A hash with a larger share of all rows than 1/HOT is broadcast.
 HOT = 200
-#: Different suffixes before and after each that it is compared with.
-NEIGHBOURS = 8
-#: Rows that are compared at once.
-ROWS = 1 << 14
+#: Windows that one batch holds.
+ROWS = 1 << 16
 _PLACE = 22  # bits of a place in a slice
 
 
@@ -49,19 +46,35 @@ def _window_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(behind[: n - size + 1], ahead[size - 1 : n])
 
 
-def minimisers(words: w.Words, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in the slice) of the chosen suffixes and the hashes of their first ``gram`` words."""
+def minimisers(words: w.Words, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the slice: their first windows, how many windows each has, and the hashes of the minimisers' words."""
     n = len(words.h)
     if n < least:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     grams = w.shingles(words.h, np.array([0, n]), gram)[0]
     bits = U64(max(_PLACE, int(n).bit_length()))
     keyed = (w.mix(grams) >> bits << bits) | np.arange(len(grams), dtype=U64)  # ties: the first
     lowest = _window_min(keyed, least - gram + 1)
     end = np.repeat(words.at[1:], words.counts)
-    inside = np.arange(len(lowest)) + least <= end[: len(lowest)]
-    at = np.unique(lowest[inside] & U64((1 << int(bits)) - 1)).astype(np.int64)
-    return at, grams[at]
+    at = np.flatnonzero(np.arange(len(lowest)) + least <= end[: len(lowest)])
+    place = (lowest[at] & U64((1 << int(bits)) - 1)).astype(np.int64)
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = place[1:] != place[:-1]
+    first = np.flatnonzero(new)
+    return at[first], np.diff(np.append(first, len(at))), grams[place[first]]
+
+
+class Runs:
+    """Hashes of any runs of a slice's words, by running sums."""
+
+    def __init__(self, words: w.Words):
+        n = len(words.h)
+        up, self.down = w._powers(1 << max(20, int(n).bit_length()))
+        self.sums = np.zeros(n + 1, dtype=U64)
+        np.cumsum(words.h * up[:n], out=self.sums[1:])
+
+    def hashes(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return w.mix((self.sums[start + size] - self.sums[start]) * self.down[start] + np.asarray(size).astype(U64))
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int, w.Words]]:
@@ -74,7 +87,7 @@ def _choose(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, words in _slices(batch.column("text")):
-                at, grams = minimisers(words, least, gram)
+                at, sizes, grams = minimisers(words, least, gram)
                 doc = np.searchsorted(words.at, at, side="right") - 1
                 rows = pa.array(a + doc)
                 yield pa.RecordBatch.from_arrays(
@@ -82,222 +95,103 @@ def _choose(least: int, gram: int):
                         batch.column("doc_id").take(rows),
                         batch.column("text_hash").take(rows),
                         pa.array((at - words.at[doc]).astype(np.int32)),
+                        pa.array(sizes.astype(np.int32)),
                         pa.array(grams.view(np.int64)),
+                        pa.array(Runs(words).hashes(at, sizes + least - 1).view(np.int64)),
                     ],
-                    names=["doc_id", "text_hash", "place", "gram"],
+                    names=["doc_id", "text_hash", "start", "windows", "gram", "span"],
                 )
 
     return run
 
 
-def _contexts(least: int, gram: int):
-    """Words to the right of each place (``least + gram`` of them) and to the left, nearest first; 0 beyond the text."""
-    ahead, behind = least + gram, least - gram
+def _windows(least: int):
+    """A row for each window of the spans ``at`` (place << 32 | windows) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column("places")
+            spans = batch.column("at")
             for a, b, words in _slices(batch.column("text")):
-                some = places.slice(a, b - a)
-                doc = np.repeat(np.arange(b - a), np.diff(some.offsets.to_numpy()))
-                at = some.flatten().to_numpy().astype(np.int64)
-                for lo in range(0, len(at), ROWS):
-                    d, p = doc[lo : lo + ROWS], at[lo : lo + ROWS]
-                    # Numbers of words as they sort: big-endian, never 0.
-                    numbers = ((words.h >> U64(32)) | U64(1)).astype(">u4")
-                    own = words.at[d] + p
-                    right = own[:, None] + np.arange(ahead)
-                    left = own[:, None] - 1 - np.arange(behind)
-                    r = np.where(right < words.at[d + 1][:, None], numbers[np.minimum(right, len(numbers) - 1)], 0).astype(">u4")
-                    le = np.where(left >= words.at[d][:, None], numbers[np.maximum(left, 0)], 0).astype(">u4")
+                some, runs = spans.slice(a, b - a), Runs(words)
+                packed = some.flatten().to_numpy()
+                sizes = packed & 0xFFFFFFFF
+                doc = np.repeat(np.repeat(np.arange(b - a), np.diff(some.offsets.to_numpy())), sizes)
+                place = w._positions(packed >> 32, sizes)
+                for lo in range(0, len(doc), ROWS):
+                    d, p = doc[lo : lo + ROWS], place[lo : lo + ROWS]
                     rows = pa.array(a + d)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            _binary(np.concatenate([r, le], axis=1)),
                             batch.column("doc_id").take(rows),
                             batch.column("text_hash").take(rows),
                             pa.array(p.astype(np.int32)),
+                            pa.array(runs.hashes(words.at[d] + p, least).view(np.int64)),
                         ],
-                        names=["suffix", "doc_id", "text_hash", "place"],
+                        names=["doc_id", "text_hash", "start", "window"],
                     )
 
     return run
 
 
-def _binary(x: np.ndarray) -> pa.Array:
-    size = x.shape[1] * 4
-    offsets = pa.py_buffer((np.arange(len(x) + 1) * size).astype(np.int32))
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, offsets, pa.py_buffer(np.ascontiguousarray(x).tobytes())])
-
-
-def _equal_run(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each two rows; 0 marks the end of a text and equals nothing."""
-    differ = (one != other) | (one == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), one.shape[1])
-
-
-def compare(suffix: np.ndarray, doc: np.ndarray, place: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted rows: words that match to the left and to the right of each, with any row and with an earlier one.
-
-    Two arrays (rows, 2); 0, 0 where no match is long enough. Rows with equal
-    contexts are one run, compared through its first row.
-    """
-    n, ahead = len(suffix), least + gram
-    any_, earlier = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
-    new = np.ones(n, dtype=bool)
-    new[1:] = (suffix[1:] != suffix[:-1]).any(axis=1)
+def _union(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> pa.Array:
+    """For each of ``n`` texts its spans, sorted by start, as one list; touching ones become one."""
+    far = doc << 32
+    reach = np.maximum.accumulate(far + stop) if len(doc) else far
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = far[1:] + start[1:] > reach[:-1]
     first = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    rep, rep_doc, rep_place = suffix[first], doc[first], place[first]
-    found, before = np.zeros((len(first), 2), np.int64), np.zeros((len(first), 2), np.int64)
-    for d in range(1, min(NEIGHBOURS, len(first) - 1) + 1):
-        one, other = rep[:-d], rep[d:]
-        r, le = _equal_run(one[:, :ahead], other[:, :ahead]), _equal_run(one[:, ahead:], other[:, ahead:])
-        long = (r + le >= least) & (r >= gram)
-        match = np.where(long[:, None], np.stack([le, r], axis=1), 0)
-        found[:-d] = np.maximum(found[:-d], match)
-        found[d:] = np.maximum(found[d:], match)
-        later = (rep_doc[d:] > rep_doc[:-d]) | ((rep_doc[d:] == rep_doc[:-d]) & (rep_place[d:] > rep_place[:-d]))
-        before[d:] = np.maximum(before[d:], match * later[:, None])
-        before[:-d] = np.maximum(before[:-d], match * ~later[:, None])
-    any_[:], earlier[:] = found[run], before[run]
-    sizes = np.diff(np.append(first, n))
-    many = sizes[run] > 1
-    r = np.where((suffix[:, :ahead] == 0).any(axis=1), (suffix[:, :ahead] == 0).argmax(axis=1), ahead)
-    le = np.where((suffix[:, ahead:] == 0).any(axis=1), (suffix[:, ahead:] == 0).argmax(axis=1), suffix.shape[1] - ahead)
-    whole = np.stack([le, r], axis=1) * ((le + r >= least) & (r >= gram))[:, None]
-    any_[many] = np.maximum(any_[many], whole[many])
-    behind = many & ~new
-    earlier[behind] = np.maximum(earlier[behind], whole[behind])
-    return any_, earlier
-
-
-MARK = "doc_id long, text_hash long, start int, stop int, first_start int, first_stop int, edge int, suffix binary, place int"
-
-
-def _marks(batch: pa.Table, least: int, gram: int) -> pa.Table:
-    """Marks of some sorted rows: the matched span, and the part of it that occurs earlier."""
-    width = (2 * least) * 4
-    suffix = np.frombuffer(b"".join(batch.column("suffix").to_pylist()), dtype=">u4").reshape(-1, width // 4)
-    place = batch.column("place").to_numpy().astype(np.int64)
-    doc = batch.column("doc_id").to_numpy()
-    any_, earlier = compare(suffix, doc, place, least, gram)
-    keep = any_.any(axis=1)
-    out = batch.select(["doc_id", "text_hash"]).append_column("start", pa.array((place - any_[:, 0]).astype(np.int32)))
-    out = out.append_column("stop", pa.array((place + any_[:, 1]).astype(np.int32)))
-    out = out.append_column("first_start", pa.array((place - earlier[:, 0]).astype(np.int32)))
-    out = out.append_column("first_stop", pa.array((place + earlier[:, 1]).astype(np.int32)))
-    return out.filter(pa.array(keep))
-
-
-def _blank(marks: pa.Table) -> pa.Table:
-    n = len(marks)
-    marks = marks.append_column("edge", pa.nulls(n, pa.int32())).append_column("suffix", pa.nulls(n, pa.binary()))
-    return marks.append_column("place", pa.nulls(n, pa.int32()))
-
-
-def _run_starts(table: pa.Table) -> np.ndarray:
-    s = table.column("suffix").combine_chunks()
-    same = np.zeros(len(s), dtype=bool)
-    if len(s) > 1:
-        same[1:] = pa.compute.equal(s[1:], s[:-1]).to_numpy(zero_copy_only=False)
-    return np.flatnonzero(~same)
-
-
-def _edge_rows(table: pa.Table, edge: int) -> pa.Table:
-    n = len(table)
-    out = table.select(["doc_id", "text_hash"])
-    for c in ("start", "stop", "first_start", "first_stop"):
-        out = out.append_column(c, pa.nulls(n, pa.int32()))
-    out = out.append_column("edge", pa.array(np.full(n, edge, np.int32)))
-    return out.append_column("suffix", table.column("suffix")).append_column("place", table.column("place"))
-
-
-def _neighbours(least: int, gram: int):
-    """Compare the sorted rows of a task, a bounded part at a time; the rows at its ends go on to a second look.
-
-    The last NEIGHBOURS runs of a part, one row each, open the next part.
-    """
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    spans = pa.StructArray.from_arrays(
+        [pa.array(start[first].astype(np.int32)), pa.array((reach[last] - far[last]).astype(np.int32))], names=["start", "stop"]
+    )
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[first], np.arange(n + 1)).astype(np.int32)), spans)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        part = task.partitionId() if task else 0
-        held: list[pa.RecordBatch] = []
-        carry, begun, size = None, False, 0
-
-        def look() -> pa.Table | None:
-            nonlocal carry
-            table = pa.Table.from_batches(held).combine_chunks()
-            if carry is not None:
-                table = pa.concat_tables([carry, table]).combine_chunks()
-            starts = _run_starts(table)
-            carry = table.take(pa.array(starts[-NEIGHBOURS:]))
-            return table
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.num_rows
-            if size >= ROWS:
-                table = look()
-                if not begun:
-                    yield from _edge_rows(table.take(pa.array(_run_starts(table)[:NEIGHBOURS])), part).to_batches()
-                    begun = True
-                yield from _blank(_marks(table, least, gram)).to_batches()
-                held, size = [], 0
-        if held:
-            table = look()
-            if not begun:
-                yield from _edge_rows(table.take(pa.array(_run_starts(table)[:NEIGHBOURS])), part).to_batches()
-            yield from _blank(_marks(table, least, gram)).to_batches()
-        if carry is not None:
-            yield from _edge_rows(carry, part + 1).to_batches()
+def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unions of each text's ``marks`` (start << 32 | size << 1 | later, sorted): all, and the later ones."""
+    for batch in batches:
+        marks, n = batch.column("marks"), batch.num_rows
+        packed = marks.flatten().to_numpy()
+        doc = np.repeat(np.arange(n), np.diff(marks.offsets.to_numpy()))
+        start, later = packed >> 32, (packed & 1) == 1
+        stop = start + ((packed & 0xFFFFFFFF) >> 1)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                batch.column("text_hash"),
+                _union(doc, start, stop, n),
+                _union(doc[later], start[later], stop[later], n),
+            ],
+            names=["doc_id", "text_hash", "spans", "later"],
+        )
 
-    return run
 
+_AT = ["doc_id", "start", "text_hash"]
 
-def _seam(least: int, gram: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pa.Table.from_pandas(pdf.sort_values(["suffix", "doc_id", "place"])[["suffix", "doc_id", "text_hash", "place"]], preserve_index=False)
-        return _marks(table, least, gram).to_pandas()
 
-    return run
+def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Each key's number of rows, its earliest place and whether it has another."""
+    at = F.struct(*_AT)
+    groups = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+    return groups.select(*key, "n", "first", (F.col("first") != F.col("last")).alias("repeated"))
 
 
-def _join_spans(spans: F.Column) -> F.Column:
-    """Union of spans (start, stop), sorted; touching ones become one."""
-    kind = "array<struct<start:int,stop:int>>"
-    step = lambda acc, x: F.when(
-        (F.size(acc["done"]) >= 0) & (x["start"] <= acc["stop"]),
-        F.struct(acc["done"].alias("done"), acc["start"].alias("start"), F.greatest(acc["stop"], x["stop"]).alias("stop")),
-    ).otherwise(
-        F.struct(
-            F.when(acc["start"] < 0, acc["done"])
-            .otherwise(F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["stop"].alias("stop")))))
-            .alias("done"),
-            x["start"].alias("start"),
-            x["stop"].alias("stop"),
-        )
-    )
-    zero = F.struct(F.array().cast(kind).alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("stop"))
-    last = lambda acc: F.when(acc["start"] < 0, acc["done"]).otherwise(
-        F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["stop"].alias("stop"))))
-    )
-    return F.aggregate(F.sort_array(spans), zero, step, last)
+def _meet(rows: DataFrame, groups: DataFrame, key: list[str], total: int) -> DataFrame:
+    """Rows joined to their groups (which hold ``n``).
 
+    A key with over 1/HOT of all rows would make a hot one; there are fewer
+    than HOT of them, so they are broadcast and the others are joined.
+    """
+    hot = F.broadcast(groups.filter(F.col("n") * HOT > total))
+    rest = rows.join(hot.select(*key), key, "left_anti").join(groups.filter(F.col("n") * HOT <= total), key)
+    return rows.join(hot, key).unionByName(rest)
 
-def _frequent(chosen: DataFrame, scratch: Scratch) -> DataFrame:
-    """Suffixes whose first words occur more than once.
 
-    A hash with over 1/HOT of all suffixes would make a hot key; there are
-    fewer than HOT of them, so they are a list of literals and the others are joined.
-    """
-    often = scratch.keep(chosen.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "often")
-    large = F.col("n") * HOT > chosen.count()
-    hot = F.col("gram").isin([r["gram"] for r in often.filter(large).select("gram").collect()])
-    rest = chosen.filter(~hot).join(often.filter(~large).select("gram"), "gram", "left_semi")
-    return chosen.filter(hot).select(*chosen.columns).unionByName(rest).select("doc_id", "text_hash", "place")
+def _marks(met: DataFrame, size: F.Column) -> DataFrame:
+    """``doc_id, text_hash, mark``: rows that met their groups, as numbers for ``_join_spans``."""
+    later = (F.struct(*_AT) != F.col("first")).cast("long")
+    start = F.shiftleft(F.col("start").cast("long"), 32)
+    return met.select("doc_id", "text_hash", (start + 2 * size.cast("long") + later).alias("mark"))
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -313,27 +207,31 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = LEAST, gra
     scratch = Scratch(spark, "suffixes")
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     chosen = scratch.keep(
-        texts.mapInArrow(_choose(least, gram), "doc_id long, text_hash long, place int, gram long"), "chosen"
+        texts.mapInArrow(_choose(least, gram), "doc_id long, text_hash long, start int, windows int, gram long, span long"), "chosen"
+    )
+    total = chosen.count()
+    # Copies of whole spans: each but the first is a later one, with all its windows.
+    classes = scratch.keep(_groups(chosen, ["gram", "span"]), "classes")
+    whole = _meet(chosen, classes.filter("repeated").drop("repeated"), ["gram", "span"], total)
+    whole = _marks(whole, F.col("windows") + (least - 1))
+    # Windows that different spans share: their minimisers have the same words.
+    shared = scratch.keep(classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    spans = _meet(classes.select("gram", "first"), shared, ["gram"], classes.count()).select("first.*")
+    heads = chosen.select(*_AT, "windows").join(spans, _AT)
+    places = heads.groupBy("doc_id", "text_hash").agg(
+        F.collect_set(F.shiftleft(F.col("start").cast("long"), 32) + F.col("windows")).alias("at")
     )
-    places = _frequent(chosen, scratch).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    suffixes = (
+    windows = (
         texts.join(places, ["doc_id", "text_hash"])
         .dropDuplicates(["doc_id", "text_hash"])
-        .mapInArrow(_contexts(least, gram), "suffix binary, doc_id long, text_hash long, place int")
+        .mapInArrow(_windows(least), "doc_id long, text_hash long, start int, window long")
     )
-    order = ["suffix", "doc_id", "place"]
-    marks = scratch.keep(
-        suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, gram), MARK), "marks"
-    )
-    span = "doc_id long, text_hash long, start int, stop int, first_start int, first_stop int"
-    seams = marks.filter("edge is not null").select("edge", "suffix", "doc_id", "text_hash", "place")
-    seams = seams.groupBy("edge").applyInPandas(_seam(least, gram), span)
-    whole = marks.filter("edge is null").select(*seams.columns).unionByName(seams)
-    joined = whole.groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("start", "stop")).alias("spans"),
-        F.collect_set(F.when(F.col("first_stop") > F.col("first_start"), F.struct(F.col("first_start").alias("start"), F.col("first_stop").alias("stop")))).alias("later"),
-    )
-    return joined.select("doc_id", "text_hash", _join_spans(F.col("spans")).alias("spans"), _join_spans(F.col("later")).alias("later"))
+    windows = scratch.keep(windows, "windows")
+    found = scratch.keep(_groups(windows, ["window"]).filter("repeated").drop("repeated"), "found")
+    single = _marks(_meet(windows, found, ["window"], windows.count()), F.lit(least))
+    marks = whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
+    kind = "array<struct<start:int,stop:int>>"
+    return marks.mapInArrow(_join_spans, f"doc_id long, text_hash long, spans {kind}, later {kind}")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

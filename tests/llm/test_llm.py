@@ -292,6 +292,31 @@ def test_remove_repeats_keeps_one(spark, docs):
     assert all(r["n_chars"] == len(r["text"] or "") for r in left.collect())
 
 
+def windows_of(rows, least):
+    """Each repeated window's words: all of them, and those of which an earlier occurrence exists."""
+    where = {}
+    for i, t in sorted(rows):
+        ws = split(t)
+        for p in range(len(ws) - least + 1):
+            where.setdefault(tuple(ws[p : p + least]), []).append((i, p))
+    often = [places for places in where.values() if len(places) > 1]
+    words = lambda some: {(i, q) for i, p in some for q in range(p, p + least)}
+    return words(x for places in often for x in places), words(x for places in often for x in places[1:])
+
+
+def marked_words(spark, rows, least=suffixes.LEAST):
+    got = suffixes.repeated_spans(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least).collect()
+    words = lambda c: {(r["doc_id"], q) for r in got for s in r[c] for q in range(s["start"], s["stop"])}
+    return words("spans"), words("later")
+
+
+def test_one_of_many_copies_is_first(spark):
+    rows = [(i, f"{prose(2000 + i, 30, 10**6)} {prose(3, 52)} {prose(3000 + i, 30, 10**6)}") for i in random.Random(8).sample(range(300), 300)]
+    spans, later = marked_words(spark, rows)
+    assert (spans, later) == windows_of(rows, 50)
+    assert {i for i, _ in spans} - {i for i, _ in later} == {0}
+
+
 # 6 ------------------------------------------------------------------------------------
 
 
