@@ -317,6 +317,14 @@ def test_one_of_many_copies_is_first(spark):
     assert {i for i, _ in spans} - {i for i, _ in later} == {0}
 
 
+def test_passages_that_end_in_a_frequent_line(spark):
+    line = prose(4, 20)
+    rows = [(i, f"{prose(4000 + i // 2 if i < 80 else 4000 + i, 30, 10**6)} {line} {prose(5000 + i, 30, 10**6)}") for i in range(400)]
+    spans, later = marked_words(spark, rows)
+    assert (spans, later) == windows_of(rows, 50)
+    assert {i for i, _ in spans} == set(range(80))
+
+
 # 6 ------------------------------------------------------------------------------------
 
 
