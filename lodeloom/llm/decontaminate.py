@@ -1,12 +1,11 @@
-"""Benchmark decontamination by SimHash windows and exact verification.
-
-For each length n of benchmark items, windows of n words slide over every text.
-A window's fingerprint has 64 bits: the majority, bit by bit, over the hashes of
-its word pairs, from running counts. Fingerprints are cut into BLOCKS blocks;
-of two that differ in at most RADIUS bits, some block differs in at most
-RADIUS // BLOCKS bits, so tables of all such block values find every item
-within the radius. What they find is compared on the exact multisets of
-word shingles, at the best place near the window.
+"""Benchmark decontamination by an index of rare shingles and exact verification.
+
+A window that is similar enough to an item lacks at most a known number of the
+item's word shingles, so it holds one of any larger set of them. Each item's
+rarest shingles, one more than may be lacking, are looked up at every word of
+every text. Around what they find, shared shingles are counted for each window
+and the multisets of those with enough are compared. No window that counts is
+passed over, wherever it begins.
 """
 
 from __future__ import annotations
@@ -29,15 +28,13 @@ BITS, BLOCKS, RADIUS = 64, 4, 15
 _PART = BITS // BLOCKS
 #: Items that go to the executors at once; a larger benchmark is searched in several passes.
 ITEMS_AT_ONCE = 4000
-#: Word pairs whose counts are kept at once.
-RUN = 1 << 14
-#: Windows of n words begin at every max(1, n // STEP)-th word.
-STEP = 6
+#: Bits of a shingle by which most that no item has are told.
+SIEVE = 20
 
 
 @dataclass
 class Group:
-    """Items of one length: ids, fingerprints, shingle multisets and, for each block, which values come near."""
+    """Items of one length: ids, fingerprints, shingle multisets and, for each block, which values come near (the search needs none)."""
 
     n: int
     ids: list[int]
@@ -46,28 +43,6 @@ class Group:
     near: np.ndarray
 
 
-def pairs(h: np.ndarray) -> np.ndarray:
-    """Hash of each word with its successor (the last has none: it stands alone)."""
-    after = np.zeros_like(h)
-    after[:-1] = h[1:]
-    return w.mix(h * U64(0x9E3779B97F4A7C15) + after)
-
-
-def counts_before(features: np.ndarray, wide: bool = True) -> np.ndarray:
-    """Running counts of each bit, (len + 1, BITS), modulo 2**8 (or 2**16 if ``wide``)."""
-    bits = np.unpackbits(features.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    kind = np.uint16 if wide else np.uint8
-    out = np.zeros((len(features) + 1, BITS), dtype=kind)
-    np.cumsum(bits, axis=0, dtype=kind, out=out[1:])
-    return out
-
-
-def majority(ones: np.ndarray, of: int | np.ndarray) -> np.ndarray:
-    """Fingerprints from the counts of set bits among ``of`` features."""
-    half = ones.dtype.type(of // 2) if isinstance(of, int) else (of // 2).astype(ones.dtype)[:, None]
-    return np.packbits(ones > half, axis=1, bitorder="little").view("<u8").ravel()
-
-
 def _multiset(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles, return_counts=True)
 
@@ -97,20 +72,23 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, int, w.Words]]:
         yield a, b, w.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], strip=True)
 
 
-def groups(items: list[tuple[int, str]], shingle: int) -> list[Group]:
-    """Items by their number of words; wordless ones match nothing."""
-    by: dict[int, list] = {}
-    for _, _, words in _words(pa.array([t for _, t in items], pa.string())):
-        for (item, _), a, b in zip(items, words.at[:-1], words.at[1:], strict=True):
-            if b > a:
-                by.setdefault(int(b - a), []).append((item, words.h[a:b]))
-        items = items[len(words.at) - 1 :]
+@dataclass
+class Item:
+    """A benchmark item: its id, words and multiset of shingles."""
+
+    id: int
+    n: int
+    shingles: tuple[np.ndarray, np.ndarray]
+
+
+def read_items(items: list[tuple[int, str]], shingle: int) -> list[Item]:
+    """Items with words; wordless ones match nothing."""
     out = []
-    for n, rows in sorted(by.items()):
-        used = max(n - 1, 1)
-        prints = np.array([majority(counts_before(pairs(h)[:used])[-1:], used)[0] for _, h in rows], dtype=U64)
-        sets = [_multiset(w.shingles(h, np.array([0, n]), shingle)[0]) for _, h in rows]
-        out.append(Group(n, [i for i, _ in rows], prints, sets, _near_table(prints)))
+    for a, _, words in _words(pa.array([t for _, t in items], pa.string())):
+        runs, at = w.shingles(words.h, words.at, shingle)
+        for k, n in enumerate(words.counts.tolist()):
+            if n:
+                out.append(Item(items[a + k][0], n, _multiset(runs[at[k] : at[k + 1]])))
     return out
 
 
@@ -133,77 +111,92 @@ def _likely(g: Group, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 class Search:
     """Finds items in the words of texts."""
 
-    def __init__(self, found: list[Group], shingle: int, percent: int):
-        self.groups, self.shingle, self.percent = found, shingle, percent
-
-    def _verify(self, g: Group, k: int, words: w.Words, run: np.ndarray, doc: int, starts: np.ndarray, step: int) -> tuple | None:
-        """Best window for one item near some starts in one document: (similarity, start, length)."""
-        lo, hi = int(words.at[doc]), int(words.at[doc + 1])
-        size = min(g.n, hi - lo)
-        width = max(size - self.shingle + 1, 1)
-        own, best = g.shingles[k], None
-        for p in sorted({q for s in starts.tolist() for q in range(max(lo, s - step + 1), min(hi - size, s + step - 1) + 1)} or {lo}):
-            if size < self.shingle:
-                window = w.shingles(words.h[p : p + size], np.array([0, size]), self.shingle)[0]
-            else:
-                window = run[p : p + width]
-            # A window with too few shared shingles cannot be similar enough, whatever their counts.
-            place = np.minimum(np.searchsorted(own[0], window), len(own[0]) - 1)
-            if 200 * (own[0][place] == window).sum() < self.percent * len(window):
+    def __init__(self, items: list[Item], shingle: int, percent: int):
+        self.items, self.shingle, self.percent = items, shingle, percent
+        often = Counter(h for item in items for h in item.shingles[0].tolist())
+        keys = []
+        for k, item in enumerate(items):
+            lacking = int(item.shingles[1].sum()) * (100 - percent) // 100
+            rarest = sorted(item.shingles[0].tolist(), key=lambda h: (often[h], h))[: lacking + 1]
+            keys += [(h, k) for h in rarest]
+        keys.sort()
+        self.keys = np.array([h for h, _ in keys], dtype=U64)
+        self.owners = np.array([k for _, k in keys], dtype=np.int64)
+        #: Items of fewer words than a shingle are looked up in windows of their size.
+        self.sizes = sorted({item.n for item in items if item.n < shingle})
+        self.sieve = None
+
+    def _hits(self, hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(items, places) of the hashes that are keys."""
+        if self.sieve is None:
+            self.sieve = np.zeros(1 << SIEVE, dtype=bool)
+            self.sieve[self.keys >> U64(64 - SIEVE)] = True
+        some = np.flatnonzero(self.sieve[hashes >> U64(64 - SIEVE)])
+        hashes, places = hashes[some], places[some]
+        first = np.searchsorted(self.keys, hashes, side="left")
+        counts = np.searchsorted(self.keys, hashes, side="right") - first
+        return self.owners[w._positions(first, counts)], np.repeat(places, counts)
+
+    def _best(self, item: Item, run: np.ndarray, lo: int, hi: int, at: np.ndarray) -> tuple | None:
+        """Best window for one item around some of its shingles in the text lo..hi: (similarity, start, length)."""
+        size = min(item.n, hi - lo)
+        if 100 * size < 75 * item.n:
+            return None
+        width, own, best = size - self.shingle + 1, item.shingles, None
+        total = int(own[1].sum())
+        # Parts of the text whose windows hold one of them; a window lies in one part.
+        new = np.flatnonzero(np.diff(at) >= width) + 1
+        for part in np.split(at, new):
+            a, b = max(lo, int(part[0]) - width + 1), min(int(part[-1]), hi - size) + 1
+            if a >= b:
                 continue
-            s = weighted_similarity(own, _multiset(window))
-            if 100 * s >= self.percent - 1e-9 and (best is None or s > best[0]):
-                best = (s, p - lo, size)
+            here = run[a : b + width - 1]
+            shared = own[0][np.minimum(np.searchsorted(own[0], here), len(own[0]) - 1)] == here
+            seen = np.concatenate(([0], np.cumsum(shared)))
+            # A window with too few shared shingles cannot be similar enough, whatever their counts.
+            enough = (100 + self.percent) * (seen[width:] - seen[:-width]) >= self.percent * (total + width) - 1
+            for p in (a + np.flatnonzero(enough)).tolist():
+                s = weighted_similarity(own, _multiset(run[p : p + width]))
+                if 100 * s >= self.percent - 1e-9 and (best is None or s > best[0]):
+                    best = (s, p - lo, size)
+                    if s == 1:
+                        return best
         return best
 
     def find(self, words: w.Words) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words): the best window of each item found in each text."""
         n_words = len(words.h)
-        if not n_words or not self.groups:
+        if not n_words or not self.items:
             return
-        features = pairs(words.h)
-        doc_of = np.repeat(np.arange(len(words.at) - 1), words.counts)
-        end_of = words.at[1:][doc_of]
-        run = np.zeros(n_words, dtype=U64)
-        if n_words >= self.shingle:
-            run[: n_words - self.shingle + 1] = w.shingles(words.h, np.array([0, n_words]), self.shingle)[0]
-        longest = self.groups[-1].n
-        likely: dict[tuple[int, int, int], list] = {}
-
-        def note(gi: int, prints: np.ndarray, starts: np.ndarray) -> None:
-            for k, at in _likely(self.groups[gi], prints):
-                for s in starts[at]:
-                    likely.setdefault((gi, k, int(doc_of[s])), []).append(s)
-
-        for base in range(0, n_words, RUN):
-            top = min(base + RUN + longest, n_words)
-            seen = counts_before(features[base:top], wide=longest > 256)
-            for gi, g in enumerate(self.groups):
-                step, used = max(1, g.n // STEP), max(g.n - 1, 1)
-                # Windows on the grid, and the last of each text.
-                starts = np.arange(-(-base // step) * step, min(base + RUN, n_words - g.n + 1), step)
-                if len(starts):
-                    a = int(starts[0]) - base
-                    ones = seen[a + used :: step][: len(starts)] - seen[a::step][: len(starts)]
-                    fits = np.flatnonzero(starts + g.n <= end_of[starts])
-                    prints = majority(ones, used)
-                    note(gi, prints[fits], starts[fits])
-                ends = words.at[1:] - g.n
-                ends = ends[(ends >= base) & (ends < base + RUN) & (ends >= words.at[:-1]) & (ends % step != 0)]
-                if len(ends):
-                    note(gi, majority(seen[ends - base + used] - seen[ends - base], used), ends)
-                # Texts a little shorter than the item are one window.
-                short = (words.counts < g.n) & (100 * words.counts >= 75 * g.n) & (words.at[:-1] >= base) & (words.at[:-1] < base + RUN)
-                if short.any():
-                    first, size = words.at[:-1][short], words.counts[short]
-                    of = np.maximum(size - 1, 1)
-                    note(gi, majority(seen[first - base + of] - seen[first - base], of), first)
+        end_of = np.repeat(words.at[1:], words.counts)
         best: dict[tuple[int, int], tuple] = {}
-        for (gi, k, doc), starts in likely.items():
-            g = self.groups[gi]
-            if got := self._verify(g, k, words, run, doc, np.unique(starts), max(1, g.n // STEP)):
-                key = (doc, g.ids[k])
+
+        def note(doc: int, item: Item, got: tuple | None) -> None:
+            if got:
+                key = (doc, item.id)
                 best[key] = max(best.get(key, (0.0, 0, 0)), got)
+
+        if n_words >= self.shingle:
+            run = w.shingles(words.h, np.array([0, n_words]), self.shingle)[0]
+            places = np.flatnonzero(np.arange(len(run)) + self.shingle <= end_of[: len(run)])
+            owners, at = self._hits(run[places], places)
+            docs = np.searchsorted(words.at, at, side="right") - 1
+            order = np.lexsort((at, docs, owners))
+            owners, at, docs = owners[order], at[order], docs[order]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (owners[1:] != owners[:-1]) | (docs[1:] != docs[:-1])
+            first = np.flatnonzero(new)
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True) if len(at) else ():
+                doc, item = int(docs[a]), self.items[owners[a]]
+                note(doc, item, self._best(item, run, int(words.at[doc]), int(words.at[doc + 1]), at[a:b]))
+        for size in self.sizes:
+            places = np.flatnonzero(np.arange(n_words) + size <= end_of)
+            begins = words.h[w._positions(places, np.full(len(places), size))]
+            hashes = w.shingles(begins, np.arange(len(places) + 1) * size, self.shingle)[0]
+            owners, at = self._hits(hashes, places)
+            for k, p in zip(owners.tolist()[::-1], at.tolist()[::-1], strict=True):
+                doc = int(np.searchsorted(words.at, p, side="right")) - 1
+                best[(doc, self.items[k].id)] = (1.0, p - int(words.at[doc]), size)
         for (doc, item), (s, start, size) in best.items():
             yield doc, item, s, start, size
 
@@ -250,7 +243,7 @@ def _searches(benchmark: DataFrame, shingle: int, percent: int) -> Iterator[Sear
     passes = max(1, -(-items.count() // ITEMS_AT_ONCE))
     for k in range(passes):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        yield Search(groups(sorted((r["item_id"], r["text"]) for r in some), shingle), shingle, percent)
+        yield Search(read_items(sorted((r["item_id"], r["text"]) for r in some), shingle), shingle, percent)
 
 
 def _without(search: Search):

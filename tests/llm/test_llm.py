@@ -251,6 +251,34 @@ def test_decontamination_against_all_windows(spark, empty):
     assert decontaminate.contaminated(spark, docs, bench.limit(0)).count() == 0
 
 
+def near_copies(n, before):
+    """Items of n words, texts that hold one with as many changed words as 80 percent allows, and which is where."""
+    items, rows, where = [(k, prose(6000 * n + k, n, 10**6)) for k in range(60)], [], set()
+    for k, item in items:
+        for j in range(6):
+            ws, (middle, end) = item.split(), divmod((n - 4) // 9, 5)
+            for q in range(middle):
+                ws[10 + (17 * q + j) % (n - 20)] = "new"  # in five shingles
+            for q in range(end):
+                ws[-1 - q] = f"end{q}"  # one more
+            where.add((len(rows), k))
+            rows.append((len(rows), f"{before(k, j)} {' '.join(ws)} {prose(99 * k + j, 30 + 7 * j + k, 10**6)}"))
+    return items, rows, where
+
+
+def found(spark, items, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = decontaminate.contaminated(spark, docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(80 <= 100 * x["similarity"] < 90 for x in got)
+    return {(x["doc_id"], x["item_id"]) for x in got}
+
+
+@pytest.mark.parametrize("n", [33, 150])
+def test_items_at_the_start_of_longer_texts(spark, n):
+    items, rows, where = near_copies(n, lambda k, j: "")
+    assert found(spark, items, rows) == where
+
+
 # 5 ------------------------------------------------------------------------------------
 
 
