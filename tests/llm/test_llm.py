@@ -279,6 +279,12 @@ def test_items_at_the_start_of_longer_texts(spark, n):
     assert found(spark, items, rows) == where
 
 
+@pytest.mark.parametrize("n", [24, 50])
+def test_near_copies_at_the_threshold_are_all_found(spark, n):
+    items, rows, where = near_copies(n, lambda k, j: prose(77 * k + j, 11 * j + k + 1, 10**6))
+    assert found(spark, items, rows) == where
+
+
 # 5 ------------------------------------------------------------------------------------
 
 
