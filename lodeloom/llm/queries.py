@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html, language, minhash, packing, quality, rules, suffixes, tokenstore, warc
+from .store import prepare
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .store import Scratch
-
-    Scratch(spark, "html")
+    prepare(spark)
     return html.extract_main_text(_table(spark, sf_dir, "pages"))
 
 

@@ -17,12 +17,34 @@ ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """Folder named by ``spark.checkpoint.dir``; one of our own only where that is unset and the session has one machine."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or f"/tmp/checkpoints/{os.getuid()}").rstrip("/")
 
 
+def prepare(spark: SparkSession) -> None:
+    """What a session needs before Python reads texts: this package, and Arrow batches of bounded rows and bytes.
+
+    Bounds that the session's user has set stay as they are.
+    """
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, str(most))
+    ship_package(spark)
+
+
+def fresh(name: str, *taken: list[str]) -> str:
+    """``name``, or with underscores before it, so that no column (in any case) is called so."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name in used:
+        name = f"_{name}"
+    return name
+
+
 class Scratch:
     """Parquet tables of one operator call, under the shared folder.
 
@@ -34,9 +56,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lodeloom/{name}-{uuid.uuid4().hex[:12]}"
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-        ship_package(spark)
+        prepare(spark)
         atexit.register(self._remove, self.root)
 
     def path(self, name: str) -> str:
