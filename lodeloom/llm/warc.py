@@ -4,7 +4,8 @@ Archives are gzipped text files written by Spark, so they may lie in any store
 that Spark reaches: a record is one text row, and the line separator is the
 record separator of the format (``\\n`` in ARC, two CRLF in WARC). Readers get
 whole files as binary rows, unpack them as a stream and follow the declared
-lengths, never the separators.
+lengths, never the separators. A conversion moves the packed files and a few
+numbers of each record between machines, but no payload.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ ARC_FIELDS = {
 #: Rows, and bytes of their payloads, that a reader hands on at once.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 CAPTURED = "20200101000000"
+#: How archives are packed: time counts more than the last bytes.
+PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+#: A digest that more than 1/HOT of all records share is told to every task (there are fewer than HOT); others are joined.
+HOT = 200
 
 
 def sha1_32(x: bytes) -> str:
@@ -45,10 +50,8 @@ def sha1_32(x: bytes) -> str:
 
 def http_block(page_id: int | None, body: bytes) -> bytes:
     """An HTTP response with the page's id in a header."""
-    head = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
-    if page_id is not None:
-        head.append(f"X-Page-Id: {page_id}")
-    return "\r\n".join(head).encode() + CRLF + CRLF + body
+    own = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n{own}\r\n".encode() + body
 
 
 def _url(url: str | None) -> str:
@@ -78,23 +81,23 @@ def _write_arc(date: str):
         for batch in batches:
             rows = []
             if not begun and batch.num_rows:
-                rows.append(f"{head}\n{fields.decode()}")
+                rows.append(f"{head}\n{fields.decode()}".encode())
                 begun = True
-            for page, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html")), strict=True):
-                block = http_block(page.as_py(), (html.as_py() or "").encode())
-                row = arc_line(version, _url(url.as_py()), "0.0.0.0", date, "text/html", block, offset, name) + "\n" + block.decode()
-                offset += len(row.encode()) + 1
+            bodies = batch.column("html").cast(pa.binary()).to_pylist()
+            for page, url, body in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), bodies, strict=True):
+                block = http_block(page, body or b"")
+                row = arc_line(version, _url(url), "0.0.0.0", date, "text/html", block, offset, name).encode() + b"\n" + block
+                offset += len(row) + 1
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+            yield _as_text(pa.array(rows, pa.binary()))
 
     return run
 
 
 def write_arc(pages: DataFrame, root: str, date: str = CAPTURED) -> None:
     """Write ``pages(page_id, url, html)`` as ARC files; a null html is an empty one."""
-    pages.select("page_id", "url", "html").mapInArrow(_write_arc(date), "value string").write.mode("overwrite").option(
-        "lineSep", "\n"
-    ).option("compression", "gzip").text(root)
+    rows = pages.select("page_id", "url", "html").mapInArrow(_write_arc(date), "value string")
+    rows.write.mode("overwrite").options(lineSep="\n", **PACKED).text(root)
 
 
 def _take(stream: io.BufferedIOBase, n: int) -> bytes:
@@ -170,6 +173,11 @@ def _batches(rows: Iterator[tuple], schema: list[tuple[str, pa.DataType]]) -> It
         yield made()
 
 
+def _as_text(rows: pa.Array) -> pa.RecordBatch:
+    """Bytes as text for Spark's writer, which passes them on whatever their encoding is."""
+    return pa.RecordBatch.from_arrays([rows.view(pa.string())], names=["value"])
+
+
 def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
@@ -222,45 +230,59 @@ def warc_record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + CRLF + block
 
 
-def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A WARC record, as text, for each ARC record and its verdict; a file begins with its warcinfo."""
+def _convert_file(path: str, content: bytes, revisits: dict[int, dict]) -> Iterator[bytes]:
+    """The WARC records of one ARC file: its warcinfo, then one for each record. ``revisits``: by offset, the record each refers to."""
     begun = False
-    for batch in batches:
-        rows = []
-        if not begun and batch.num_rows:
-            first = batch.slice(0, 1).to_pylist()[0]
-            info = b"software: lodeloom\r\nformat: WARC File Format 1.1\r\n"
-            own = [("WARC-Date", iso_date(first["captured"])), ("WARC-Record-ID", record_id(first["file"], -1, "warcinfo", first["captured"])),
-                   ("Content-Type", "application/warc-fields")]
-            rows.append(warc_record("warcinfo", own, info).decode())
+    for r in parse_arc(content):
+        url, date = r["URL"], r["Archive-date"]
+        if not begun:
+            own = [("WARC-Date", iso_date(date)), ("WARC-Record-ID", record_id(path, -1, "warcinfo", date)), ("Content-Type", "application/warc-fields")]
+            yield warc_record("warcinfo", own, b"software: lodeloom\r\nformat: WARC File Format 1.1\r\n")
             begun = True
-        for r in batch.to_pylist():
-            payload, head = r["payload"], r["head"]
-            web = bool(head)
-            kind = "revisit" if r["to_file"] is not None else "response" if web else "resource"
-            fields = [
-                ("WARC-Record-ID", record_id(r["file"], r["offset"], r["url"], r["captured"])),
-                ("WARC-Target-URI", r["url"]),
-                ("WARC-Date", iso_date(r["captured"])),
-                ("WARC-Payload-Digest", f"sha1:{r['digest']}"),
-                ("Content-Type", "application/http; msgtype=response" if web else r["mime"]),
+        if url.startswith("filedesc:"):
+            continue
+        head, payload = split_http(r["block"])
+        to = revisits.get(r["offset"])
+        fields = [
+            ("WARC-Record-ID", record_id(path, r["offset"], url, date)),
+            ("WARC-Target-URI", url),
+            ("WARC-Date", iso_date(date)),
+            ("WARC-Payload-Digest", f"sha1:{sha1_32(payload)}"),
+            ("Content-Type", "application/http; msgtype=response" if head else r["Content-type"]),
+        ]
+        page = _header(head, "X-Page-Id")
+        if page:
+            fields.append(("X-Page-Id", page))
+        block = r["block"]
+        if to is not None:
+            block = head
+            fields += [
+                ("WARC-Refers-To", record_id(to["file"], to["offset"], to["url"], to["captured"])),
+                ("WARC-Refers-To-Target-URI", to["url"]),
+                ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+                ("X-Payload-Length", str(len(payload))),
             ]
-            if r["page_id"] is not None:
-                fields.append(("X-Page-Id", str(r["page_id"])))
-            block = head + payload
-            if kind == "revisit":
-                fields += [
-                    ("WARC-Refers-To", record_id(r["to_file"], r["to_offset"], r["to_url"], r["to_captured"])),
-                    ("WARC-Refers-To-Target-URI", r["to_url"]),
-                    ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                    ("X-Payload-Length", str(len(payload))),
-                ]
-                if r["to_page"] is not None:
-                    fields.append(("X-Refers-To-Page-Id", str(r["to_page"])))
-                block = head
-            fields.append(("WARC-Block-Digest", f"sha1:{sha1_32(block)}"))
-            rows.append(warc_record(kind, fields, block).decode())
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+            if to["page_id"] is not None:
+                fields.append(("X-Refers-To-Page-Id", str(to["page_id"])))
+        fields.append(("WARC-Block-Digest", f"sha1:{sha1_32(block)}"))
+        yield warc_record("revisit" if to is not None else "response" if head else "resource", fields, block)
+
+
+def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WARC records, as text, of the ARC files ``path, content, revisits``."""
+    for batch in batches:
+        for path, content, revisits in zip(*(batch.column(c) for c in ("path", "content", "revisits")), strict=True):
+            known = {x["at"]: x["to"] for x in revisits.as_py() or []}
+            records = ((x,) for x in _convert_file(path.as_py(), content.as_py(), known))
+            for some in _batches(records, [("value", pa.binary())]):
+                yield _as_text(some.column("value"))
+
+
+def _meet(small: DataFrame, best: DataFrame, total: int) -> DataFrame:
+    """Records whose digest has a best record (``copies`` each), with that; one that a large share has is no hot key."""
+    hot = F.broadcast(best.filter(F.col("copies") * HOT > total))
+    rest = small.join(hot.select("digest"), "digest", "left_anti").join(best.filter(F.col("copies") * HOT <= total), "digest")
+    return small.join(hot, "digest").unionByName(rest)
 
 
 def convert(spark: SparkSession, arcs: str, warcs: str, scratch: Scratch, min_bytes: int = 0) -> None:
@@ -268,10 +290,10 @@ def convert(spark: SparkSession, arcs: str, warcs: str, scratch: Scratch, min_by
 
     Of records with equal payloads of at least ``min_bytes``, the one with the
     largest page_id (then place) stays a response and the others become
-    revisits of it. Payloads are not shuffled by digest, so a payload that a
-    third of all records share is no hot key: only rows of a few bytes are.
+    revisits of it. Files are parsed twice: first for digests, of which those
+    that occur often are settled, then, packed as they are, beside the list of
+    their own revisits. Such a list is no longer than its file.
     """
-    records = read_arc(spark, arcs)
     small = scratch.keep(
         _arc_files(spark, arcs).mapInArrow(
             _read_digests, "file string, offset long, page_id long, url string, captured string, digest string, n long"
@@ -279,22 +301,13 @@ def convert(spark: SparkSession, arcs: str, warcs: str, scratch: Scratch, min_by
         "digests",
     )
     place = F.struct("page_id", "file", "offset", "url", "captured")
-    best = (
-        small.filter(F.col("n") >= min_bytes)
-        .groupBy("digest")
-        .agg(F.max(place).alias("to"), F.count("*").alias("copies"))
-        .filter("copies > 1")
-        .select("digest", "to")
-    )
-    same = (F.col("to.file") == F.col("file")) & (F.col("to.offset") == F.col("offset"))
-    told = small.join(best, "digest", "left").withColumn("to", F.when((F.col("n") >= min_bytes) & ~same, F.col("to")))
-    verdicts = told.select(
-        "file", "offset", "digest", F.col("to.page_id").alias("to_page"), F.col("to.file").alias("to_file"),
-        F.col("to.offset").alias("to_offset"), F.col("to.url").alias("to_url"), F.col("to.captured").alias("to_captured"),
-    )
-    records.join(verdicts, ["file", "offset"]).mapInArrow(_to_warc, "value string").write.mode("overwrite").option(
-        "lineSep", "\r\n\r\n"
-    ).option("compression", "gzip").text(warcs)
+    long_ones = small.filter(F.col("n") >= min_bytes)
+    best = long_ones.groupBy("digest").agg(F.max(place).alias("to"), F.count("*").alias("copies")).filter("copies > 1")
+    best = scratch.keep(best, "best")
+    told = _meet(long_ones, best, small.count()).filter((F.col("to.file") != F.col("file")) | (F.col("to.offset") != F.col("offset")))
+    revisits = told.groupBy("file").agg(F.collect_list(F.struct(F.col("offset").alias("at"), "to")).alias("revisits"))
+    files = _arc_files(spark, arcs).join(revisits.withColumnRenamed("file", "path"), "path", "left")
+    files.mapInArrow(_to_warc, "value string").write.mode("overwrite").options(lineSep="\r\n\r\n", **PACKED).text(warcs)
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -364,5 +377,5 @@ def archive_pages(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) ->
     arcs, warcs = scratch.path("arc"), scratch.path("warc")
     write_arc(pages, arcs)
     convert(spark, arcs, warcs, scratch, min_bytes)
-    scratch.drop("arc", "digests")
+    scratch.drop("arc", "digests", "best")
     return read_warc(spark, warcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
