@@ -1,10 +1,10 @@
 """Main text of web pages by minimum cut.
 
-A page becomes a row of text blocks. A linear classifier over each block's tags,
-names, links and words gives what it costs to call the block content or
-boilerplate; these costs are the capacities to source and sink. Edges of
-smoothness join neighbours on the page and blocks to the containers around
-them. The cut of least capacity labels all blocks at once.
+A page becomes a row of text blocks. A trained classifier over each block's
+tags, names, links and words (``html_costs``) gives what it costs to call the
+block content or boilerplate; these costs are the capacities to source and sink.
+Edges of smoothness join neighbours on the page and blocks to the containers
+around them. The cut of least capacity labels all blocks at once.
 """
 
 from __future__ import annotations
@@ -14,15 +14,18 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+|[^<>]*+)>",
-    re.DOTALL,
+from .html_costs import costs, trained
+
+#: A tag. A quoted value may hold < and >; but one that holds > and ends with = has lost its own closing quote.
+_TAG = re.compile(
+    r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)"
+    r"(?P<attrs>(?:[^<>\"'=]++|=\s*+\"(?:[^\">]*+|[^\"]*+(?<!=))\"|=\s*+'(?:[^'>]*+|[^']*+(?<!=))'|[=\"'])*+)>"
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements whose content is no text of the page.
@@ -42,11 +45,16 @@ CLOSES = {
 BAD_TAGS = {"nav", "footer", "aside", "menu", "dialog", "button", "head", "header", "form", "fieldset"}
 GOOD_TAGS = {"article", "main"}
 _BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|adslot|sponsor(?:s|ed)?|promo(?:s|tion|tions)?|banner|cookies?|consent|gdpr|notices?|"
-    r"alert|popup|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|sidebar|side-bar|rail|widgets?|related|recommended|"
-    r"share|sharing|social|breadcrumbs?|menu|submenu|nav|navbar|navigation|topbar|top-bar|footer|header|masthead|comments?|commentlist|"
-    r"comment-list|disqus|respond|replies|reply|login|search|searchbox|pager|pagination|toolbar|skip|skip-link|tags|byline-share|legal|"
-    r"copyright|disclaimer|trending|popular|teaser|teasers|sitemap|feedback|survey|form|paywall)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|adslot|sponsor(?:s|ed)?|promo(?:s|tion|tions)?|banner|cookies?|consent|gdpr|"
+    r"popup|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|sidebar|side-bar|rail|widgets?|"
+    r"share|sharing|social|breadcrumbs?|menu|submenu|nav|navbar|navigation|topbar|top-bar|footer|masthead|comments?|commentlist|"
+    r"comment-list|disqus|respond|replies|reply|login|search|searchbox|pager|pagination|toolbar|skip|skip-link|byline-share|"
+    r"sitemap|paywall)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
+#: Names that stand on boilerplate and on parts of articles.
+_HINT = re.compile(
+    r"(?:^|[\s_-])(?:notices?|alert|related|recommended|header|tags|legal|copyright|disclaimer|trending|popular|teasers?|feedback|survey|form)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -55,8 +63,6 @@ _GOOD_NAME = re.compile(
     re.IGNORECASE,
 )
 _BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
-#: Share of a page's characters beyond which a container's name says nothing about its content.
-MOST_OF_PAGE = 0.6
 #: Capacities are whole numbers of this part.
 UNIT = 1000
 
@@ -67,7 +73,9 @@ class Node:
 
     name: str
     parent: int
-    bad: int = 0  # 2: by its tag or state, 1: by its name
+    tag: bool = False  # boilerplate by its tag, role or state
+    bad_name: bool = False
+    hint: bool = False  # by a name that may mean it
     good: bool = False
     chars: int = 0
 
@@ -87,104 +95,157 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
 
 
-def _evidence(name: str, attrs: str) -> tuple[int, bool]:
-    """How surely an element is boilerplate (0 to 2), and whether it names content."""
-    bad, good = (2 if name in BAD_TAGS else 0), name in GOOD_TAGS
+def _evidence(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is boilerplate by its tag or state, by its name, perhaps by its name; whether it names content."""
+    tag, bad, hint, good = name in BAD_TAGS, False, False, name in GOOD_TAGS
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id") and name not in ("html", "body"):
                 value = _CAMEL.sub("-", value)
                 if _BAD_NAME.search(value):
-                    bad = max(bad, 2 if name in GOOD_TAGS else 1)
+                    bad = True
+                    tag |= name in GOOD_TAGS
+                elif _HINT.search(value):
+                    hint = True
                 elif _GOOD_NAME.search(value):
                     good = True
             elif key == "role":
-                bad = max(bad, 2 * (value.lower() in _BAD_ROLE))
+                tag |= value.lower() in _BAD_ROLE
                 good |= value.lower() in ("main", "article")
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-                bad = 2
+                tag = True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                bad = 2
-    return bad, good
+                tag = True
+    return tag, bad, hint, good
 
 
-def parse(source: str) -> Page:
-    """Blocks and the elements around them; markup that is broken is read as browsers do, roughly."""
-    page = Page()
-    nodes, stack, open_names = page.nodes, [0], {}
-    text: list[str] = []
-    linked, in_link, at, n = 0, False, 0, len(source)
-
-    def flush() -> None:
-        nonlocal text, linked
-        if text:
-            whole = " ".join("".join(text).split())
+@lru_cache(64)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE)
+
+
+class _Parser:
+    """Reads a page once; what is not found once is not looked for again, so time is linear in its size."""
+
+    def __init__(self, source: str):
+        self.source, self.page = source, Page()
+        self.nodes, self.stack, self.open_names = self.page.nodes, [0], {}
+        self.text: list[str] = []
+        self.linked, self.in_link = 0, False
+        self.never_closed: set[str] = set()
+
+    def flush(self) -> None:
+        if self.text:
+            whole = " ".join("".join(self.text).split())
             if whole:
-                page.blocks.append(Block(whole, stack[-1], linked, len(whole), whole.count(" ") + 1))
-        text, linked = [], 0
+                self.page.blocks.append(Block(whole, self.stack[-1], self.linked, len(whole), whole.count(" ") + 1))
+        self.text, self.linked = [], 0
 
-    def add(run: str) -> None:
-        nonlocal linked
+    def add(self, run: str, plain: bool = False) -> None:
         if run:
-            text.append(html.unescape(run) if "&" in run else run)
-            if in_link:
-                linked += len(run)
-
-    def pop() -> None:
-        name = nodes[stack.pop()].name
-        open_names[name] -= 1
-
-    while at < n:
-        m = _TOKEN.search(source, at)
-        if not m:
-            add(source[at:])
-            break
-        add(source[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            if m["cdata"]:
-                add(m["cdata"])
-            continue
-        name = name.lower()
-        if m["end"]:
-            if name == "a":
-                in_link = False
-            if open_names.get(name):
-                flush()
-                while nodes[stack[-1]].name != name:
-                    pop()
-                pop()
-            elif name not in INLINE:
-                flush()
-            continue
+            self.text.append(html.unescape(run) if "&" in run and not plain else run)
+            if self.in_link:
+                self.linked += len(run)
+
+    def pop(self) -> None:
+        self.open_names[self.nodes[self.stack.pop()].name] -= 1
+
+    def after(self, what: str, at: int, otherwise: int) -> int:
+        """Where ``what`` ends after ``at``; ``otherwise`` if it is not there."""
+        found = -1 if what in self.never_closed else self.source.find(what, at)
+        if found < 0:
+            self.never_closed.add(what)
+        return otherwise if found < 0 else found + len(what)
+
+    def read(self) -> Page:
+        source, at, n = self.source, 0, len(self.source)
+        last = source.rfind(">")
+        while at < n:
+            lt = source.find("<", at) if last >= 0 else -1
+            if lt < 0:
+                self.add(source[at:])
+                break
+            self.add(source[at:lt])
+            if lt > last:  # no tag ends any more: one that begins is lost, other text stays
+                if not re.match(r"<[a-zA-Z/!?]", source[lt : lt + 2]):
+                    self.add("<")
+                    at = lt + 1
+                    continue
+                break
+            if source.startswith("<!", lt) or source.startswith("<?", lt):
+                at = self.declaration(lt, n)
+                continue
+            m = _TAG.match(source, lt)
+            if not m:
+                self.add("<")
+                at = lt + 1
+                continue
+            at = m.end()
+            if m["end"]:
+                self.end(m["name"].lower())
+            else:
+                at = self.start(m["name"].lower(), m["attrs"], at, n)
+        self.flush()
+        return self.page
+
+    def declaration(self, lt: int, n: int) -> int:
+        """Comments, CDATA sections, whose text is taken as it is, and all else that is no element: up to its >."""
+        if self.source.startswith("<!--", lt):
+            return self.after("-->", lt + 2, n)
+        if self.source.startswith("<![CDATA[", lt):
+            end = self.after("]]>", lt, -1)
+            if end >= 0:
+                self.add(self.source[lt + 9 : end - 3], plain=True)
+                return end
+        return self.after(">", lt, n)
+
+    def end(self, name: str) -> None:
+        if name == "a":
+            self.in_link = False
+        if self.open_names.get(name):
+            self.flush()
+            while self.nodes[self.stack[-1]].name != name:
+                self.pop()
+            self.pop()
+        elif name not in INLINE:
+            self.flush()
+
+    def start(self, name: str, attrs: str, at: int, n: int) -> int:
+        """Open an element; where reading goes on."""
         if name in VOID:
             if name in ("br", "hr", "img"):
-                text.append(" ")
+                self.text.append(" ")
                 if name == "hr":
-                    flush()
-            continue
+                    self.flush()
+            return at
         if name in RAW:
-            if not (m["attrs"] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.IGNORECASE).search(source, at)
-                at = end.end() if end else (n if name in ("script", "style", "textarea", "title") else at)
-            continue
-        attrs = m["attrs"] or ""
+            if attrs.endswith("/"):
+                return at
+            found = None if name in self.never_closed else _closing(name).search(self.source, at)
+            if not found:
+                self.never_closed.add(name)
+                return n if name in ("script", "style", "textarea", "title") else at
+            return found.end()
         if name == "a":
-            in_link = True
-        bad, good = _evidence(name, attrs)
-        if name in INLINE and not bad:
-            continue
-        flush()
-        while len(stack) > 1 and name in CLOSES.get(nodes[stack[-1]].name, ()):
-            pop()
-        if attrs.rstrip().endswith("/") and name in INLINE:
-            continue
-        nodes.append(Node(name, stack[-1], bad, good))
-        stack.append(len(nodes) - 1)
-        open_names[name] = open_names.get(name, 0) + 1
-    flush()
+            self.in_link = True
+        evidence = _evidence(name, attrs)
+        if name in INLINE and not any(evidence[:3]):
+            return at
+        self.flush()
+        while len(self.stack) > 1 and name in CLOSES.get(self.nodes[self.stack[-1]].name, ()):
+            self.pop()
+        if not (attrs.rstrip().endswith("/") and name in INLINE):
+            self.nodes.append(Node(name, self.stack[-1], *evidence))
+            self.stack.append(len(self.nodes) - 1)
+            self.open_names[name] = self.open_names.get(name, 0) + 1
+        return at
+
+
+def parse(source: str) -> Page:
+    """Blocks and the elements around them; markup that is broken is read as browsers do, roughly."""
+    page = _Parser(source).read()
+    nodes = page.nodes
     for b in page.blocks:
         nodes[b.node].chars += b.chars
     for k in range(len(nodes) - 1, 0, -1):
@@ -192,59 +253,15 @@ def parse(source: str) -> Page:
     return page
 
 
-#: Fixed values of the classifier: log-odds of content that each sign adds.
-WEIGHTS = {
-    "bias": 0.9, "bad": -8.0, "good": 5.0, "linked": -4.0, "long": 2.0, "sentence": 1.0, "short": -0.8, "mark": -5.0, "heading": 1.0,
-}
 SMOOTH_NEXT, SMOOTH_FAR, SMOOTH_TREE = 1.2, 0.3, 0.6
-_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def scores(page: Page) -> list[float]:
-    """Log-odds of content of each block."""
-    nodes, total = page.nodes, max(page.nodes[0].chars, 1)
-    state = [(False, False)] * len(nodes)
-    holds_good = [node.good for node in nodes]
-    for k in range(len(nodes) - 1, 0, -1):
-        holds_good[nodes[k].parent] |= holds_good[k]
-    for k, node in enumerate(nodes[1:], 1):
-        bad, good = state[node.parent]
-        wraps = node.chars > MOST_OF_PAGE * total and (holds_good[k] or not holds_good[0])
-        own = node.bad and not (wraps and (node.bad == 1 or node.name in ("form", "fieldset", "header")))
-        if own and node.name == "header" and good and not bad and node.bad == 2:
-            own = False  # an article's own heading
-        state[k] = (bad or bool(own), good or node.good)
-    out = []
-    for b in page.blocks:
-        bad, good = state[b.node]
-        s = WEIGHTS["bias"]
-        if bad:
-            s += WEIGHTS["bad"]
-        elif good:
-            s += WEIGHTS["good"]
-        share = min(1.0, b.linked / max(b.chars, 1))
-        if not good or share > 0.5 and b.words > 40:
-            s += WEIGHTS["linked"] * share
-        if b.words >= 15:
-            s += WEIGHTS["long"]
-        elif b.words <= 3 and nodes[b.node].name not in _HEADINGS:
-            s += WEIGHTS["short"]
-        if b.text[-1] in ".!?:;\"'»”…":
-            s += WEIGHTS["sentence"]
-        if nodes[b.node].name in _HEADINGS:
-            s += WEIGHTS["heading"]
-        if b.text[0] == "©" and not good:
-            s += WEIGHTS["mark"]
-        out.append(s)
-    return out
-
-
-def graph(page: Page) -> tuple[list[int], list[tuple[int, int, int]]]:
+def graph(page: Page, weights: tuple[float, ...]) -> tuple[list[int], list[tuple[int, int, int]]]:
     """Terminal capacities (positive: to the source, which means content) and smoothness edges.
 
     Vertices are the blocks, then one for each element that holds blocks.
     """
-    terminals = [round(UNIT * s) for s in scores(page)]
+    terminals = [round(UNIT * s) for s in costs(page, weights)]
     nodes, blocks = page.nodes, page.blocks
     vertex: dict[int, int] = {}
     edges = []
@@ -267,10 +284,44 @@ def graph(page: Page) -> tuple[list[int], list[tuple[int, int, int]]]:
 def min_cut(terminals: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """Which vertices stay on the source's side of a minimum cut (the largest such side).
 
-    Augmenting along shortest paths from spare source capacity to spare sink
-    capacity; what a vertex could send to itself is settled from the start.
+    A vertex whose own capacity is no less than that of all its edges is on its
+    side whatever the others are; its edges then count for its neighbours. Most
+    vertices go this way, in time linear in the edges. Between the others the
+    largest flow is found by levels (Dinic).
     """
     n = len(terminals)
+    own = list(terminals)
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    spare = [0] * n
+    for u, v, c in edges:
+        near[u].append((v, c))
+        near[v].append((u, c))
+        spare[u] += c
+        spare[v] += c
+    side: list[bool | None] = [None] * n
+    queue = deque(range(n))
+    while queue:
+        u = queue.popleft()
+        if side[u] is not None or -spare[u] <= own[u] < spare[u]:
+            continue
+        side[u] = own[u] > 0 or own[u] == spare[u]
+        for v, c in near[u]:
+            if side[v] is None:
+                spare[v] -= c
+                own[v] += c if side[u] else -c
+                queue.append(v)
+    rest = [u for u in range(n) if side[u] is None]
+    if rest:
+        at = {u: k for k, u in enumerate(rest)}
+        kept = [(at[u], at[v], c) for u, v, c in edges if side[u] is None and side[v] is None]
+        for u, content in zip(rest, _flow_cut([own[u] for u in rest], kept), strict=True):
+            side[u] = content
+    return side
+
+
+def _flow_cut(terminals: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
+    """``min_cut`` by the largest flow; what a vertex could send to itself is settled from the start."""
+    n = len(terminals)
     near: list[list[int]] = [[] for _ in range(n)]
     head, room = [], []
     for u, v, c in edges:
@@ -281,51 +332,72 @@ def min_cut(terminals: list[int], edges: list[tuple[int, int, int]]) -> list[boo
     give = [max(t, 0) for t in terminals]
     take = [max(-t, 0) for t in terminals]
     while True:
-        via: dict[int, int] = {u: -1 for u in range(n) if give[u]}
-        level = {u: 0 for u in via}
-        queue, ends = deque(via), []
-        while queue:
-            u = queue.popleft()
-            if take[u]:
-                ends.append(u)
-                continue
-            for e in near[u]:
-                v = head[e]
-                if room[e] and v not in level:
-                    level[v] = level[u] + 1
-                    via[v] = e
-                    queue.append(v)
-        if not ends:
+        level = [0 if g else -1 for g in give]
+        layer, depth, met = [u for u in range(n) if give[u]], 0, False
+        while layer and not met:
+            depth, after = depth + 1, []
+            for u in layer:
+                for e in near[u]:
+                    v = head[e]
+                    if room[e] and level[v] < 0:
+                        level[v] = depth
+                        after.append(v)
+                        met = met or take[v] > 0
+            layer = after
+        if not met:
             break
-        for end in ends:
-            path, u, least = [], end, take[end]
-            while via[u] >= 0:
-                e = via[u]
-                path.append(e)
-                least = min(least, room[e])
-                u = head[e ^ 1]
-            least = min(least, give[u])
-            if not least:
-                continue
-            give[u] -= least
-            take[end] -= least
-            for e in path:
-                room[e] -= least
-                room[e ^ 1] += least
+        tried = [0] * n
+        for source in range(n):
+            if level[source] == 0:
+                _send(source, give, take, near, head, room, level, tried)
     # Content is what cannot reach spare sink capacity: ties go to content.
-    seen = {u for u in range(n) if take[u]}
-    queue = deque(seen)
+    seen = [t > 0 for t in take]
+    queue = deque(u for u in range(n) if seen[u])
     while queue:
         v = queue.popleft()
         for e in near[v]:
             u = head[e]
-            if room[e ^ 1] and u not in seen:
-                seen.add(u)
+            if room[e ^ 1] and not seen[u]:
+                seen[u] = True
                 queue.append(u)
-    return [u not in seen for u in range(n)]
+    return [not x for x in seen]
+
+
+def _send(source: int, give: list, take: list, near: list, head: list, room: list, level: list, tried: list) -> None:
+    """Send what ``source`` has along edges that lead one level on; an edge that leads nowhere is tried once."""
+    path, u = [], source
+    while give[source]:
+        if take[u]:
+            least = min(give[source], take[u], *(room[e] for e in path))
+            give[source] -= least
+            take[u] -= least
+            cut = len(path)
+            for k in range(len(path) - 1, -1, -1):
+                e = path[k]
+                room[e] -= least
+                room[e ^ 1] += least
+                if not room[e]:
+                    cut = k
+            if cut < len(path):
+                u = head[path[cut] ^ 1]
+                del path[cut:]
+            continue
+        while tried[u] < len(near[u]):
+            e = near[u][tried[u]]
+            if room[e] and level[head[e]] == level[u] + 1:
+                break
+            tried[u] += 1
+        else:
+            if not path:
+                return
+            u = head[path.pop() ^ 1]
+            tried[u] += 1
+            continue
+        path.append(e)
+        u = head[e]
 
 
-def main_text(source: str | None) -> str:
+def main_text(source: str | None, weights: tuple[float, ...] | None = None) -> str:
     """Content blocks in page order, joined by one space; empty if there are none.
 
     A null or empty page gives the empty text; a page without markup is one
@@ -338,23 +410,28 @@ def main_text(source: str | None) -> str:
         return ""
     if len(page.nodes) == 1:
         return " ".join(b.text for b in page.blocks)
-    side = min_cut(*graph(page))
+    side = min_cut(*graph(page, weights or trained()))
     return " ".join(b.text for b, content in zip(page.blocks, side, strict=False) if content)
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(x.as_py()) for x in batch.column("html")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
-        )
+def _run(weights: tuple[float, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(x.as_py(), weights) for x in batch.column("html")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
+            )
+
+    return run
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages(page_id, url, html)``.
 
     Rows are independent: repeated rows and null ids or URLs stay as they are.
-    A null html gives the empty text and n_chars 0. Other columns are ignored.
+    A null or empty html gives the empty text and n_chars 0; a page's text ends
+    where a tag is begun that never ends. Other columns are ignored. Empty
+    table: no rows.
     """
-    out = pages.select("page_id", "url", "html").mapInArrow(_run, "page_id long, url string, text string")
+    out = pages.select("page_id", "url", "html").mapInArrow(_run(trained()), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
