@@ -3,13 +3,17 @@
 A rolling hash over ids cuts each document's stream into chunks where the
 content says so; equal content gives equal chunks. ``chunks`` holds every
 different chunk once under its digest; ``recipes`` holds for each document, in
-ascending doc_id order, its place, the digests of its chunks and their Merkle
-root; ``manifest`` holds for each recipe file the ids before it and the Merkle
-root of its documents' roots. Reading checks all of these.
+ascending doc_id order, its place, the digests of its chunks and the digest of
+these, its node; ``manifest`` holds for each recipe file its documents, its ids
+and the Merkle root over its documents' nodes in order; ``head`` signs the
+files. Reading builds all of these trees again from the recipes and the chunks
+and raises where one differs, so no recipe or chunk can be lost, added, moved or
+altered.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,9 +29,12 @@ from .tokens import END, encoder, vocabulary
 
 U64 = np.uint64
 #: Ids under the rolling hash; mean, least and most ids of a chunk.
-WINDOW, MEAN, LEAST, MOST = 4, 512, 64, 4096
+WINDOW, MEAN, LEAST, MOST = 8, 256, 32, 2048
+#: Ids below this take two bytes.
+NARROW = 1 << 16
 #: Digests of chunks that a task has sent already (so that it need not send them again).
 SENT = 200_000
+MANIFEST = "part int, n_docs long, n_ids long, root binary"
 RECIPE = "doc_id long, n_tokens long, n_chunks int, root binary, digests array<binary>, ends array<long>"
 
 
@@ -44,6 +51,36 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+class Tree:
+    """The root of ``merkle`` over leaves that come one by one; holds a node for each level."""
+
+    def __init__(self):
+        self.levels: list[bytes | None] = []
+
+    def add(self, leaf: bytes) -> None:
+        node, k = digest(b"\0" + leaf), 0
+        while k < len(self.levels) and self.levels[k] is not None:
+            node, self.levels[k] = digest(b"\1" + self.levels[k] + node), None
+            k += 1
+        self.levels[k : k + 1] = [node]
+
+    def root(self) -> bytes:
+        up = None
+        for node in self.levels:
+            if node is not None:
+                up = node if up is None else digest(b"\1" + node + up)
+        return digest(b"") if up is None else up
+
+
+def document_root(names: list[bytes], ends: list[int]) -> bytes:
+    """A document's node: over the digests and ends of its chunks."""
+    return digest(b"\2" + b"".join(names) + struct.pack(f"<{len(ends)}q", *ends))
+
+
+def _leaf(doc_id: int | None, n_tokens: int, root: bytes) -> bytes:
+    return struct.pack("<?qq", doc_id is None, doc_id or 0, n_tokens) + root
+
+
 def candidates(ids: np.ndarray) -> np.ndarray:
     """Ends that the rolling hash proposes. Only the last WINDOW ids count, so streams may stand one after the other:
     what reaches into the stream before lies within the first LEAST ids, where no chunk ends."""
@@ -69,13 +106,22 @@ def cuts(proposed: list[int], n: int) -> list[int]:
     return ends
 
 
+_KINDS = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+_NAMES = ["key", "content", "doc_id", "n_tokens", "root", "digests", "ends"]
+
+
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES
+    )
+
+
 def _split(path: str, wide: bool):
     """Rows of two kinds: chunks under their digest, recipes under their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sent = encoder(path).encode, set()
         for batch in batches:
-            rows: list[tuple] = []
             streams = [encode(x.as_py()) + END for x in batch.column("text")]
             ids = np.frombuffer(b"".join(streams), dtype="<u4")
             at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in streams]))).astype(np.int64)
@@ -83,25 +129,26 @@ def _split(path: str, wide: bool):
             of = np.searchsorted(proposed, at, side="right").tolist()
             width = 4 if wide else 2
             stored = memoryview(ids.astype("<u4" if wide else "<u2").tobytes())
+            keys, contents, recipes = [], [], []
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):
                 base, n = int(at[k]), int(at[k + 1] - at[k])
                 ends = cuts((proposed[of[k] : of[k + 1]] - base).tolist(), n)
-                names, last = [], 0
+                names, last = [], base * width
                 for end in ends:
-                    content = stored[(base + last) * width : (base + end) * width]
-                    names.append(digest(content))
-                    last = end
-                    if names[-1] not in sent:
+                    content = stored[last : (base + end) * width]
+                    last = (base + end) * width
+                    name = digest(content)
+                    names.append(name)
+                    if name not in sent:
                         if len(sent) >= SENT:
                             sent.clear()
-                        sent.add(names[-1])
-                        rows.append((names[-1], bytes(content), None, None, None, None, None))
-                root = merkle(names)
-                rows.append((root, None, doc, n, root, names, ends))
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            names = ["key", "content", "doc_id", "n_tokens", "root", "digests", "ends"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                        sent.add(name)
+                        keys.append(name)
+                        contents.append(content)
+                recipes.append((doc, n, document_root(names, ends), names, ends))
+            docs, sizes, roots, names, ends = zip(*recipes, strict=True) if recipes else [[]] * 5
+            yield _rows(keys, contents, pa.nulls(len(keys)), pa.nulls(len(keys)), pa.nulls(len(keys)), pa.nulls(len(keys)), pa.nulls(len(keys)))
+            yield _rows(roots, pa.nulls(len(roots)), docs, sizes, roots, names, ends)
 
     return run
 
@@ -125,7 +172,7 @@ def write_store(spark: SparkSession, docs: DataFrame, root: str, path: str | Non
     path = path or vocabulary()
     from tokenizers import Tokenizer
 
-    wide = Tokenizer.from_file(path).get_vocab_size() > 1 << 16
+    wide = Tokenizer.from_file(path).get_vocab_size() > NARROW
     schema = "key binary, content binary, doc_id long, n_tokens long, root binary, digests array<binary>, ends array<long>"
     rows = docs.select("doc_id", "text").mapInArrow(_split(path, wide), schema)
     # Of each chunk one row stays; recipes, of which one root may belong to many, are told apart by their document.
@@ -144,23 +191,46 @@ def write_store(spark: SparkSession, docs: DataFrame, root: str, path: str | Non
         .withColumn("part", F.spark_partition_id())
     )
     placed.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/recipes")
-    manifest = (
-        spark.read.parquet(f"{root}/recipes")
-        .groupBy("part")
-        .agg(
-            F.count("*").alias("n_docs"),
-            F.sum("n_tokens").alias("n_ids"),
-            F.sort_array(F.collect_list(F.struct("local_start", "root"))).alias("roots"),
-        )
-        .mapInArrow(_sign, "part int, n_docs long, n_ids long, root binary")
-    )
+    manifest = _fold(spark, root)
     manifest.write.mode("overwrite").parquet(f"{root}/manifest")
+    _head(spark.read.schema(MANIFEST).parquet(f"{root}/manifest"), wide).write.mode("overwrite").parquet(f"{root}/head")
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fold(spark: SparkSession, root: str) -> DataFrame:
+    """The manifest, from the recipes: a few numbers of each document are dealt by file and folded in order."""
+    rows = spark.read.schema(f"{RECIPE}, local_start long, part int").parquet(f"{root}/recipes").select("part", "local_start", "doc_id", "n_tokens", "root")
+    return rows.repartition("part").sortWithinPartitions("part", "local_start", "doc_id", "root").mapInArrow(_fold_files, MANIFEST)
+
+
+def _fold_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each file, from its documents in order; a document that does not begin where the last one ended raises."""
+    done, file, tree, n_docs, n_ids = [], None, Tree(), 0, 0
     for batch in batches:
-        roots = [merkle([x["root"] for x in row]) for row in batch.column("roots").to_pylist()]
-        yield batch.select(["part", "n_docs", "n_ids"]).append_column("root", pa.array(roots, pa.binary()))
+        for part, start, doc, n, root in zip(*(batch.column(c).to_pylist() for c in ("part", "local_start", "doc_id", "n_tokens", "root")), strict=True):
+            if part != file:
+                if file is not None:
+                    done.append((file, n_docs, n_ids, tree.root()))
+                file, tree, n_docs, n_ids = part, Tree(), 0, 0
+            if start != n_ids:
+                raise ValueError("the recipes of a file do not follow each other")
+            tree.add(_leaf(doc, n, root))
+            n_docs += 1
+            n_ids += n
+    if file is not None:
+        done.append((file, n_docs, n_ids, tree.root()))
+    columns = list(zip(*done, strict=True)) or [[]] * 4
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "n_docs", "n_ids", "root"])
+
+
+def _head(manifest: DataFrame, wide: bool) -> DataFrame:
+    """One row that signs the manifest (as many rows as files) and says how wide ids are."""
+    rows = sorted(tuple(r) for r in manifest.collect())
+    tree = Tree()
+    for part, n_docs, n_ids, root in rows:
+        tree.add(struct.pack("<iqq", part, n_docs, n_ids) + bytes(root))
+    sums = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    return manifest.sparkSession.createDataFrame([(len(rows), *sums, wide, tree.root())], "files int, n_docs long, n_ids long, wide boolean, root binary")
 
 
 @lru_cache(1)
@@ -214,6 +284,14 @@ def _read_chunks(wide: bool):
     return run
 
 
+def _sound_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, content in zip(batch.column("key").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            if digest(content) != key:
+                raise ValueError("a stored chunk does not match its digest")
+        yield batch
+
+
 def _shift_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         crc, after = batch.column("crc").to_numpy(), batch.column("after").to_numpy()
@@ -223,29 +301,37 @@ def _shift_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _check_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for root, names in zip(batch.column("root").to_pylist(), batch.column("digests").to_pylist(), strict=True):
-            if merkle(names) != root:
+        for root, names, ends in zip(*(batch.column(c).to_pylist() for c in ("root", "digests", "ends")), strict=True):
+            if len(names) != len(ends) or document_root(names, ends) != root:
                 raise ValueError("a recipe does not match its Merkle root")
         yield batch
 
 
-def _starts(spark: SparkSession, root: str) -> DataFrame:
-    """Ids before each recipe file: as many rows as files."""
-    rows = sorted(spark.read.parquet(f"{root}/manifest").select("part", "n_ids").collect())
+def verify(spark: SparkSession, root: str) -> tuple[DataFrame, bool]:
+    """Ids before each recipe file (as many rows as files) and whether ids are wide; raises unless recipes, manifest and head agree."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+    head = spark.read.parquet(f"{root}/head").first()
+    if tuple(_head(manifest, head["wide"]).first()) != tuple(head):
+        raise ValueError("the manifest does not match its head")
+    known = sorted(tuple(r) for r in manifest.collect())
+    if sorted(tuple(r) for r in _fold(spark, root).collect()) != known:
+        raise ValueError("the recipes do not match the manifest")
     before, out = 0, []
-    for part, n in rows:
+    for part, _, n, _ in known:
         out.append((part, before))
         before += n
-    return spark.createDataFrame(out, "part int, base long")
+    return spark.createDataFrame(out, "part int, base long"), head["wide"]
 
 
-def read_digests(spark: SparkSession, root: str, wide: bool = False) -> DataFrame:
+def read_digests(spark: SparkSession, root: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files under ``root`` alone.
 
-    Every chunk is read and held against its digest, every recipe against its
-    root and every document's length against its chunks; a mismatch raises.
-    The CRCs of chunks are combined, so no content is shuffled.
+    The recipes are held against the manifest and its head at once. Every chunk
+    is held against its digest, every recipe against its root and every
+    document's length against its chunks when the rows are read. A mismatch
+    raises. The CRCs of chunks are combined, so no content is shuffled.
     """
+    starts, wide = verify(spark, root)
     recipes = spark.read.parquet(f"{root}/recipes").mapInArrow(_check_roots, f"{RECIPE}, local_start long, part int")
     chunks = spark.read.schema("key binary, content binary").parquet(f"{root}/raw/kind=chunk")
     chunks = chunks.mapInArrow(_read_chunks(wide), "key binary, size long, crc long")
@@ -257,14 +343,13 @@ def read_digests(spark: SparkSession, root: str, wide: bool = False) -> DataFram
     )
     whole = terms.groupBy("part", "local_start").agg(F.bit_xor("term").alias("ids_crc32"), F.sum("size").alias("size"))
     heads = spark.read.parquet(f"{root}/recipes").select("part", "local_start", "doc_id", "n_tokens")
-    read = heads.join(whole, ["part", "local_start"], "left").join(F.broadcast(_starts(spark, root)), "part")
+    read = heads.join(whole, ["part", "local_start"], "left").join(F.broadcast(starts), "part")
     sound = F.when(F.col("size") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(
         F.raise_error(F.lit("the chunks of a document are not all there")).cast("long")
     )
     return read.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", sound.alias("ids_crc32"))
 
 
-
 def store_tokens(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write the store of ``docs`` in the shared folder and read it back (see ``read_digests``).
 
@@ -277,11 +362,12 @@ def store_tokens(spark: SparkSession, docs: DataFrame, path: str | None = None)
     return read_digests(spark, root)
 
 
-def read_ids(spark: SparkSession, root: str, wide: bool = False) -> DataFrame:
-    """``doc_id, start, ids array<int>``: the documents rebuilt from their recipes and the chunks."""
+def read_ids(spark: SparkSession, root: str) -> DataFrame:
+    """``doc_id, start, ids array<int>``: the documents rebuilt from their recipes and the chunks, checked as in ``read_digests``."""
+    starts, wide = verify(spark, root)
     recipes = spark.read.parquet(f"{root}/recipes").mapInArrow(_check_roots, f"{RECIPE}, local_start long, part int")
     used = recipes.select("part", "local_start", "doc_id", F.posexplode("digests").alias("k", "key"))
-    chunks = spark.read.schema("key binary, content binary").parquet(f"{root}/raw/kind=chunk")
+    chunks = spark.read.schema("key binary, content binary").parquet(f"{root}/raw/kind=chunk").mapInArrow(_sound_chunks, "key binary, content binary")
     parts = used.join(chunks, "key").groupBy("part", "local_start", "doc_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("k", "content"))), lambda x: x["content"]).alias("contents")
     )
@@ -292,6 +378,6 @@ def read_ids(spark: SparkSession, root: str, wide: bool = False) -> DataFrame:
             yield batch.select(["part", "local_start", "doc_id"]).append_column("ids", pa.array(ids, pa.list_(pa.int32())))
 
     whole = parts.mapInArrow(rebuild, "part int, local_start long, doc_id long, ids array<int>")
-    return whole.join(F.broadcast(_starts(spark, root)), "part").select(
+    return whole.join(F.broadcast(starts), "part").select(
         "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "ids"
     )
