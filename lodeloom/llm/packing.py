@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .tokens import END, encoder, vocabulary
+from .tokens import encoder, vocabulary, with_end
 
 #: Pieces that are numbered together in one task.
 RANKED_TOGETHER = 50_000
@@ -34,13 +34,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        own = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py()) + END
-                for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+            ids, ends = with_end(*own.encode_rows(batch.column("text")))
+            flat, last = memoryview(ids).cast("B"), 0
+            for doc, end in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                for k, (start, length) in enumerate(cut(end - last, capacity)):
+                    at = last + start
+                    rows.append((doc, k, start, length, zlib.crc32(flat[4 * at : 4 * (at + length)])))
+                last = end
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(

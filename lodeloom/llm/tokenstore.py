@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .tokens import END, encoder, vocabulary
+from .tokens import encoder, vocabulary, with_end
 
 U64 = np.uint64
 #: Ids under the rolling hash; mean, least and most ids of a chunk.
@@ -120,11 +120,10 @@ def _split(path: str, wide: bool):
     """Rows of two kinds: chunks under their digest, recipes under their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sent = encoder(path).encode, set()
+        own, sent = encoder(path), set()
         for batch in batches:
-            streams = [encode(x.as_py()) + END for x in batch.column("text")]
-            ids = np.frombuffer(b"".join(streams), dtype="<u4")
-            at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in streams]))).astype(np.int64)
+            ids, ends_at = with_end(*own.encode_rows(batch.column("text")))
+            at = np.concatenate(([0], ends_at)).astype(np.int64)
             proposed = candidates(ids)
             of = np.searchsorted(proposed, at, side="right").tolist()
             width = 4 if wide else 2

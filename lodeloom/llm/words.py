@@ -64,9 +64,9 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def raw(texts: pa.Array, release: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null counts as empty."""
-    while RELEASE:
+    while RELEASE and release:
         RELEASE.pop()()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
