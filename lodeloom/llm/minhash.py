@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import words as w
 from .components import components
+from .skew import meet
 from .store import Scratch
 
 U64 = np.uint64
@@ -170,7 +171,7 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, shingle: int = 5, percen
         docs.mapInArrow(_features(shingle), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "features"
     )
     linked = features.filter("n_shingles > 0 and doc_id is not null")
-    classes = scratch.keep(linked.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
+    classes = scratch.keep(linked.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
 
     reps = linked.join(classes, [linked.doc_id == classes.node, *(linked[c] == classes[c] for c in ("f1", "f2"))], "left_semi")
     banded = reps.select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("bucket")).distinct()
@@ -201,15 +202,14 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, shingle: int = 5, percen
     scratch.drop("buckets", "sets")
 
     named = classes.join(parts, "node", "left").select(
-        "f1", "f2", F.col("n_shingles").alias("n"), F.coalesce("component", "node").alias("component_id")
+        "f1", "f2", "n_shingles", "copies", F.coalesce("component", "node").alias("component_id")
     )
+    columns = ["doc_id", "n_shingles", "component_id"]
     whole = features.select("doc_id", "n_shingles", "f1", "f2")
-    out = whole.join(named, [whole.f1 == named.f1, whole.f2 == named.f2, whole.n_shingles == named.n], "left")
-    own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(own, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept")
-    )
+    own = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    out = meet(whole.filter(~own), named, ["f1", "f2", "n_shingles"], features.count(), "copies").select(*columns)
+    out = out.unionByName(whole.filter(own).withColumn("component_id", F.col("doc_id")).select(*columns))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def _rest(buckets: DataFrame, after: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

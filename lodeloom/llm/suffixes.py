@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import words as w
-from .store import Scratch
+from .skew import meet
+from .store import Scratch, fresh
 
 U64 = np.uint64
 LEAST, GRAM = 50, 8
-#: A hash with a larger share of all rows than 1/HOT is broadcast.
-HOT = 200
 #: Windows that one batch holds.
 ROWS = 1 << 16
 _PLACE = 22  # bits of a place in a slice
@@ -176,17 +175,6 @@ def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
     return groups.select(*key, "n", "first", (F.col("first") != F.col("last")).alias("repeated"))
 
 
-def _meet(rows: DataFrame, groups: DataFrame, key: list[str], total: int) -> DataFrame:
-    """Rows joined to their groups (which hold ``n``).
-
-    A key with over 1/HOT of all rows would make a hot one; there are fewer
-    than HOT of them, so they are broadcast and the others are joined.
-    """
-    hot = F.broadcast(groups.filter(F.col("n") * HOT > total))
-    rest = rows.join(hot.select(*key), key, "left_anti").join(groups.filter(F.col("n") * HOT <= total), key)
-    return rows.join(hot, key).unionByName(rest)
-
-
 def _marks(met: DataFrame, size: F.Column) -> DataFrame:
     """``doc_id, text_hash, mark``: rows that met their groups, as numbers for ``_join_spans``."""
     later = (F.struct(*_AT) != F.col("first")).cast("long")
@@ -212,11 +200,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = LEAST, gra
     total = chosen.count()
     # Copies of whole spans: each but the first is a later one, with all its windows.
     classes = scratch.keep(_groups(chosen, ["gram", "span"]), "classes")
-    whole = _meet(chosen, classes.filter("repeated").drop("repeated"), ["gram", "span"], total)
+    whole = meet(chosen, classes.filter("repeated").drop("repeated"), ["gram", "span"], total)
     whole = _marks(whole, F.col("windows") + (least - 1))
     # Windows that different spans share: their minimisers have the same words.
     shared = scratch.keep(classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    spans = _meet(classes.select("gram", "first"), shared, ["gram"], classes.count()).select("first.*")
+    spans = meet(classes.select("gram", "first"), shared, ["gram"], classes.count()).select("first.*")
     heads = chosen.select(*_AT, "windows").join(spans, _AT)
     places = heads.groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.shiftleft(F.col("start").cast("long"), 32) + F.col("windows")).alias("at")
@@ -228,44 +216,58 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = LEAST, gra
     )
     windows = scratch.keep(windows, "windows")
     found = scratch.keep(_groups(windows, ["window"]).filter("repeated").drop("repeated"), "found")
-    single = _marks(_meet(windows, found, ["window"], windows.count()), F.lit(least))
+    single = _marks(meet(windows, found, ["window"], windows.count()), F.lit(least))
     marks = whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
     kind = "array<struct<start:int,stop:int>>"
     return marks.mapInArrow(_join_spans, f"doc_id long, text_hash long, spans {kind}, later {kind}")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the words of their spans ``later`` and the white space after them."""
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text"), batch.column("later").to_pylist(), strict=True):
-            if not spans:
-                out.append(text.as_py())
-                continue
-            raw = text.as_py().encode()
-            words = w.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), hashes=False)
-            parts, last = [], 0
-            for s in spans:
-                parts.append(raw[last : words.start[s["start"]]])
-                last = words.start[s["stop"]] if s["stop"] < len(words.start) else len(raw)
-            out.append(b"".join([*parts, raw[last:]]).decode())
-        k = batch.schema.get_field_index("text")
-        yield batch.set_column(k, "text", pa.array(out, pa.string()))
+def _cut(column: str):
+    """Texts without the words of their spans in ``column`` and the white space after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column("text"), batch.column(column).to_pylist(), strict=True):
+                if not spans:
+                    out.append(text.as_py())
+                    continue
+                raw = text.as_py().encode()
+                words = w.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), hashes=False)
+                parts, last = [], 0
+                for s in spans:
+                    parts.append(raw[last : words.start[s["start"]]])
+                    last = words.start[s["stop"]] if s["stop"] < len(words.start) else len(raw)
+                out.append(b"".join([*parts, raw[last:]]).decode())
+            k = batch.schema.get_field_index("text")
+            yield batch.set_column(k, "text", pa.array(out, pa.string()))
+
+    return run
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """``docs`` without the passages of which the corpus holds an earlier occurrence.
 
-    All columns stay; n_chars, if there, counts what is left. A document of
-    which nothing but white space is left goes; others stay as they are.
+    All columns stay, whatever their names; n_chars, if there, counts what is
+    left. A document of which nothing but white space is left goes; others, and
+    those with a null or empty text or without a doc_id, stay as they are.
+    Repeated rows (of one doc_id and text) are one document, so they lose the
+    same passages and stay each. An empty table stays empty.
     """
-    spans = repeated_spans(spark, docs, least, gram).select("doc_id", F.col("text_hash").alias("_hash"), "later")
-    marked = docs.withColumn("_hash", F.xxhash64("text")).join(spans, ["doc_id", "_hash"], "left").drop("_hash").select(*docs.columns, "later")
-    schema = StructType([*docs.schema.fields, spans.schema["later"]])  # add() would change the frame's own schema
-    out = marked.mapInArrow(_cut, schema).filter("later is null or size(later) = 0 or trim(translate(text, '\t\n\x0b\x0c\r', '')) <> ''")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("later") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    columns = docs.columns
+    key, later = fresh("text_hash", columns), fresh("later", columns)
+    spans = repeated_spans(spark, docs, least, gram).select(
+        F.col("doc_id").alias("_of"), F.col("text_hash").alias(key), F.col("later").alias(later)
+    )
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    spans = spans.withColumnRenamed("_of", fresh("of", columns, [key, later]))
+    marked = keyed.join(spans, [F.col("doc_id") == F.col(spans.columns[0]), keyed[key] == spans[key]], "left").select(*columns, later)
+    schema = StructType([*docs.schema.fields, spans.schema[later]])  # add() would change the frame's own schema
+    cut = F.size(later) > 0
+    out = marked.mapInArrow(_cut(later), schema).filter(~F.coalesce(cut, F.lit(False)) | (F.trim(F.translate("text", "\t\n\x0b\x0c\r", "")) != ""))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:

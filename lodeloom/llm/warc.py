@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .skew import meet
 from .store import Scratch
 
 CRLF = b"\r\n"
@@ -39,8 +40,6 @@ BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 CAPTURED = "20200101000000"
 #: How archives are packed: time counts more than the last bytes.
 PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
-#: A digest that more than 1/HOT of all records share is told to every task (there are fewer than HOT); others are joined.
-HOT = 200
 
 
 def sha1_32(x: bytes) -> str:
@@ -278,13 +277,6 @@ def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _as_text(some.column("value"))
 
 
-def _meet(small: DataFrame, best: DataFrame, total: int) -> DataFrame:
-    """Records whose digest has a best record (``copies`` each), with that; one that a large share has is no hot key."""
-    hot = F.broadcast(best.filter(F.col("copies") * HOT > total))
-    rest = small.join(hot.select("digest"), "digest", "left_anti").join(best.filter(F.col("copies") * HOT <= total), "digest")
-    return small.join(hot, "digest").unionByName(rest)
-
-
 def convert(spark: SparkSession, arcs: str, warcs: str, scratch: Scratch, min_bytes: int = 0) -> None:
     """Convert the ARC files under ``arcs`` to WARC files under ``warcs``.
 
@@ -304,7 +296,7 @@ def convert(spark: SparkSession, arcs: str, warcs: str, scratch: Scratch, min_by
     long_ones = small.filter(F.col("n") >= min_bytes)
     best = long_ones.groupBy("digest").agg(F.max(place).alias("to"), F.count("*").alias("copies")).filter("copies > 1")
     best = scratch.keep(best, "best")
-    told = _meet(long_ones, best, small.count()).filter((F.col("to.file") != F.col("file")) | (F.col("to.offset") != F.col("offset")))
+    told = meet(long_ones, best, ["digest"], small.count(), "copies").filter((F.col("to.file") != F.col("file")) | (F.col("to.offset") != F.col("offset")))
     revisits = told.groupBy("file").agg(F.collect_list(F.struct(F.col("offset").alias("at"), "to")).alias("revisits"))
     files = _arc_files(spark, arcs).join(revisits.withColumnRenamed("file", "path"), "path", "left")
     files.mapInArrow(_to_warc, "value string").write.mode("overwrite").options(lineSep="\r\n\r\n", **PACKED).text(warcs)
