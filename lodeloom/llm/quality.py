@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from . import words as w
-from .store import Scratch
+from .store import Scratch, fresh
 
 NAMES = [
     "words", "word_length", "upper", "digits", "symbols", "stops", "other_marks", "pipes", "distinct_words", "repeated_lines", "repeated_runs",
@@ -88,11 +89,23 @@ def _rows(texts: pa.Array) -> np.ndarray:
     return (np.concatenate(parts) if parts else np.zeros((0, len(NAMES)))).astype(np.float32)
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
+
+
+def _with_statistics(column: str):
+    """Rows as they are and their statistics as one more column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column(column, _lists(_rows(batch.column("text"))))
+
+    return run
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = _rows(batch.column("text"))
-        stats = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), stats], names=["doc_id", "stats"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(_rows(batch.column("text")))], names=["doc_id", "stats"])
 
 
 def document_statistics(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -194,7 +207,8 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
 
     ``labels(doc_id, quality)`` teaches where held_out is false. A null text is
     an empty one and gets a score too. Without any labels every score is 0.5.
-    Repeated rows are scored each; other columns are ignored.
+    Repeated rows are scored each; other columns are ignored. Empty table: no
+    rows.
     """
     stats = document_statistics(docs, Scratch(spark, "quality"))
     model = learn(stats, labels.select("doc_id", F.col("quality").alias("label")).filter(~held_out()))
@@ -203,12 +217,21 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with a score of at least 0.5, all columns as they are (see ``quality_scores``)."""
-    stats = document_statistics(docs, Scratch(spark, "quality"))
-    model = learn(stats, labels.select("doc_id", F.col("quality").alias("label")).filter(~held_out()))
+    """Rows of ``docs`` with a score of at least 0.5, all columns as they are, whatever their names (see ``quality_scores``).
+
+    Null texts count as empty ones, repeated rows stay or go each, and an empty
+    table stays empty; without labels every row scores 0.5 and stays. Texts are
+    read once: they are written beside their statistics.
+    """
+    stats = fresh("stats", docs.columns)
+    schema = StructType([*docs.schema.fields, StructField(stats, ArrayType(FloatType()))])
+    rows = Scratch(spark, "quality").keep(docs.mapInArrow(_with_statistics(stats), schema), "statistics")
+    known = rows.select("doc_id", F.col(stats).alias("stats"))
+    model = learn(known, labels.select("doc_id", F.col("quality").alias("label")).filter(~held_out()))
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.score(_rows(batch.column("text")).astype(np.float64)) >= 0.5))
+            yield batch.select(columns).filter(pa.array(model.score(_matrix(batch.column(stats))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
