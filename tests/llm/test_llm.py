@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodeloom.llm import decontaminate, html, language, minhash, packing, quality, rules, suffixes, tokenstore, warc
+from lodeloom.llm import decontaminate, html, html_costs, language, minhash, packing, quality, rules, suffixes, tokenstore, warc
 from lodeloom.llm import words as w
 from lodeloom.llm.components import components
 from lodeloom.llm.store import Scratch
@@ -97,7 +98,10 @@ def test_min_cut_is_minimal(data):
     edges = [e for e in edges if e[0] != e[1]]
     cost = lambda side: sum(-t if (t < 0 and s) else t if (t > 0 and not s) else 0 for t, s in zip(terminals, side, strict=True)) + sum(c for u, v, c in edges if side[u] != side[v])
     best = min(cost(s) for s in itertools.product([False, True], repeat=n))
-    assert cost(html.min_cut(terminals, edges)) == best
+    sides = [s for s in itertools.product([False, True], repeat=n) if cost(s) == best]
+    largest = [any(s[u] for s in sides) for u in range(n)]  # of cuts of least cost the union of their source sides is one too
+    assert html.min_cut(terminals, edges) == largest
+    assert html._flow_cut(terminals, edges) == largest
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">
@@ -121,6 +125,47 @@ def test_broken_markup_is_linear():
     html.main_text('<p title="' * 20000 + "<!--")
 
 
+def test_no_markup_is_left():
+    long = "Many words of prose stand here and they go on. " * 8
+    page = lambda x: html.main_text(f"<nav><a href='/'>Home</a></nav><article><h1>T</h1><p>{x}</p></article>")
+    assert page('See <img alt="a < b" src=x> and <a title="<b>x</b>" href="/?q=">this</a>, a > b.') == "T See and this, a > b."
+    assert page("a &lt; b, 1 < 2 <!-- <p>no</p> --><![CDATA[x &lt; y]]><? php > ?>end.") == "T a < b, 1 < 2 x &lt; y ?>end."
+    assert page('Lost <a href="foo>quote</a> and <a href="bar">found</a>.') == "T Lost quote and found."
+    assert html.main_text("plain a <b c") == "plain a <b c"
+    assert html.main_text("<p>Cut off here. <a hre") == "Cut off here."
+    assert html.main_text(f"<article><p>{long}</p><div class='legal'><p>{long}</p></div></article>") == f"{long}{long}".strip()
+    assert html.main_text(f"<nav><a href='/'>Home</a></nav><div class='related-work'><p>{long}</p></div>") == long.strip()
+    assert html.main_text(f"<article><p>{long}</p><div class='comments'><p>{long}</p></div></article>") == long.strip()
+
+
+def test_marked_pages_that_taught_nothing():
+    weights, wrong, total = html_costs.trained(), 0, 0
+    for source, content in html_costs.marked_pages(150, 77):
+        page = html.parse(source)
+        side = html.min_cut(*html.graph(page, weights))
+        wrong += sum(s != (b.text in content) for b, s in zip(page.blocks, side, strict=False))
+        total += len(page.blocks)
+    assert total > 2000 and wrong < 0.01 * total
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<p>x</p>" + "<![CDATA[" * 20000, "".join(f'<div class="{["x", "ad"][i % 2]}">word{i} and more</div>' for i in range(20000)), "<p>t</p>" + "<svg>" * 20000,
+     "<a " * 20000 + ">", '<a x="<a" ' * 20000 + ">", "".join(f"<p>w{i}</p>" if i % 3 else f"<a href=x>link{i}</a><p></p>" for i in range(20000))],
+    ids=["cdata", "blocks", "raw", "tags", "quotes", "links"],
+)
+def test_hostile_pages_end(source):
+    began = time.process_time()
+    html.main_text(source)
+    assert time.process_time() - began < 5
+
+
+def test_pages_of_an_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string, n_chars int")
+    got = html.extract_main_text(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == 0
+
+
 # 2 ------------------------------------------------------------------------------------
 
 
@@ -444,6 +489,38 @@ def test_encoder_is_the_tokenizer(text):
     assert np.frombuffer(encode.encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "Zé", " ", "\n", "\n", ".", "'s", "'", "(", "9", "\r", "\n\n", "x²", "µ", "ǅ", "مر"]), max_size=14))
+def test_encoder_on_lines_of_words(parts):
+    text = "a " + "".join(parts)
+    encode = test_encoder_is_the_tokenizer.__dict__.setdefault("e", Encoder(vocabulary()))
+    assert np.frombuffer(encode.encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("slots", "pool"), [(1 << 8, 100_000), (1 << 12, 30_000), (1 << 6, 50)])
+def test_encoder_forgets_within_its_memory(monkeypatch, slots, pool):
+    from lodeloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "SLOTS", slots)
+    monkeypatch.setattr(tokens, "POOL", pool)
+    own, r = Encoder(vocabulary()), random.Random(3)
+    texts = [None, ""] + [
+        " ".join("".join(r.choice("abcdé.1") for _ in range(r.randrange(1, 12))) for _ in range(60)) + (" " + "long" * 40) * (k % 3) for k in range(40)
+    ]
+    for some in (texts, texts[::-1], texts[5:9]):
+        ids, counts = own.encode_rows(pa.array(some, pa.string()))
+        expected = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [x for own_ids in expected for x in own_ids]
+        assert own.known < slots * tokens.FULL and own.used <= pool
+
+
+@pytest.mark.parametrize("white", ["\u00a0", "\u3000", "\u2003", "\u0085", "\x1c", "\u1680", "\t", " ", "é", "\u2010"])
+def test_encoder_beside_white_space(white):
+    own = test_encoder_is_the_tokenizer.__dict__.setdefault("e", Encoder(vocabulary()))
+    for text in (f"ab{white} cd", f"ab {white}cd", f"ab {white} cd", f"{white} ab", f"ab {white}", f" {white}", white):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
 
 
@@ -463,6 +540,39 @@ def test_packing(spark, docs, empty, ids, capacity):
     assert packing.best_two_fit(spark, empty, capacity).count() == 0
 
 
+def best_two_fit_one_by_one(lengths, capacity):
+    """Sequences filled one after the other from a list of single pieces."""
+    left, out = sorted(lengths), []
+    while left:
+        own, gap = [], capacity
+        while fits := [n for n in left if n <= gap]:
+            own.append(fits[-1])
+            left.remove(fits[-1])
+            gap -= fits[-1]
+        while gap and len(own) > 1:
+            room = gap + min(own)
+            pairs = [(a + b, -a, b) for i, a in enumerate(left) for j, b in enumerate(left) if i != j and a + b <= room]
+            if not pairs or max(pairs)[0] <= min(own):
+                break
+            total, a, b = max(pairs)
+            smallest = min(own)
+            own.remove(smallest)
+            for n in (-a, b):
+                left.remove(n)
+                own.append(n)
+            left = sorted([*left, smallest])
+            gap = room - total
+        out.append(tuple(sorted(own)))
+    return sorted(out)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=60))
+def test_patterns_are_those_of_packing_one_by_one(lengths):
+    got = [tuple(sorted(n for n, k in p.items() for _ in range(k))) for p, times in packing.fill(np.bincount(lengths, minlength=41), 40) for _ in range(times)]
+    assert sorted(got) == best_two_fit_one_by_one(lengths, 40)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=200))
 def test_patterns_use_every_piece_once(lengths):
@@ -511,6 +621,57 @@ def test_damaged_store_raises(spark, docs, tmp_path):
         tokenstore.read_digests(spark, root).collect()
 
 
+@pytest.mark.parametrize("harm", ["lost", "twice", "swapped", "renamed", "shortened", "file"])
+def test_altered_recipes_raise(spark, docs, tmp_path, harm):
+    root = str(tmp_path / "store")
+    tokenstore.write_store(spark, docs, root)
+    recipes = spark.read.parquet(f"{root}/recipes")
+    rows = sorted((r.asDict() for r in recipes.collect()), key=lambda r: (r["part"], r["local_start"]))
+    one, other = rows[12], rows[14]
+    if harm == "lost":
+        rows.remove(one)
+    elif harm == "twice":
+        rows.append(dict(one))
+    elif harm == "swapped":
+        for k in ("n_tokens", "n_chunks", "root", "digests", "ends"):
+            one[k], other[k] = other[k], one[k]
+    elif harm == "renamed":
+        one["doc_id"] = 10**6
+    elif harm == "shortened":
+        one["ends"] = [x - 1 for x in one["ends"]]
+    else:
+        rows = [r for r in rows if r["part"] != rows[-1]["part"]]
+    spark.createDataFrame(rows, recipes.schema).coalesce(1).write.mode("overwrite").parquet(f"{root}/altered")
+    spark.read.parquet(f"{root}/altered").write.mode("overwrite").parquet(f"{root}/recipes")
+    for read in (tokenstore.read_digests, tokenstore.read_ids):
+        with pytest.raises(Exception, match="recipe|manifest"):
+            read(spark, root).collect()
+
+
+def test_altered_manifest_raises(spark, docs, tmp_path):
+    root = str(tmp_path / "store")
+    tokenstore.write_store(spark, docs, root)
+    rows = [tuple(r) for r in spark.read.schema(tokenstore.MANIFEST).parquet(f"{root}/manifest").collect()]
+    spark.createDataFrame(rows[1:], tokenstore.MANIFEST).write.mode("overwrite").parquet(f"{root}/manifest")
+    with pytest.raises(ValueError, match="head"):
+        tokenstore.read_digests(spark, root)
+
+
+def test_wide_ids_are_read_as_written(spark, docs, ids, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    monkeypatch.setattr(tokenstore, "NARROW", 10)
+    tokenstore.write_store(spark, docs, root)
+    assert {r["doc_id"]: list(r["ids"]) for r in tokenstore.read_ids(spark, root).collect()} == {i: ids(t) for i, t, *_ in corpus()}
+
+
+@given(st.integers(0, 70))
+def test_tree_is_the_merkle_root(n):
+    leaves, tree = [bytes([k]) for k in range(n)], tokenstore.Tree()
+    for leaf in leaves:
+        tree.add(leaf)
+    assert tree.root() == tokenstore.merkle(leaves)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(max_size=50), min_size=1, max_size=6))
 def test_crc_of_parts(parts):
@@ -556,6 +717,21 @@ def test_records_of_equal_pages_and_no_ids(spark):
     )
 
 
+def test_foreign_archives_keep_their_bytes(spark, tmp_path):
+    body = "Größe".encode("latin-1") + bytes(range(256))
+    fields = b"1 0 org\nURL IP-address Archive-date Content-type Archive-length\n"
+    blocks = [("filedesc://f.arc", fields), ("http://h/a", b"HTTP/1.1 200 OK\r\n\r\n" + body), ("http://h/b", b"HTTP/1.0 404 No\r\nX: y\r\n\r\n" + body), ("dns:h", b"1.2.3.4")]
+    raw = b"".join(f"{u} 1.2.3.4 2001 text/html {len(b)}\n".encode() + b + b"\n" for u, b in blocks)
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0.arc").write_bytes(raw)
+    warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), Scratch(spark, "foreign"))
+    got = {r["url"]: r for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()}
+    kinds = {u: got[u]["record_type"] for u, _ in blocks[1:]}
+    assert kinds["dns:h"] == "resource" and sorted([kinds["http://h/a"], kinds["http://h/b"]]) == ["response", "revisit"]
+    assert [bytes(r["payload"]) for r in got.values() if r["record_type"] == "response"] == [body]
+    assert {r["payload_digest"] for u, r in got.items() if u != "dns:h"} == {warc.sha1_32(body)} and got["dns:h"]["date"] == "2001-01-01T00:00:00Z"
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     fields = f"{version} 0 org\n{' '.join(warc.ARC_FIELDS[version])}\n".encode()
@@ -662,3 +838,30 @@ def test_pipeline(spark, tmp_path):
     assert ids_of[3] == ids_of[2] - {201}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids_of[3]
+
+
+STAGES = {
+    "quality": lambda spark, docs, bench, labels: quality.keep_good(spark, docs, labels),
+    "near": lambda spark, docs, bench, labels: minhash.keep_one_of_each(spark, docs),
+    "repeats": lambda spark, docs, bench, labels: suffixes.remove_repeats(spark, docs),
+    "bench": lambda spark, docs, bench, labels: decontaminate.drop_contaminated(spark, docs, bench),
+}
+CLASH = ["later", "_hash", "text_hash", "stats", "lower", "_LOWER", "of", "_of", "node", "component", "component_id", "f1", "n", "copies", "kept", "label", "score", "spans"]
+
+
+@pytest.mark.parametrize("stage", STAGES)
+def test_stages_with_clashing_names_nulls_and_empty_tables(spark, stage):
+    rows = [*corpus(), *corpus()[:4], corpus()[20], (None, prose(1, 120), "en", "s", 5), (None, None, None, None, None)]
+    bench = spark.createDataFrame([(1, prose(102, 62)), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    plain = spark.createDataFrame(rows, DOC).repartition(3)
+    wide = plain.select("*", *(F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASH))
+    got = STAGES[stage](spark, wide, bench, labels)
+    assert got.schema.names == wide.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in wide.schema]
+    found = got.collect()
+    assert all(r[c] == f"{c}{'-' if r['doc_id'] is None else r['doc_id']}" for r in found for c in CLASH)
+    key = lambda r: str(tuple(r)[:5])
+    assert sorted(map(key, found)) == sorted(map(key, STAGES[stage](spark, plain, bench, labels).collect()))
+    assert STAGES[stage](spark, wide.limit(0), bench, labels).count() == 0
+    if stage in ("bench", "quality"):
+        assert STAGES[stage](spark, plain, bench.limit(0), labels.limit(0)).count() == len(rows)
