@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,6 +110,11 @@ OTHER_LANGUAGE = "the customer's language"
 _TOKEN = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` has it in a lambda (which would compute it for every element)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_null(c: Column) -> Column:
     """Lower-cased and trimmed; the spellings of a missing value become null."""
     x = F.lower(F.trim(c))
@@ -129,6 +136,11 @@ def fix_encoding(c: Column) -> Column:
     return c
 
 
+def embedding_text(subject: Column, body: Column, most: int = 1800) -> Column:
+    """Subject, a blank line, the first characters of the body (0: all)."""
+    return F.concat(subject, F.lit("\n\n"), F.substring(body, 1, most) if most else body)
+
+
 def strip_breaks(c: Column) -> Column:
     return F.regexp_replace(c, r"<br ?/?>", " ")
 
@@ -298,6 +310,28 @@ def snap_label(raw: Column, vocabulary: list[str], otherwise: str) -> Column:
     return F.when(x == "", F.lit(otherwise)).otherwise(F.coalesce(hit, F.lit(otherwise)))
 
 
+def label_reply(raw: Column) -> Column:
+    """Intent and ticket type of a model's reply: a field of the object, snapped to the vocabulary.
+
+    A missing field is the default, not the first label.
+    """
+    of = lambda name, labels, otherwise: snap_label(json_field(raw, name), labels, otherwise).alias(name)
+    return F.struct(of("intent", INTENTS, "general_inquiry"), of("ticket_type_nli", TICKET_TYPES, "product_support"))
+
+
+def reply_fields(raw: Column) -> Column:
+    """``response_pred, queue_pred, priority_pred`` of a model's reply: its JSON object, else what looks like the fields, else defaults."""
+    whole = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    sound = F.from_json(whole, "response string, queue string, priority string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    good = (whole != "") & sound["_bad"].isNull()
+    like = lambda name: F.nullif(F.regexp_extract(raw, rf'"{name}"\s*:\s*"([^"]+)"', 1), F.lit(""))
+    pick = lambda name, missing, broken: F.when(good, F.coalesce(sound[name], missing)).otherwise(F.coalesce(like(name), broken))
+    return F.struct(
+        pick("response", F.lit(""), F.substring(raw, 1, 200)).alias("response_pred"), pick("queue", F.lit("General Inquiry"), F.lit("General Inquiry")).alias("queue_pred"),
+        F.lower(pick("priority", F.lit("medium"), F.lit("medium"))).alias("priority_pred"),
+    )
+
+
 def json_field(raw: Column, field: str) -> Column:
     """A string field of the object in a reply: fences, single quotes and trailing commas are mended, broken JSON is searched."""
     x = F.regexp_extract(F.regexp_replace(raw, r"```(?:json)?\s*", ""), r"(?s)\{.*\}", 0)

@@ -1,20 +1,17 @@
-"""Dense and lexical search, fusion, re-scoring, routing."""
+"""Fusion of searches, re-scoring, guards and routing, and all of these as one search."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
+from dataclasses import field as default
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeloom.functions.text import jaccard, normalize_null, tokens
-from lodeloom.session import ship_package
 
-#: Queries whose vectors go to the executors at once.
-QUERIES_AT_ONCE = 2048
-K1, B = 1.5, 0.75
+from .index import Index, bm25_search, dense_search
 
 
 def top_k(df: DataFrame, group: list[str], score: str, ties: list[str], k: int, rank: str = "rank") -> DataFrame:
@@ -23,78 +20,9 @@ def top_k(df: DataFrame, group: list[str], score: str, ties: list[str], k: int,
     return df.withColumn(rank, place).filter(F.col(rank) <= k)
 
 
-def _block(ids: np.ndarray, vectors: np.ndarray, k: int):
-    """Best k of each query within a task: one matrix product for each batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s = np.full((len(ids), k), -np.inf)
-        best_d = np.full((len(ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            docs = batch.column("doc_id").to_numpy()
-            if not len(docs):
-                continue
-            flat = batch.column("vector").flatten().to_numpy()
-            scores = np.round(vectors @ flat.reshape(len(docs), -1).T, 6)
-            s = np.concatenate([best_s, scores], axis=1)
-            d = np.concatenate([best_d, np.broadcast_to(docs, scores.shape)], axis=1)
-            order = np.lexsort((d, -s), axis=1)[:, :k]
-            best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-        found = np.isfinite(best_s)
-        q = np.broadcast_to(ids[:, None], best_s.shape)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(q[found]), pa.array(best_d[found]), pa.array(best_s[found])], names=["query_id", "doc_id", "score"]
-        )
-
-    return run
-
-
 def dense_topk(spark: SparkSession, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """``query_id, doc_id, score, rank``: exact best k documents by inner product.
-
-    ``queries(query_id, vector)`` is a stated set, searched in blocks of
-    QUERIES_AT_ONCE against all of ``docs(doc_id, vector)``; each task sends its
-    best k for each query. Scores are rounded to 6 places before they are ranked;
-    ties go to the smaller doc_id.
-    """
-    ship_package(spark)
-    passes = max(1, -(-queries.count() // QUERIES_AT_ONCE))
-    out = None
-    for p in range(passes):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).select("query_id", F.col("vector").cast("array<double>")).collect()
-        if not rows:
-            continue
-        ids, vectors = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
-        part = docs.select("doc_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(
-            _block(ids, vectors, k), "query_id long, doc_id long, score double"
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    return top_k(out, ["query_id"], "score", ["doc_id"], k)
-
-
-def bm25_index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (term, doc_id, tf, dl), document frequencies (term, df) and totals (n, avgdl) of ``docs(doc_id, text)``."""
-    words = docs.select("doc_id", F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 2).alias("w"))
-    sized = words.select("doc_id", "w", F.size("w").alias("dl"))
-    postings = sized.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return postings, frequencies, sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
-def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """``query_id, doc_id, score`` of all documents that share a term with a query of ``queries(query_id, text)``.
-
-    Only postings of query terms take part: the distinct terms are joined to
-    them before anything is shuffled by document.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 2))).alias("term"))
-    postings, frequencies, totals = bm25_index(docs)
-    asked = frequencies.join(terms.select("term").distinct(), "term").join(F.broadcast(totals))  # totals: one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(asked, "term").select("term", "doc_id", (idf * weight).alias("s"))
-    return scored.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 4).alias("score"))
+    """``dense_search`` in the given session."""
+    return dense_search(queries, docs, k)
 
 
 def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
@@ -161,3 +89,68 @@ def intent_at_k(hits: DataFrame) -> DataFrame:
     wanted = F.coalesce(qq, qi)
     judged = F.when(di.isNotNull() & qi.isNotNull(), di == qi).when(dq.isNotNull() & wanted.isNotNull(), dq == wanted)
     return hits.groupBy("query_id").agg(F.round(F.sum(judged.cast("int")) / F.count("*"), 4).alias("intent_at_k"))
+
+
+@dataclass
+class Settings:
+    """How ``retrieve`` searches. ``rerank_languages``: those whose base is the scorer's score, others keep the dense one."""
+
+    top_k: int = 3
+    candidates: int = 50
+    rrf_k: int = 60
+    alpha: float = 0.1
+    hybrid: bool = True
+    same_language: bool = False
+    rerank: bool = True
+    rerank_languages: tuple[str, ...] = ("en", "de")
+    scorer: Callable[[Column, Column], Column] = default(default=lambda query, doc: overlap_score(tokens(query), tokens(doc)))
+
+
+def retrieve(queries: DataFrame, index: Index, settings: Settings | None = None) -> DataFrame:
+    """The best documents of each query: ``query_id, doc_id, subject, body, response, doc_language, aspects, dense, rrf, ce_score, a_score, final, rank``.
+
+    ``queries(query_id, text, vector, language, exclude array<long>, spans
+    map<string,string>)``. The best candidates by vectors and, where the index
+    has terms and ``hybrid`` is set, by BM25; without excluded ids and, with
+    ``same_language``, other languages; ranked anew and fused; scored by the
+    scorer (4 places) where the language has one, else by the dense score (0
+    for a document that vectors did not find); plus alpha times the agreement
+    of the spans with the document's aspects. Equal finals keep the order of the
+    base, then of the fusion. ``spans`` null or empty: no agreement.
+    """
+    s = settings or Settings()
+    found = [dense_search(queries.select("query_id", "vector"), index.vectors(), s.candidates)]
+    if s.hybrid and index.lexical:
+        found.append(bm25_search(queries.select("query_id", "text"), index, s.candidates))
+    shown = index.documents().withColumnRenamed("language", "doc_language")
+    asked = queries.select("query_id", "language", F.coalesce("exclude", F.array().cast("array<long>")).alias("exclude"))
+    lists = []
+    for hits in found:
+        kept = hits.join(asked, "query_id").filter(~F.array_contains("exclude", F.col("doc_id")))
+        if s.same_language:
+            kept = kept.join(shown.select("doc_id", "doc_language"), "doc_id").filter(F.col("doc_language") == F.col("language"))
+        lists.append(renumber(kept.select("query_id", "doc_id", "score", "rank")))
+    ranks = [F.asc_nulls_last(f"rank_{i + 1}") for i in range(len(lists))]
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), *ranks, "doc_id"))
+    fused = fuse(lists, s.rrf_k).withColumn("place", place).filter(F.col("place") <= s.candidates).select("query_id", "doc_id", "rrf", "place")
+    dense = lists[0].select("query_id", "doc_id", F.round("score", 4).alias("dense"))
+    both = fused.join(dense, ["query_id", "doc_id"], "left").withColumn("dense", F.coalesce("dense", F.lit(0.0)))
+    both = both.join(queries.select("query_id", "text", "language", "spans"), "query_id").join(shown, "doc_id")
+    judged = F.lower(F.substring(F.trim(F.coalesce("language", F.lit("en"))), 1, 2)).isin(*s.rerank_languages) if s.rerank else F.lit(False)
+    score = F.when(judged, F.round(s.scorer(F.col("text"), F.col("body")), 4))
+    no_map = F.create_map().cast("map<string,string>")
+    agreed = aspect_score(F.coalesce("spans", no_map), F.coalesce("aspects", no_map))
+    scored = both.withColumn("ce_score", score).withColumn("_a", agreed).withColumn("_base", F.coalesce("ce_score", "dense"))
+    scored = scored.withColumn("final", F.round(F.col("_base") + s.alpha * F.col("_a"), 4)).withColumn("a_score", F.round("_a", 3))
+    order = Window.partitionBy("query_id").orderBy(F.desc("final"), F.desc("_base"), "place")
+    out = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.top_k)
+    return out.select("query_id", "doc_id", "subject", "body", "response", "doc_language", "aspects", "dense", "rrf", "ce_score", "a_score", "final", "rank")
+
+
+def hit_rows(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """A row for each hit of a batch: the query's number, language and subject, the hit's rank, texts and scores."""
+    asked = queries.select("query_id", F.col("language").alias("query_language"), F.col("subject").alias("query_subject"))
+    return hits.join(asked, "query_id").select(
+        F.col("query_id").alias("row_idx"), "rank", "query_language", "query_subject", F.col("doc_id").alias("hit_ticket_idx"), F.col("doc_language").alias("hit_language"),
+        F.col("subject").alias("hit_subject"), F.col("response").alias("hit_response"), "dense", "rrf", "ce_score", "a_score", "final",
+    )

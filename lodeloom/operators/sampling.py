@@ -6,11 +6,16 @@ come from counts of hash ranges, so no window sees more rows than a range.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash ranges (of the first two hex digits) in which rows are ranked.
-_RANGE = 2
+#: Hash ranges (of the first four hex digits) in which rows are ranked: some 150,000 rows each of 10^10.
+_RANGE = 4
+#: Rows that a range of keys has on average.
+IN_RANGE = 100_000
 
 
 def hash_order(seed: int, key: str) -> Column:
@@ -29,7 +34,7 @@ def hash_rank(df: DataFrame, seed: int, key: str, groups: list[str]) -> DataFram
     before = counts.withColumn("_b", F.sum("_n").over(Window.partitionBy(*groups).orderBy("_r")) - F.col("_n")).drop("_n")
     local = F.row_number().over(Window.partitionBy(*groups, "_r").orderBy("_h", key))
     on = [*groups, "_r"]
-    out = df.withColumn("_l", local).join(before, on)  # 256 rows for each group
+    out = df.withColumn("_l", local).join(before, on)  # 65,536 rows for each group at most
     return out.withColumn("hash_rank", (F.col("_l") + F.col("_b")).cast("long")).drop("_h", "_r", "_l", "_b")
 
 
@@ -82,15 +87,52 @@ def shuffle_split(df: DataFrame, key: str, share: float, seed: int = 42) -> Data
     return ranked.join(F.broadcast(total)).withColumn("is_val", F.col("hash_rank") <= take).select(*df.columns, "is_val")
 
 
-def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """Adds a gapless 0-based index by an integer key without a window over all rows.
+def dense_index(df: DataFrame, key: str, name: str = "idx", groups: list[str] | None = None) -> DataFrame:
+    """Adds a gapless 0-based index by a numeric key, over all rows or within groups, without a window over all of them.
+
+    Rows are ranked in ranges of the key between its quantiles, so ranges hold
+    about IN_RANGE rows however the keys lie; counts of the ranges give what
+    comes before. Null keys come first.
+    """
+    groups, n = groups or [], df.count()
+    parts = -(-n // IN_RANGE)
+    if parts > 1:
+        number = F.col(key).cast("double")
+        bounds = sorted(set(df.select(number.alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)))
+        splits = [-math.inf, *bounds, math.inf]
+        known = Bucketizer(splits=splits, inputCol="_k", outputCol="_r", handleInvalid="keep")
+        df = known.transform(df.withColumn("_k", F.coalesce(number, F.lit(-math.inf)))).drop("_k")
+    else:
+        df = df.withColumn("_r", F.lit(0.0))
+    counts = df.groupBy(*groups, "_r").agg(F.count("*").alias("_n"))
+    before = counts.select(*groups, "_r", (F.sum("_n").over(Window.partitionBy(*groups).orderBy("_r")) - F.col("_n")).alias("_b"))
+    local = F.row_number().over(Window.partitionBy(*groups, "_r").orderBy(key)) - 1
+    left, right = df.withColumn("_l", local), before
+    on = [left[c].eqNullSafe(right[c]) for c in [*groups, "_r"]]
+    joined = left.join(right, on).select(*(left[c] for c in df.columns if c != "_r"), left["_l"], right["_b"])
+    return joined.withColumn(name, (F.col("_l") + F.col("_b")).cast("long")).drop("_l", "_b")
+
+
+def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows (all if there are fewer), the first by hash; each task sends at most n."""
+    return df.withColumn("_h", hash_order(seed, key)).orderBy("_h", key).limit(max(n, 0)).drop("_h")
+
+
+def row_ranges(df: DataFrame, key: str, parts: int, name: str = "part") -> DataFrame:
+    """Adds the number of each row's share of the rows in key order: equal shares, the last takes the rest."""
+    total = max(1, df.count() // parts)
+    return dense_index(df, key, "_i").withColumn(name, F.least(F.floor(F.col("_i") / total), F.lit(parts - 1)).cast("int")).drop("_i")
+
+
+def by_id_text(df: DataFrame, key: str, name: str = "place") -> DataFrame:
+    """Adds the place, from 1, of each row by the length of its id as text, then by the text.
 
-    Rows are ranked in ranges of the key; counts of the ranges give what comes before.
+    Ids are ranked within the ranges of their first characters; counts of these
+    give what comes before.
     """
-    low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, n // 100_000)))
-    df = df.withColumn("_r", F.floor((F.col(key) - F.lit(low)) / F.lit(width)))
-    counts = df.groupBy("_r").agg(F.count("*").alias("_n"))
-    before = counts.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_b"))
-    local = F.row_number().over(Window.partitionBy("_r").orderBy(key)) - 1
-    return df.withColumn("_l", local).join(before, "_r").withColumn(name, (F.col("_l") + F.col("_b")).cast("long")).drop("_r", "_l", "_b")
+    text = F.col(key).cast("string")
+    df = df.withColumn("_s", F.length(text)).withColumn("_t", text).withColumn("_r", F.substring("_t", 1, 3))
+    counts = df.groupBy("_s", "_r").agg(F.count("*").alias("_n"))  # a row for each length and beginning
+    before = counts.select("_s", "_r", (F.sum("_n").over(Window.orderBy("_s", "_r")) - F.col("_n")).alias("_b"))
+    local = F.row_number().over(Window.partitionBy("_s", "_r").orderBy("_t"))
+    return df.withColumn("_l", local).join(F.broadcast(before), ["_s", "_r"]).withColumn(name, (F.col("_l") + F.col("_b")).cast("long")).drop("_s", "_t", "_r", "_l", "_b")

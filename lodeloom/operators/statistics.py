@@ -18,6 +18,15 @@ def draws(spark, n: int, resamples: int, seed: int = 42) -> DataFrame:
     return cells.withColumn("pos", word.cast("long") % n)
 
 
+#: Values that a draw's places are looked up in on every executor; more are joined by place.
+BROADCAST_VALUES = 1_000_000
+
+
+def _drawn(spark, rows: DataFrame, n: int, resamples: int, seed: int) -> DataFrame:
+    """Draws and the rows at their places: a bounded number of rows goes to the draws, which then need no shuffle."""
+    return draws(spark, n, resamples, seed).join(F.broadcast(rows) if n <= BROADCAST_VALUES else rows, "pos")
+
+
 def _interval(c: str, low: str, high: str) -> list:
     return [F.round(F.percentile(c, 0.025), 4).alias(low), F.round(F.percentile(c, 0.975), 4).alias(high)]
 
@@ -26,8 +35,10 @@ def bootstrap_ci(spark, df: DataFrame, key: str, value: str, resamples: int = 10
     """``n, mean, ci_low, ci_high`` of the values that are neither null nor NaN, in key order; 4 places."""
     known = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(key, F.col(value).alias("v"))
     rows = dense_index(known, key, "pos").select("pos", "v")
-    n = rows.count()
-    means = draws(spark, n, resamples, seed).join(rows, "pos").groupBy("draw").agg(F.avg("v").alias("m"))
+    n = known.count()
+    if not n:
+        return spark.createDataFrame([(0, None, None, None)], "n long, mean double, ci_low double, ci_high double")
+    means = _drawn(spark, rows, n, resamples, seed).groupBy("draw").agg(F.avg("v").alias("m"))
     whole = rows.agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("mean"))
     return whole.join(F.broadcast(means.agg(*_interval("m", "ci_low", "ci_high"))))
 
@@ -49,7 +60,7 @@ def paired_bootstrap(spark, df: DataFrame, key: str, baseline: str, systems: lis
     long = rows.select("pos", "base", pairs.alias("x")).select("pos", "base", "x.system", "x.v")
     means = long.groupBy("system").agg(F.avg("v").alias("own")).filter("own is not null")  # a row for each system
     filled = long.join(F.broadcast(means), "system").select("system", "pos", F.coalesce("v", "own").alias("v"), "base")
-    drawn = draws(spark, n, resamples, seed).join(filled, "pos").groupBy("system", "draw").agg(F.avg(F.col("v") - F.col("base")).alias("d"))
+    drawn = _drawn(spark, filled, n, resamples, seed).groupBy("system", "draw").agg(F.avg(F.col("v") - F.col("base")).alias("d"))
     spread = drawn.groupBy("system").agg(*_interval("d", "diff_ci_low", "diff_ci_high"))
     whole = filled.groupBy("system").agg(F.count("*").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.avg(F.col("v") - F.col("base")), 4).alias("diff"))
     return whole.join(spread, "system").withColumn("significant", (F.col("diff_ci_low") > 0) | (F.col("diff_ci_high") < 0))

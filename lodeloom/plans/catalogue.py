@@ -1,58 +1,20 @@
-"""Every query on the reference operators, with its SQL twin.
-
-Tickets are ``documents`` (subject: the first 40 characters, body: the text,
-language, queue: the source); questions and answers are neighbouring turns of
-``conversations``; vectors are ``embeddings``; searches take every id that 20
-divides as queries.
-"""
+"""Queries on the operators over tables and texts, with their SQL twins; those on search, aspects and reports are in modules of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeloom.functions import prompts
 from lodeloom.functions import text as T
 from lodeloom.functions import vectors as V
-from lodeloom.operators import aspects, metrics, models, retrieval, sampling, statistics, tables
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+from lodeloom.operators import aspects, metrics, models, preprocess, retrieval, sampling, statistics, tables
 
-    return add
-
-
-def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def _tickets(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select(
-        F.col("doc_id").alias("idx"), F.substring("text", 1, 40).alias("subject"), F.col("text").alias("body"), F.col("lang").alias("language"), F.col("source").alias("queue")
-    )
+from . import reports, search
+from .registry import ORACLE_SQL, PAIRS, QUERIES, TICKETS, TOKENS, pairs, read, register, tickets
+from .search import CHECKLIST_SQL, ITEMS_SQL, tiers_sql, with_checklist
 
-
-_TICKETS = "(SELECT doc_id AS idx, substr(text, 1, 40) AS subject, text AS body, lang AS language, source AS queue FROM documents)"
-_PAIRS = """(SELECT conv_id, turn, question, answer FROM (
-    SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS r, lead(text) OVER w AS answer FROM conversations
-    WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant')"""
-_TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
-
-
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.pair_turns(_read(spark, sf, "conversations")).withColumn("pair_id", F.col("conv_id") * 1000 + F.col("turn"))
+__all__ = ["ORACLE_SQL", "QUERIES", "reports", "search"]
 
 
 # --- scans and projections -----------------------------------------------------
@@ -60,73 +22,88 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 1000")
 def scan_prune(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").filter("n_chars > 1000").select("doc_id", "lang", "n_chars")
+    return read(spark, sf, "documents").filter("n_chars > 1000").select("doc_id", "lang", "n_chars")
 
 
 @register("SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS k_sum, count(*) AS n FROM events GROUP BY event_type")
 def json_props_parse(spark: SparkSession, sf: str) -> DataFrame:
     k = F.from_json("props", "k long")["k"]
-    return _read(spark, sf, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.count("*").alias("n"))
+    return read(spark, sf, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.count("*").alias("n"))
 
 
 @register("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx_in_source FROM documents")
 def renumber_idx(spark: SparkSession, sf: str) -> DataFrame:
-    docs = sampling.dense_index(_read(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    own = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long")
-    return docs.select("doc_id", "idx", own.alias("idx_in_source"))
+    docs = sampling.dense_index(read(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return sampling.dense_index(docs, "doc_id", "idx_in_source", ["source"]).select("doc_id", "idx", "idx_in_source")
 
 
-@register(f"SELECT idx, subject || chr(10) || chr(10) || substr(body, 1, 500) AS embedding_text FROM {_TICKETS}")
+@register(f"SELECT idx, subject || chr(10) || chr(10) || substr(body, 1, 1800) AS embedding_text, subject || chr(10) || chr(10) || body AS whole_text FROM {TICKETS}")
 def embedding_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _tickets(spark, sf).select("idx", F.concat("subject", F.lit("\n\n"), F.substring("body", 1, 500)).alias("embedding_text"))
+    of = lambda most: T.embedding_text(F.col("subject"), F.col("body"), most)
+    return tickets(spark, sf).select("idx", of(1800).alias("embedding_text"), of(0).alias("whole_text"))
+
+
+_TAGGED = f"(SELECT *, CASE WHEN idx % 3 = 0 THEN '' ELSE 'a' || (idx % 7)::VARCHAR END AS tag_1, CASE WHEN idx % 2 = 0 THEN 'nan' ELSE 'b' END AS tag_2 FROM {TICKETS})"
+_METADATA_SQL = """concat_ws(' | ', CASE WHEN queue <> '' THEN 'Queue: ' || queue END, CASE WHEN language <> '' THEN 'Language: ' || language END,
+CASE WHEN tag_1 <> '' OR tag_2 NOT IN ('', 'nan') THEN 'Tags: ' || concat_ws(', ', CASE WHEN tag_1 <> '' THEN tag_1 END, CASE WHEN tag_2 <> 'nan' THEN tag_2 END) END)"""
 
 
-@register(f"SELECT idx, concat_ws(' | ', 'Queue: ' || queue, CASE WHEN language <> 'en' THEN 'Language: ' || language END) AS metadata FROM {_TICKETS}")
+def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.col("idx")
+    return tickets(spark, sf).withColumns({
+        "tag_1": F.when(number % 3 == 0, "").otherwise(F.concat(F.lit("a"), (number % 7).cast("string"))), "tag_2": F.when(number % 2 == 0, "nan").otherwise("b"),
+    })
+
+
+@register(f"SELECT idx, {_METADATA_SQL} AS metadata FROM {_TAGGED}")
 def metadata_string(spark: SparkSession, sf: str) -> DataFrame:
-    parts = F.concat_ws(" | ", F.concat(F.lit("Queue: "), "queue"), F.when(F.col("language") != "en", F.concat(F.lit("Language: "), "language")))
-    return _tickets(spark, sf).select("idx", parts.alias("metadata"))
+    rows = _tagged(spark, sf)
+    return rows.select("idx", prompts.metadata_string(rows.columns, preprocess.METADATA).alias("metadata"))
 
 
 @register(
-    f"SELECT idx, 'support task: Subject: ' || subject || ' Context: ' || body AS t5_input, '<start_of_turn>user' || chr(10) || 'You are a support agent. Respond to this ticket:'"
-    f" || chr(10) || 'Subject: ' || subject || chr(10) || 'Message: ' || body || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) AS instr_input FROM {_TICKETS}"
+    f"SELECT idx, 'Generate customer support response:' || chr(10) || 'Subject: ' || subject || chr(10) || 'Complaint: ' || body || chr(10) || {_METADATA_SQL} AS input_text,"
+    " 'support task: Subject: ' || subject || ' Context: ' || body AS t5_input, '<start_of_turn>user' || chr(10) || 'You are a support agent. Respond to this ticket:'"
+    " || chr(10) || 'Subject: ' || subject || chr(10) || 'Message: ' || body || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) AS instr_input,"
+    f" queue AS target_text FROM {_TAGGED}"
 )
 def model_formats(spark: SparkSession, sf: str) -> DataFrame:
-    t5 = F.concat(F.lit("support task: Subject: "), "subject", F.lit(" Context: "), "body")
-    instr = F.concat(
-        F.lit("<start_of_turn>user\nYou are a support agent. Respond to this ticket:\nSubject: "), "subject", F.lit("\nMessage: "), "body",
-        F.lit("<end_of_turn>\n<start_of_turn>model\n"),
-    )
-    return _tickets(spark, sf).select("idx", t5.alias("t5_input"), instr.alias("instr_input"))
+    rows = preprocess.training_inputs(_tagged(spark, sf).withColumn("answer", F.col("queue")))
+    return rows.select("idx", "input_text", "t5_input", "instr_input", "target_text")
 
 
 @register("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''))::BIGINT AS n_words FROM documents")
 def word_count(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
+    return read(spark, sf, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
 
 
 # --- filters ---------------------------------------------------------------------
 
 
-@register(f"SELECT conv_id, turn FROM {_PAIRS} WHERE length(question) > 0 AND length(answer) > 0")
+@register(f"SELECT conv_id, turn FROM {PAIRS} WHERE length(question) > 0 AND length(answer) > 0")
 def nonempty_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf).filter((F.length("question") > 0) & (F.length("answer") > 0)).select("conv_id", "turn")
+    return pairs(spark, sf).filter((F.length("question") > 0) & (F.length("answer") > 0)).select("conv_id", "turn")
 
 
 @register("SELECT doc_id, n_chars FROM documents WHERE TRY_CAST(doc_id::VARCHAR AS BIGINT) BETWEEN 100 AND 299")
 def idx_range(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _read(spark, sf, "documents")
+    docs = read(spark, sf, "documents")
     return docs.filter(F.col("doc_id").cast("string").try_cast("bigint").between(100, 299)).select("doc_id", "n_chars")
 
 
-@register(rf"SELECT idx, regexp_matches(lower(body), '{T.PLEASANTRY}') AS pleasantry FROM {_TICKETS}")
+@register(rf"SELECT idx, regexp_matches(lower(body), '{T.PLEASANTRY}') AS pleasantry FROM {TICKETS}")
 def pleasantry(spark: SparkSession, sf: str) -> DataFrame:
-    return _tickets(spark, sf).select("idx", T.is_pleasantry(F.col("body")).alias("pleasantry"))
+    return tickets(spark, sf).select("idx", T.is_pleasantry(F.col("body")).alias("pleasantry"))
 
 
-@register()
+_CUE = T.ACTION_CUE.removeprefix(r"\b").removesuffix(r"\b")
+_EDGES = r"regexp_replace({}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')"  # every edge of a word stands twice, so one may be taken up by a match
+_BEFORE, _AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+
+
+@register(rf"SELECT conv_id * 1000 + turn AS pair_id, regexp_matches(question, '(?i){_BEFORE}{_CUE}{_AFTER}') AS has_action FROM {PAIRS}")
 def action_cue(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf).select("pair_id", T.has_action_cue(F.col("question")).alias("has_action"))
+    return pairs(spark, sf).select("pair_id", T.has_action_cue(F.col("question")).alias("has_action"))
 
 
 # --- joins, guards, upserts ---------------------------------------------------------
@@ -134,55 +111,83 @@ def action_cue(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("SELECT d.doc_id, coalesce(l.quality::VARCHAR, 'none') AS quality, coalesce(l.toxic::VARCHAR, 'none') AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def left_join_fill(spark: SparkSession, sf: str) -> DataFrame:
-    docs, labels = _read(spark, sf, "documents").select("doc_id"), _read(spark, sf, "labels")
+    docs, labels = read(spark, sf, "documents").select("doc_id"), read(spark, sf, "labels")
     return tables.attach(docs, labels, ["doc_id"], ["quality", "toxic"])
 
 
 @register("""SELECT o.o_orderkey, CASE WHEN trim(o.o_orderstatus) <> 'O' THEN o.o_orderstatus ELSE l.s END AS status
 FROM orders o LEFT JOIN (SELECT l_orderkey, arg_max(l_linestatus, l_linenumber * 10 + (l_linestatus = 'O')::INT) AS s FROM lineitem GROUP BY 1) l ON o.o_orderkey = l.l_orderkey""")
 def coalesce_merge(spark: SparkSession, sf: str) -> DataFrame:
-    orders = _read(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus")).alias("status"))
-    lines = _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("status"), (F.col("l_linenumber") * 10 + (F.col("l_linestatus") == "O").cast("int")).alias("place"))
+    orders = read(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus")).alias("status"))
+    lines = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("status"), (F.col("l_linenumber") * 10 + (F.col("l_linestatus") == "O").cast("int")).alias("place"))
     return tables.fill_from(orders, lines, ["o_orderkey"], ["status"], "place")
 
 
 @register(f"""SELECT conv_id, turn, CASE WHEN s >= 0.5 THEN 'rag' ELSE 'no_context' END AS route, CASE WHEN s >= 0.5 THEN answer ELSE question END AS reply
-FROM (SELECT *, (turn % 7) / 6.0 AS s FROM {_PAIRS})""")
+FROM (SELECT *, (turn % 7) / 6.0 AS s FROM {PAIRS})""")
 def route_reuse(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _pairs(spark, sf)
+    pairs = pairs(spark, sf)
     routed = pairs.select("pair_id", "conv_id", "turn", F.col("answer").alias("reply"), retrieval.route((F.col("turn") % 7 / 6.0).cast("string"), 0.5).alias("route"))
     other = pairs.select("pair_id", F.col("question").alias("reply"))
     return tables.pick_by_route(routed, other, "pair_id").select("conv_id", "turn", "route", "reply")
 
 
-@register(f"SELECT t.idx, o.own FROM {_TICKETS} t LEFT JOIN (SELECT subject, substr(body, 1, 200) AS b, language, min(idx) AS own FROM {_TICKETS} GROUP BY 1, 2, 3) o ON t.subject = o.subject AND substr(t.body, 1, 200) = o.b AND t.language = o.language")
+@register(f"SELECT t.idx, o.own FROM {TICKETS} t LEFT JOIN (SELECT subject, substr(body, 1, 200) AS b, language, min(idx) AS own FROM {TICKETS} GROUP BY 1, 2, 3) o ON t.subject = o.subject AND substr(t.body, 1, 200) = o.b AND t.language = o.language")
 def own_id_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tickets(spark, sf).select("idx", "subject", F.substring("body", 1, 200).alias("b"), "language")
+    t = tickets(spark, sf).select("idx", "subject", F.substring("body", 1, 200).alias("b"), "language")
     own = tables.first_id(t, ["subject", "b", "language"], "idx").withColumnRenamed("idx", "own")
     return t.join(own, ["subject", "b", "language"], "left").select("idx", "own")
 
 
-@register("SELECT item_id, count(DISTINCT doc_id) AS n FROM (SELECT item_id, text FROM benchmark) b JOIN documents d ON d.text = b.text GROUP BY item_id")
+@register("SELECT item_id, count(DISTINCT doc_id) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def leakage_guard(spark: SparkSession, sf: str) -> DataFrame:
-    docs, items = _read(spark, sf, "documents").select("doc_id", "text"), _read(spark, sf, "benchmark")
-    return items.join(docs, "text").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"))
+    """Documents that hold the whole text of an item."""
+    return tables.leaks(read(spark, sf, "documents"), "doc_id", "text", read(spark, sf, "benchmark"), "item_id", "text")
+
+
+@register("SELECT idx FROM (SELECT doc_id::VARCHAR AS idx FROM labels WHERE quality = 1 INTERSECT SELECT doc_id::VARCHAR FROM labels WHERE toxic = 1)")
+def shared_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids that two samples share; a guard raises where there are any."""
+    labels = read(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("idx"), "quality", "toxic")
+    return labels.filter("quality = 1").select("idx").intersect(labels.filter("toxic = 1").select("idx"))
+
+
+@register("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def rows_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    return preprocess.rows_by_id(read(spark, sf, "documents").select("doc_id", "n_chars"), read(spark, sf, "labels").filter("quality = 0"), "doc_id")
+
+
+@register("SELECT vec_id, label, quality FROM embeddings JOIN labels ON doc_id = vec_id")
+def gold_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Gold labels beside the vectors of the same number."""
+    labels = read(spark, sf, "labels").withColumnRenamed("doc_id", "vec_id")
+    vectors = preprocess.rows_by_id(read(spark, sf, "embeddings"), labels, "vec_id")
+    return preprocess.gold_labels(vectors, labels, "vec_id", ["quality"]).select("vec_id", "label", "quality")
+
+
+@register("SELECT source, doc_id FROM (SELECT source, doc_id FROM documents UNION ALL SELECT source, doc_id + 100000 FROM documents WHERE lang = 'en') EXCEPT SELECT source, doc_id FROM documents WHERE lang = 'de'")
+def set_operations(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables one under the other, without the rows of a third."""
+    docs = read(spark, sf, "documents").select("source", "doc_id", "lang")
+    more = docs.filter("lang = 'en'").withColumn("doc_id", F.col("doc_id") + 100000).drop("lang")
+    return docs.unionByName(more, allowMissingColumns=True).select("source", "doc_id").subtract(docs.filter("lang = 'de'").select("source", "doc_id"))
 
 
 @register("SELECT doc_id FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT doc_id::VARCHAR FROM labels)")
 def resume_anti(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.pending(_read(spark, sf, "documents").select("doc_id"), _read(spark, sf, "labels"), "doc_id")
+    return tables.pending(read(spark, sf, "documents").select("doc_id"), read(spark, sf, "labels"), "doc_id")
 
 
 @register("""SELECT source, lang, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY 1, 2
 UNION ALL SELECT source, lang, count(*) + 1000 FROM documents WHERE lang = 'en' GROUP BY 1, 2""")
 def upsert_label(spark: SparkSession, sf: str) -> DataFrame:
-    old = _read(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    old = read(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
     return tables.upsert(old, old.filter("lang = 'en'").withColumn("n", F.col("n") + 1000), "lang")
 
 
 @register("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def keep_last(spark: SparkSession, sf: str) -> DataFrame:
-    events = _read(spark, sf, "events").select("user_id", "event_id", "event_type")
+    events = read(spark, sf, "events").select("user_id", "event_id", "event_type")
     return tables.keep_last(events, ["user_id"], "event_id")
 
 
@@ -194,13 +199,13 @@ def compare_systems(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("SELECT doc_id, 1::BIGINT AS systems FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def system_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    one = _read(spark, sf, "documents").select("doc_id", F.lit("S1").alias("system"))
-    two = _read(spark, sf, "labels").select("doc_id", F.lit("S2").alias("system"))
+    one = read(spark, sf, "documents").select("doc_id", F.lit("S1").alias("system"))
+    two = read(spark, sf, "labels").select("doc_id", F.lit("S2").alias("system"))
     return tables.aligned(one.unionByName(two), "doc_id", "system")
 
 
 def _systems(spark: SparkSession, sf: str) -> DataFrame:
-    labels = _read(spark, sf, "labels")
+    labels = read(spark, sf, "labels")
     both = F.explode(F.array(*(F.struct(F.lit(s).alias("system"), F.col(c).alias("v")) for s, c in (("S1", "quality"), ("S2", "toxic")))))
     return labels.select("doc_id", both.alias("x")).select("doc_id", "x.system", "x.v")
 
@@ -210,12 +215,12 @@ def _systems(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def lang_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @register("SELECT event_type, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM events GROUP BY event_type")
 def route_share(spark: SparkSession, sf: str) -> DataFrame:
-    counts = _read(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    counts = read(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     return counts.select("event_type", F.round(F.col("n") / total, 4).alias("share"))
 
@@ -223,7 +228,7 @@ def route_share(spark: SparkSession, sf: str) -> DataFrame:
 @register("""SELECT source, coalesce(lang, 'all') AS split, round(avg(n_chars), 4) AS mean, count(n_chars) AS n FROM documents
 GROUP BY GROUPING SETS ((source), (source, lang))""")
 def metric_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _read(spark, sf, "documents")
+    docs = read(spark, sf, "documents")
     out = docs.groupingSets([[F.col("source")], [F.col("source"), F.col("lang")]], "source", "lang").agg(
         F.grouping("lang").alias("g"), F.round(F.avg("n_chars"), 4).alias("mean"), F.count("n_chars").alias("n")
     )
@@ -233,7 +238,7 @@ def metric_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
 @register("SELECT event_type, round(quantile_cont(value, 0.025), 4) AS low, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.975), 4) AS high FROM events GROUP BY event_type")
 def percentiles(spark: SparkSession, sf: str) -> DataFrame:
     at = {"low": 0.025, "p50": 0.5, "high": 0.975}
-    return _read(spark, sf, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", q), 4).alias(n) for n, q in at.items()))
+    return read(spark, sf, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", q), 4).alias(n) for n, q in at.items()))
 
 
 _F1 = """WITH p AS (SELECT {t} AS t, {p} AS p FROM {src}),
@@ -245,12 +250,12 @@ SELECT round(sum(tp) / sum(s), 4) AS accuracy, round(avg(f1), 4) AS macro_f1, ro
 
 @register(_F1.format(t="quality", p="toxic", src="labels"))
 def macro_f1(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.classification(_read(spark, sf, "labels"), "quality", "toxic")
+    return metrics.classification(read(spark, sf, "labels"), "quality", "toxic")
 
 
 @register(_F1.format(t="quality", p="(SELECT quality FROM labels GROUP BY quality ORDER BY count(*) DESC, quality LIMIT 1)", src="labels"))
 def majority_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    labels = _read(spark, sf, "labels").select("quality")
+    labels = read(spark, sf, "labels").select("quality")
     counts = labels.groupBy("quality").agg(F.count("*").alias("n"))
     top = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "quality"))["quality"].alias("majority"))
     return metrics.classification(labels.join(F.broadcast(top)), "quality", "majority")  # top: one row
@@ -259,7 +264,7 @@ def majority_baseline(spark: SparkSession, sf: str) -> DataFrame:
 @register("""SELECT count(*) AS distinct_labels, arg_min(source, (-n, source)) AS top_label, round(max(n) / sum(n), 4) AS top_share
 FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)""")
 def label_collapse(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.collapse_stats(_read(spark, sf, "documents"), "source")
+    return tables.collapse_stats(read(spark, sf, "documents"), "source")
 
 
 _DRAW = "('0x' || substr(md5('42:{name}:' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0"
@@ -269,7 +274,7 @@ _DRAW = "('0x' || substr(md5('42:{name}:' || doc_id::VARCHAR), 1, 8))::BIGINT /
 round(avg(({_DRAW.format(name='distractor')} < 0.2)::INT), 4) AS distractor_share, round(avg(({_DRAW.format(name='aspects')} < 0.8)::INT), 4) AS aspect_share FROM documents""")
 def raft_stats(spark: SparkSession, sf: str) -> DataFrame:
     flag = lambda name, p: F.round(F.avg((sampling.unit_draw(42, name, "doc_id") < p).cast("int")), 4)
-    return _read(spark, sf, "documents").agg(
+    return read(spark, sf, "documents").agg(
         F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("en"), F.count_if(F.col("lang") == "de").alias("de"),
         flag("distractor", 0.2).alias("distractor_share"), flag("aspects", 0.8).alias("aspect_share"),
     )
@@ -277,7 +282,7 @@ def raft_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("SELECT (sum(CASE WHEN quality IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS filled, count(*) AS total, round(count(quality) / count(*), 4) AS share FROM documents LEFT JOIN labels USING (doc_id)")
 def label_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    both = _read(spark, sf, "documents").select("doc_id").join(_read(spark, sf, "labels"), "doc_id", "left")
+    both = read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels"), "doc_id", "left")
     return both.agg(F.count_if(F.col("quality").isNotNull()).alias("filled"), F.count("*").alias("total"), F.round(F.count("quality") / F.count("*"), 4).alias("share"))
 
 
@@ -291,7 +296,7 @@ f AS (SELECT *, least(200 // k + (i <= 200 % k)::INT, size) AS first FROM g),
 q AS (SELECT lang, first + least(size - first, greatest(greatest(200 - sum(first) OVER (), 0) - coalesce(sum(size - first) OVER (ORDER BY lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS quota FROM f)
 SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_HASH}, doc_id) AS r FROM documents) JOIN q USING (lang) WHERE r <= quota""")
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.stratified_sample(_read(spark, sf, "documents").select("doc_id", "lang"), "doc_id", "lang", 200)
+    return sampling.stratified_sample(read(spark, sf, "documents").select("doc_id", "lang"), "doc_id", "lang", 200)
 
 
 _LEFT = "row_number() OVER (ORDER BY round({n} * size / total - floor({n} * size / total), 9) DESC, lang) <= {n} - sum(floor({n} * size / total)) OVER ()"
@@ -302,48 +307,32 @@ q AS (SELECT lang, floor(30 * size / total) + ({_LEFT.format(n=30)})::INT AS t,
 SELECT doc_id, CASE WHEN r <= t THEN 'test' WHEN r <= t + v THEN 'validate' ELSE 'train' END AS split
 FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_HASH}, doc_id) AS r FROM documents) JOIN q USING (lang)""")
 def three_way_split(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.three_way_split(_read(spark, sf, "documents").select("doc_id", "lang"), "doc_id", "lang", 30, 40).select("doc_id", "split")
+    return sampling.three_way_split(read(spark, sf, "documents").select("doc_id", "lang"), "doc_id", "lang", 30, 40).select("doc_id", "split")
 
 
 @register(f"SELECT doc_id, row_number() OVER (ORDER BY {_HASH}, doc_id) <= greatest(1, least(round(count(*) OVER () * 0.05), count(*) OVER () - 1)) AS is_val FROM documents")
 def shuffle_split(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.shuffle_split(_read(spark, sf, "documents").select("doc_id"), "doc_id", 0.05)
+    return sampling.shuffle_split(read(spark, sf, "documents").select("doc_id"), "doc_id", 0.05)
 
 
 @register(f"SELECT doc_id, {_DRAW.format(name='aspects')} < 0.8 AS with_aspects, {_DRAW.format(name='distractor')} < 0.2 AS distractor FROM documents")
 def bernoulli_flags(spark: SparkSession, sf: str) -> DataFrame:
     flag = lambda name, p: (sampling.unit_draw(42, name, "doc_id") < p).alias({"aspects": "with_aspects"}.get(name, name))
-    return _read(spark, sf, "documents").select("doc_id", flag("aspects", 0.8), flag("distractor", 0.2))
-
-
-@register("""WITH q AS (SELECT vec_id, label FROM embeddings WHERE vec_id % 20 = 0),
-pool AS (SELECT vec_id AS d, label AS dl FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id::VARCHAR), vec_id) <= 30)
-SELECT vec_id AS query_id, d AS doc_id, r AS rank FROM (
-    SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY md5(vec_id::VARCHAR || ':' || d::VARCHAR), d) AS r FROM q JOIN pool ON dl <> label
-) WHERE r <= 3""")
-def distractors(spark: SparkSession, sf: str) -> DataFrame:
-    """Three records of other labels for each query, by a hash of both ids, from a pool of 30 records of each label."""
-    e = _read(spark, sf, "embeddings").select("vec_id", "label")
-    pool = sampling.hash_rank(e, 42, "vec_id", ["label"]).filter("hash_rank <= 30").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("dl"))
-    other = e.select("label").distinct().join(pool.select("dl").distinct(), F.col("label") != F.col("dl"))  # pairs of labels
-    drawn = e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id").join(F.broadcast(other), "label").join(pool, "dl")
-    order = F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("doc_id").cast("string")))
-    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "doc_id")))
-    return ranked.filter("rank <= 3").select("query_id", "doc_id", "rank")
+    return read(spark, sf, "documents").select("doc_id", flag("aspects", 0.8), flag("distractor", 0.2))
 
 
 # --- statistics ----------------------------------------------------------------------------
 
 _DRAWS = """pos AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM labels),
 d AS (SELECT draw, ('0x' || substr(md5('42:' || draw::VARCHAR || ':' || slot::VARCHAR), 1, 8))::BIGINT % (SELECT count(*) FROM labels) AS p
-    FROM (SELECT unnest(range(0, 200)) AS draw) a, (SELECT unnest(range(0, (SELECT count(*) FROM labels))) AS slot) b)"""
+    FROM (SELECT unnest(range(0, 1000)) AS draw) a, (SELECT unnest(range(0, (SELECT count(*) FROM labels))) AS slot) b)"""
 
 
 @register(f"""WITH {_DRAWS}, m AS (SELECT draw, avg(quality) AS m FROM d JOIN pos USING (p) GROUP BY draw)
 SELECT (SELECT count(*) FROM labels) AS n, (SELECT round(avg(quality), 4) FROM labels) AS mean, round(quantile_cont(m, 0.025), 4) AS ci_low, round(quantile_cont(m, 0.975), 4) AS ci_high FROM m""")
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    labels = _read(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("v"))
-    return statistics.bootstrap_ci(spark, labels, "doc_id", "v", 200)
+    labels = read(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("v"))
+    return statistics.bootstrap_ci(spark, labels, "doc_id", "v")
 
 
 @register(f"""WITH {_DRAWS}, m AS (SELECT draw, avg(toxic - quality) AS m FROM d JOIN pos USING (p) GROUP BY draw),
@@ -351,8 +340,8 @@ c AS (SELECT round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.9
 SELECT 'toxic' AS system, (SELECT count(*) FROM labels) AS n, (SELECT round(avg(toxic), 4) FROM labels) AS mean, (SELECT round(avg(toxic - quality), 4) FROM labels) AS diff,
 lo AS diff_ci_low, hi AS diff_ci_high, (lo > 0 OR hi < 0) AS significant FROM c""")
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    labels = _read(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
-    return statistics.paired_bootstrap(spark, labels, "doc_id", "quality", ["toxic"], 200)
+    labels = read(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
+    return statistics.paired_bootstrap(spark, labels, "doc_id", "quality", ["toxic"])
 
 
 @register("""WITH t AS (SELECT unnest([0.05, 0.2, 0.4, 0.6, 0.9]) AS threshold),
@@ -360,104 +349,21 @@ r AS (SELECT (doc_id % 100) / 100.0::DOUBLE AS s, quality::DOUBLE AS w, toxic::D
 m AS (SELECT threshold::DOUBLE AS threshold, round(avg(CASE WHEN s >= threshold::DOUBLE THEN w ELSE o END), 4) AS mean, round(avg((s >= threshold::DOUBLE)::INT), 4) AS rag_share, count(*) AS n FROM r, t GROUP BY threshold)
 SELECT *, threshold = (SELECT min(threshold) FROM m WHERE mean = (SELECT max(mean) FROM m)) AS best FROM m""")
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _read(spark, sf, "labels").select((F.col("doc_id") % 100 / 100.0).cast("string").alias("s"), F.col("quality").cast("double").alias("w"), F.col("toxic").cast("double").alias("o"))
+    rows = read(spark, sf, "labels").select((F.col("doc_id") % 100 / 100.0).cast("string").alias("s"), F.col("quality").cast("double").alias("w"), F.col("toxic").cast("double").alias("o"))
     return statistics.threshold_sweep(rows, "s", "w", "o", [0.05, 0.2, 0.4, 0.6, 0.9])
 
 
 # --- search -----------------------------------------------------------------------------------
 
 
-def _dense(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    e = _read(spark, sf, "embeddings")
-    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return retrieval.dense_topk(spark, queries, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), k)
-
-
-def _dense_sql(k: int) -> str:
-    return f"""(SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-    SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0)) WHERE rank <= {k})"""
-
-
-@register("SELECT query_id, doc_id, round(score, 4) AS score, rank FROM " + _dense_sql(10))
-def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _dense(spark, sf, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
-
-
-def _bm25(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    docs = _read(spark, sf, "documents").select("doc_id", "text")
-    queries = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 40).alias("text"))
-    return retrieval.top_k(retrieval.bm25_scores(queries, docs), ["query_id"], "score", ["doc_id"], k)
-
-
-def _bm25_sql(k: int) -> str:
-    words = lambda c: f"list_filter({_TOKENS.format(c)}, lambda t: length(t) >= 2)"
-    return f"""(WITH w AS (SELECT doc_id, {words("text")} AS w FROM documents),
-    q AS (SELECT DISTINCT doc_id AS query_id, unnest({words("substr(text, 1, 40)")}) AS term FROM documents WHERE doc_id % 20 = 0),
-    tot AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
-    post AS (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w) GROUP BY 1, 2, 3),
-    freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-    s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 4) AS score
-        FROM q JOIN post USING (term) JOIN freq USING (term), tot GROUP BY 1, 2)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {k})"""
-
-
-@register("SELECT query_id, doc_id, score, rank FROM " + _bm25_sql(20))
-def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _bm25(spark, sf, 20).select("query_id", "doc_id", "score", "rank")
-
-
-@register(f"""WITH f AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 6) AS rrf, min(rank) FILTER (l = 0) AS r1, min(rank) FILTER (l = 1) AS r2 FROM (
-    SELECT query_id, doc_id, rank, 0 AS l FROM {_dense_sql(50)} UNION ALL SELECT query_id, doc_id, rank, 1 FROM {_bm25_sql(50)}) GROUP BY 1, 2)
-SELECT query_id, doc_id, rrf, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, r1 NULLS LAST, r2 NULLS LAST, doc_id) AS rank FROM f) WHERE rank <= 20""")
-def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    fused = retrieval.fuse([_dense(spark, sf, 50), _bm25(spark, sf, 50)])
-    place = Window.partitionBy("query_id").orderBy(F.desc("rrf"), F.asc_nulls_last("rank_1"), F.asc_nulls_last("rank_2"), "doc_id")
-    return fused.withColumn("rank", F.row_number().over(place)).filter("rank <= 20").select("query_id", "doc_id", "rrf", "rank")
-
-
-_OVERLAP = """CASE WHEN len(list_distinct({q})) = 0 THEN 0.0 ELSE round(len(list_intersect(list_distinct({q}), list_distinct({d}))) / len(list_distinct({q})), 4) END"""
-
-
-@register(f"""WITH h AS (SELECT query_id, doc_id, rank, 1 / (60 + rank) AS rrf FROM {_bm25_sql(30)}),
-c AS (SELECT h.*, {_OVERLAP.format(q=_TOKENS.format("substr(q.text, 1, 40)"), d=_TOKENS.format("d.text"))} AS base, CASE WHEN q.source = d.source THEN 0.4 ELSE 0.0 END AS a_score
-    FROM h JOIN documents q ON q.doc_id = query_id JOIN documents d ON d.doc_id = h.doc_id),
-f AS (SELECT *, round(base + 0.1 * a_score, 4) AS final FROM c)
-SELECT query_id, doc_id, base, final, rank FROM (SELECT query_id, doc_id, base, final, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, base DESC, rrf DESC, doc_id) AS rank FROM f) WHERE rank <= 5""")
-def rerank_final(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _read(spark, sf, "documents").select("doc_id", "text", "source")
-    hits = _bm25(spark, sf, 30).select("query_id", "doc_id", (1 / (60 + F.col("rank"))).alias("rrf"))
-    asked = docs.select(F.col("doc_id").alias("query_id"), T.tokens(F.substring("text", 1, 40)).alias("q"), F.col("source").alias("qs"))
-    both = hits.join(asked, "query_id").join(docs, "doc_id")
-    maps = [F.create_map(F.lit(k), F.col(c)) for k, c in (("intent", "qs"), ("queue", "source"))]
-    scored = both.select("query_id", "doc_id", "rrf", retrieval.overlap_score(F.col("q"), T.tokens(F.col("text"))).alias("base"), retrieval.aspect_score(*maps).alias("a_score"))
-    return retrieval.rerank(scored, 5).select("query_id", "doc_id", "base", "final", "rank")
-
-
-@register(f"""SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM {_dense_sql(20)}
-WHERE score < 0.97 AND query_id <> doc_id) WHERE rank <= 3""")
-def neardup_guard(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _dense(spark, sf, 20).withColumn("dense", F.col("score"))
-    hits = hits.withColumn("gold", F.col("query_id").cast("string")).withColumn("response", F.col("doc_id").cast("string"))
-    return retrieval.drop_near_duplicates(hits, "gold", "response", 0.97, 3).select("query_id", "doc_id", "rank")
-
-
-@register(f"""SELECT query_id, round(sum((q.label = d.label)::INT) / count(*), 4) AS intent_at_k FROM {_dense_sql(3)} h
-JOIN embeddings q ON q.vec_id = query_id JOIN embeddings d ON d.vec_id = doc_id GROUP BY query_id""")
-def intent_at_k(spark: SparkSession, sf: str) -> DataFrame:
-    labels = _read(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("l"))
-    hits = _dense(spark, sf, 3).join(labels.select(F.col("vec_id").alias("query_id"), F.col("l").alias("q_intent")), "query_id")
-    hits = hits.join(labels.select(F.col("vec_id").alias("doc_id"), F.col("l").alias("d_intent")), "doc_id")
-    return retrieval.intent_at_k(hits.withColumn("q_queue", F.lit("")).withColumn("d_queue", F.lit("none")))
-
-
 _JAC = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END"
 
 
-@register(f"""WITH t AS (SELECT idx, queue, language, list_distinct({_TOKENS.format("body")}) AS w, lead(queue) OVER o AS q2, lead(language) OVER o AS l2, lead(list_distinct({_TOKENS.format("body")})) OVER o AS w2
-    FROM {_TICKETS} WINDOW o AS (ORDER BY idx))
+@register(f"""WITH t AS (SELECT idx, queue, language, list_distinct({TOKENS.format("body")}) AS w, lead(queue) OVER o AS q2, lead(language) OVER o AS l2, lead(list_distinct({TOKENS.format("body")})) OVER o AS w2
+    FROM {TICKETS} WINDOW o AS (ORDER BY idx))
 SELECT idx, round(CASE WHEN queue = q2 THEN 0.4 ELSE 0.0 END + CASE WHEN language = l2 THEN 0.2 ELSE 0.0 END + 0.3 * ({_JAC.format(a="w", b="w2")}), 4) AS a_score FROM t WHERE q2 IS NOT NULL""")
 def aspect_score(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tickets(spark, sf)
+    t = tickets(spark, sf)
     rows = sampling.dense_index(t, "idx", "pos")
     after = rows.select((F.col("pos") - 1).alias("pos"), *(F.col(c).alias(f"{c}2") for c in ("queue", "language", "body")))
     both = rows.join(after, "pos")
@@ -466,11 +372,6 @@ def aspect_score(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("idx", retrieval.aspect_score(q, d).alias("a_score"))
 
 
-@register(f"""SELECT query_id, CASE WHEN score >= 0.5 THEN 'rag' ELSE 'no_context' END AS route FROM {_dense_sql(20)} WHERE rank = 2""")
-def crag_route(spark: SparkSession, sf: str) -> DataFrame:
-    return _dense(spark, sf, 20).filter("rank = 2").select("query_id", retrieval.route(F.col("score").cast("string"), 0.5).alias("route"))
-
-
 # --- vectors ---------------------------------------------------------------------------------------
 
 
@@ -478,7 +379,7 @@ def crag_route(spark: SparkSession, sf: str) -> DataFrame:
 m AS (SELECT a.vec_id, list_transform(range(1, 65), lambda i: (2.0 * a.v[i] + 1.5 * b.v[i]) / 3.5) AS v FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, list_transform(v, lambda x: round(x / (sqrt(list_dot_product(v, v)) + 1e-9), 6)) AS vector FROM m""")
 def query_vector_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    e = _read(spark, sf, "embeddings").select("vec_id", V.as_double(F.col("embedding")).alias("a"))
+    e = read(spark, sf, "embeddings").select("vec_id", V.as_double(F.col("embedding")).alias("a"))
     both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
     mean = both.select("vec_id", V.weighted_mean([(F.col("a"), 2.0), (F.col("b"), 1.5)]).alias("m"))
     sized = mean.select("vec_id", "m", (V.norm(F.col("m")) + 1e-9).alias("s"))
@@ -488,7 +389,7 @@ def query_vector_weighted(spark: SparkSession, sf: str) -> DataFrame:
 @register("""WITH c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1, 2)
 SELECT label, i - 1 AS dim, round(x / (sqrt(sum(x * x) OVER (PARTITION BY label)) + 1e-9), 6) AS x FROM c""")
 def centroid(spark: SparkSession, sf: str) -> DataFrame:
-    cells = _read(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
+    cells = read(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
     mean = cells.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     size = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("label"))) + 1e-9  # a row for each dimension
     return mean.select("label", F.col("dim").cast("long").alias("dim"), F.round(F.col("x") / size, 6).alias("x"))
@@ -498,7 +399,7 @@ def centroid(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT vec_id // 10 AS key, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 >= 3)
 SELECT key, round(avg(best), 4) AS coverage FROM (SELECT a.key, a.vec_id, max(list_cosine_similarity(a.v, s.v)) AS best FROM a JOIN s USING (key) GROUP BY 1, 2) GROUP BY key""")
 def coverage_max_cos(spark: SparkSession, sf: str) -> DataFrame:
-    e = _read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("key"), "vec_id", V.as_double(F.col("embedding")).alias("vector"))
+    e = read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("key"), "vec_id", V.as_double(F.col("embedding")).alias("vector"))
     return metrics.coverage(e.filter("vec_id % 10 < 3").withColumnRenamed("vec_id", "aspect"), e.filter("vec_id % 10 >= 3").select("key", "vector"))
 
 
@@ -507,7 +408,7 @@ def coverage_max_cos(spark: SparkSession, sf: str) -> DataFrame:
 
 def _rouge_sql(n: int) -> str:
     grams = "w" if n == 1 else "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
-    return f"""WITH t AS (SELECT conv_id * 1000 + turn AS pair_id, {_TOKENS.format("answer")} AS h, {_TOKENS.format("question")} AS r FROM {_PAIRS}),
+    return f"""WITH t AS (SELECT conv_id * 1000 + turn AS pair_id, {TOKENS.format("answer")} AS h, {TOKENS.format("question")} AS r FROM {PAIRS}),
 h AS (SELECT pair_id, g, count(*) AS n FROM (SELECT pair_id, unnest({grams}) AS g FROM (SELECT pair_id, h AS w FROM t)) GROUP BY 1, 2),
 r AS (SELECT pair_id, g, count(*) AS n FROM (SELECT pair_id, unnest({grams}) AS g FROM (SELECT pair_id, r AS w FROM t)) GROUP BY 1, 2),
 m AS (SELECT pair_id, sum(least(h.n, r.n)) AS m FROM h JOIN r USING (pair_id, g) GROUP BY pair_id),
@@ -517,41 +418,48 @@ SELECT pair_id, coalesce(CASE WHEN m > 0 THEN round(2 * m / (a + b), 4) END, 0.0
 
 @register(_rouge_sql(1))
 def rouge1(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.rouge_n(_pairs(spark, sf), "pair_id", "answer", "question", 1)
+    return metrics.rouge_n(pairs(spark, sf), "pair_id", "answer", "question", 1)
 
 
 @register(_rouge_sql(2))
 def rouge2(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.rouge_n(_pairs(spark, sf), "pair_id", "answer", "question", 2)
+    return metrics.rouge_n(pairs(spark, sf), "pair_id", "answer", "question", 2)
 
 
-@register()
+@register(f"""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS pair_id, {TOKENS.format("answer")} AS a, {TOKENS.format("question")} AS b FROM {PAIRS}),
+cell AS (SELECT pair_id, unnest(range(1, len(b) + 1)) AS j, unnest(b) AS w FROM t WHERE len(a) > 0),
+rows AS (SELECT pair_id, 0 AS i, j, 0::BIGINT AS best FROM cell
+    UNION ALL SELECT pair_id, i + 1, j, max(cand) OVER (PARTITION BY pair_id ORDER BY j) FROM (
+        SELECT r.pair_id, r.i, r.j, greatest(r.best, CASE WHEN t.a[r.i + 1] = c.w THEN coalesce(lag(r.best) OVER (PARTITION BY r.pair_id ORDER BY r.j), 0) + 1 ELSE 0 END) AS cand
+        FROM rows r JOIN t ON t.pair_id = r.pair_id JOIN cell c ON c.pair_id = r.pair_id AND c.j = r.j WHERE r.i < len(t.a))),
+m AS (SELECT t.pair_id, max(best) AS m FROM rows r JOIN t ON t.pair_id = r.pair_id WHERE r.i = len(t.a) GROUP BY 1)
+SELECT pair_id, CASE WHEN coalesce(m, 0) > 0 THEN round(2 * m / (len(a) + len(b)), 4) ELSE 0.0 END AS rouge FROM t LEFT JOIN m USING (pair_id)""")
 def rougeL(spark: SparkSession, sf: str) -> DataFrame:  # noqa: N802  the metric's name
     from lodeloom.session import ship_package
 
     ship_package(spark)
-    return metrics.rouge_l(_pairs(spark, sf), "pair_id", "answer", "question")
+    return metrics.rouge_l(pairs(spark, sf), "pair_id", "answer", "question")
 
 
-@register(f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, {_TOKENS.format("answer")} AS h, {_TOKENS.format("question")} AS r FROM {_PAIRS}),
+@register(f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, {TOKENS.format("answer")} AS h, {TOKENS.format("question")} AS r FROM {PAIRS}),
 k AS (SELECT unnest([1, 2, 3, 4]) AS n),
 hg AS (SELECT n, id, g, count(*) AS c FROM (SELECT n, id, unnest(list_transform(range(1, len(h) - n + 2), lambda i: array_to_string(h[i : i + n - 1], ' '))) AS g FROM t, k) GROUP BY 1, 2, 3),
 rg AS (SELECT n, id, g, count(*) AS c FROM (SELECT n, id, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i : i + n - 1], ' '))) AS g FROM t, k) GROUP BY 1, 2, 3)
 SELECT n, sum(least(hg.c, coalesce(rg.c, 0)))::BIGINT AS matched, sum(hg.c)::BIGINT AS total, (SELECT sum(len(h)) FROM t)::BIGINT AS hyp_len, (SELECT sum(len(r)) FROM t)::BIGINT AS ref_len
 FROM hg LEFT JOIN rg USING (n, id, g) GROUP BY n""")
 def bleu_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.bleu_counts(_pairs(spark, sf), "pair_id", "answer", "question")
+    return metrics.bleu_counts(pairs(spark, sf), "pair_id", "answer", "question")
 
 
-@register(f"SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents")
+@register(f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents")
 def tokens_unicode(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    return read(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
 
 
-@register(f"""WITH t AS (SELECT idx, list_distinct({_TOKENS.format("body")}) AS a FROM {_TICKETS}), p AS (SELECT x.idx, x.a, y.a AS b FROM t x JOIN t y ON y.idx = x.idx + 1)
+@register(f"""WITH t AS (SELECT idx, list_distinct({TOKENS.format("body")}) AS a FROM {TICKETS}), p AS (SELECT x.idx, x.a, y.a AS b FROM t x JOIN t y ON y.idx = x.idx + 1)
 SELECT idx, round({_JAC.format(a="a", b="b")}, 4) AS jaccard FROM p""")
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tickets(spark, sf).select("idx", F.array_distinct(T.tokens(F.col("body"))).alias("a"))
+    t = tickets(spark, sf).select("idx", F.array_distinct(T.tokens(F.col("body"))).alias("a"))
     both = t.join(t.select((F.col("idx") - 1).alias("idx"), F.col("a").alias("b")), "idx")
     return both.select("idx", F.round(T.jaccard(F.col("a"), F.col("b")), 4).alias("jaccard"))
 
@@ -563,7 +471,7 @@ def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
 m AS (SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(t, '\*\*[^*]+\*\*', '', 'g'), '\s\s+', ' ', 'g')), '([.!?])\s+([A-Za-zÜÖÄ\[*])', '\1' || chr(30) || '\2', 'g'), '([.!?])\s+([A-Za-zÜÖÄ\[*])', '\1' || chr(30) || '\2', 'g') AS t FROM d)
 SELECT doc_id, list_filter(list_transform(string_split(t, chr(30)), lambda s: trim(s)), lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')) >= 2) AS sentences FROM m""")
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", T.sentences(F.col("text")).alias("sentences"))
+    return read(spark, sf, "documents").select("doc_id", T.sentences(F.col("text")).alias("sentences"))
 
 
 _MASK = (
@@ -573,129 +481,87 @@ _MASK = (
 
 @register(f"SELECT doc_id, {_MASK} AS masked FROM documents")
 def pii_mask(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", T.mask_pii(F.col("text")).alias("masked"))
+    return read(spark, sf, "documents").select("doc_id", T.mask_pii(F.col("text")).alias("masked"))
 
 
 @register(f"""SELECT doc_id, array_to_string(list_concat(list_transform(regexp_extract_all(text, '{T.EMAIL}'), lambda x: '<email:' || x || '>'),
 list_transform(regexp_extract_all(text, '{T.PHONE}'), lambda x: '<phone:' || x || '>')), ', ') AS pii FROM documents""")
 def pii_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", T.extract_pii(F.col("text")).alias("pii"))
+    return read(spark, sf, "documents").select("doc_id", T.extract_pii(F.col("text")).alias("pii"))
 
 
 @register(rf"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '(?i){T.VERSION}'))) AS versions FROM documents""")
 def entity_regex(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", T.entities(F.col("text")).alias("e")).select("doc_id", "e.versions")
-
-
-@register()
-def entity_bag(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", T.entities(F.col("text")).alias("entities"))
-
-
-@register()
-def strip_filler(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", T.strip_filler(F.col("text"), F.col("lang")).alias("text"))
+    return read(spark, sf, "documents").select("doc_id", T.entities(F.col("text")).alias("e")).select("doc_id", "e.versions")
 
 
-@register("SELECT page_id, regexp_replace(html, '<br ?/?>', ' ', 'g') AS html FROM pages")
-def br_strip(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "pages").select("page_id", T.strip_breaks(F.col("html")).alias("html"))
 
 
-def _tiers_sql(tiers: dict[str, list[str]], column: str) -> str:
-    cases = []
-    for name, words in tiers.items():
-        alternatives = "|".join(words).replace("'", "''")
-        cases.append(f"WHEN regexp_matches(lower({column}), '{alternatives}') THEN '{name}'")
-    return f"CASE {' '.join(cases)} ELSE 'low' END"
+def _found_sql(pattern: str) -> str:
+    return "regexp_extract_all(" + _EDGES.format("text") + f", '{pattern}', 1)"
 
 
-@register(f"SELECT doc_id, {_tiers_sql(T.URGENCY, 'text')} AS urgency FROM documents")
-def urgency(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", T.urgency(F.col("text")).alias("urgency"))
+_CODES_SQL = "list_concat(" + ", ".join([
+    _found_sql("(?i)" + _BEFORE + r"(?:error|err|code|errno)[:\s#]*(\w+)" + _AFTER), _found_sql(_BEFORE + r"([A-Z]{2,}_[A-Z_]{2,})" + _AFTER),
+    "list_transform(" + _found_sql("(?i)" + _BEFORE + r"(HTTP\s*[45]\d{2})" + _AFTER) + r", lambda x: regexp_replace(x, '(\s)\s', '\1', 'g'))",
+]) + ")"
+_TOOLS_SQL = "list_transform(" + _found_sql("(?i)" + _BEFORE + "(" + "|".join(T.TOOLS) + ")" + _AFTER) + ", lambda x: lower(x))"
+_TERMS_SQL = _found_sql("(?i)" + _BEFORE + T.DE_TERMS.removeprefix(r"\b").removesuffix(r"\b") + _AFTER)
 
 
-@register(f"SELECT doc_id, {_tiers_sql(T.SEVERITY, 'text')} AS severity FROM documents")
-def severity(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", T.severity(F.col("text")).alias("severity"))
-
-
-_CHECKLIST_SQL = f"""CASE WHEN len(items) = 0 THEN '' ELSE array_to_string(list_concat(['{T.CHECKLIST_HEAD}'],
-list_transform(items, lambda x, i: i::VARCHAR || '. ' || x), ['Category: ' || queue || ' / ' || language || '.']), chr(10)) END"""
-_ITEMS_SQL = f"""(SELECT idx, subject, body, queue, language, list_filter([
-    CASE WHEN trim(subject) <> '' THEN 'Solve the problem: ' || trim(subject) END,
-    CASE WHEN language = 'de' THEN 'Address the likely cause: ' || queue END,
-    'Tone for urgency "' || u || '": ' || CASE WHEN u IN ('high', 'critical') THEN '{T.TONES[0]}' ELSE '{T.TONES[1]}' END], lambda x: x IS NOT NULL) AS items
-    FROM (SELECT *, {_tiers_sql(T.URGENCY, 'body')} AS u FROM {_TICKETS}))"""
-
-
-def _with_checklist(tickets: DataFrame) -> DataFrame:
-    cause = F.when(F.col("language") == "de", F.col("queue")).otherwise("none")
-    todo = T.checklist(
-        T.aspect(F.col("subject")), T.aspect(cause), T.aspect(F.lit("none")), T.aspect(T.urgency(F.col("body"))), T.aspect(F.col("queue")), T.aspect(F.col("language")), T.aspect(F.lit("")),
-    )
-    return tickets.withColumn("checklist", todo)
-
-
-@register(f"SELECT idx, {_CHECKLIST_SQL} AS checklist FROM {_ITEMS_SQL}")
-def checklist(spark: SparkSession, sf: str) -> DataFrame:
-    return _with_checklist(_tickets(spark, sf)).select("idx", "checklist")
+@register(f"SELECT doc_id, list_sort(list_distinct({_CODES_SQL})) AS error_codes, list_sort(list_distinct({_TOOLS_SQL})) AS products, list_sort(list_distinct({_TERMS_SQL})) AS de_domain FROM documents")
+def entity_bag(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", T.entities(F.col("text")).alias("e")).select("doc_id", "e.error_codes", "e.products", "e.de_domain")
 
 
-_LANGUAGE_SQL = "'Write the reply in ' || CASE language WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' ELSE 'the customer''s language' END || ', the same language as the customer''s message.'"
+def _filler_sql(opener: str, filler: str) -> str:
+    x = f"trim(regexp_replace(trim(text), '(?im){opener}', '', 'g'))"
+    x = f"regexp_replace(regexp_replace({x}, '(?i){filler}', '. ', 'g'), '\\.\\s*\\.', '.', 'g')"
+    return f"trim(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '^[-,.:;\\s]+', ''))"
 
 
-def _contexts(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    """``idx, n_docs, tokens, context``: for each query the context of its first 1..k hits, by running concatenation."""
-    docs = _read(spark, sf, "documents").select("doc_id", "text")
-    hits = _bm25(spark, sf, k).join(docs, "doc_id").select(F.col("query_id").alias("idx"), "rank", F.concat(
-        F.lit("["), F.col("rank").cast("string"), F.lit("] Subject: "), F.substring("text", 1, 40), F.lit("\n     Response: "), F.substring("text", 1, 100)).alias("line"))
-    upto = Window.partitionBy("idx").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return hits.select("idx", F.col("rank").alias("n_docs"), F.array_join(F.collect_list("line").over(upto), "\n").alias("context"))
+@register(f"""SELECT doc_id, CASE WHEN length(x) > 10 THEN x ELSE trim(text) END AS text FROM (SELECT doc_id, text,
+CASE WHEN lang = 'de' THEN {_filler_sql(T.OPENER_DE, T.FILLER_DE)} ELSE {_filler_sql(T.OPENER_EN, T.FILLER_EN)} END AS x FROM documents)""")
+def strip_filler(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", T.strip_filler(F.col("text"), F.col("lang")).alias("text"))
 
 
-_CONTEXT_SQL = f"""(SELECT query_id AS idx, rank AS n_docs, string_agg('[' || rank::VARCHAR || '] Subject: ' || substr(text, 1, 40) || chr(10) || '     Response: ' || substr(text, 1, 100), chr(10))
-    OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS context FROM {_bm25_sql(3)} h JOIN documents USING (doc_id))"""
-_PROMPT_SQL = f"""'{T.PROMPT_HEAD.strip()}' || chr(10) || CASE WHEN length(checklist) > 0 THEN checklist || chr(10) ELSE '' END || chr(10) || 'Context : ' || context || chr(10) || 'Subject : ' || subject
- || chr(10) || 'Message : ' || substr(body, 1, 200) || chr(10) || {_LANGUAGE_SQL} || chr(10) || '{T.PROMPT_END}'"""
+@register("SELECT page_id, regexp_replace(html, '<br ?/?>', ' ', 'g') AS html FROM pages")
+def br_strip(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "pages").select("page_id", T.strip_breaks(F.col("html")).alias("html"))
 
 
-def _prompts(spark: SparkSession, sf: str) -> DataFrame:
-    asked = _with_checklist(_tickets(spark, sf).filter("idx % 20 = 0"))
-    both = asked.join(_contexts(spark, sf, 3), "idx")
-    return both.select("idx", "n_docs", T.support_prompt(F.col("context"), F.col("subject"), F.substring("body", 1, 200), F.col("language"), F.col("checklist")).alias("prompt"))
+@register(f"SELECT doc_id, {tiers_sql(T.URGENCY, 'text')} AS urgency FROM documents")
+def urgency(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", T.urgency(F.col("text")).alias("urgency"))
 
 
-@register(f"SELECT idx, {_PROMPT_SQL} AS prompt FROM (SELECT *, {_CHECKLIST_SQL} AS checklist FROM {_ITEMS_SQL}) JOIN {_CONTEXT_SQL} USING (idx) WHERE n_docs = 3")
-def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
-    return _prompts(spark, sf).filter("n_docs = 3").select("idx", "prompt")
+@register(f"SELECT doc_id, {tiers_sql(T.SEVERITY, 'text')} AS severity FROM documents")
+def severity(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents").select("doc_id", T.severity(F.col("text")).alias("severity"))
 
 
-@register(f"""WITH p AS (SELECT idx, n_docs, {_PROMPT_SQL} AS prompt FROM (SELECT *, {_CHECKLIST_SQL} AS checklist FROM {_ITEMS_SQL}) JOIN {_CONTEXT_SQL} USING (idx)),
-c AS (SELECT *, len(list_filter(regexp_split_to_array(prompt, '\\s+'), lambda x: x <> '')) AS n_tokens FROM p)
-SELECT idx, max(n_docs) AS n_docs, max(n_tokens)::BIGINT AS n_tokens FROM c WHERE n_tokens + 16 <= 180 GROUP BY idx""")
-def prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
-    """The longest context whose prompt fits 180 words less 16 for the wrapper."""
-    counted = _prompts(spark, sf).withColumn("n_tokens", T.word_count(F.col("prompt"))).filter("n_tokens + 16 <= 180")
-    return counted.groupBy("idx").agg(F.max("n_docs").alias("n_docs"), F.max("n_tokens").alias("n_tokens"))
+@register(f"SELECT idx, {CHECKLIST_SQL} AS checklist FROM {ITEMS_SQL}")
+def checklist(spark: SparkSession, sf: str) -> DataFrame:
+    return with_checklist(tickets(spark, sf)).select("idx", "checklist")
 
 
 @register("SELECT doc_id, substr(sha256(text), 1, 12) AS sha FROM documents")
 def sha_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 12).alias("sha"))
+    return read(spark, sf, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 12).alias("sha"))
 
 
-@register("SELECT doc_id, length(doc_id::VARCHAR) AS size, row_number() OVER (ORDER BY length(doc_id::VARCHAR), doc_id::VARCHAR) AS place FROM documents QUALIFY place <= 100")
+@register("SELECT doc_id, length(doc_id::VARCHAR) AS size, row_number() OVER (ORDER BY length(doc_id::VARCHAR), doc_id::VARCHAR) AS place FROM documents")
 def id_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 100 ids by length, then as text."""
-    first = _read(spark, sf, "documents").select("doc_id", F.length(F.col("doc_id").cast("string")).alias("size")).orderBy("size", F.col("doc_id").cast("string")).limit(100)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("size", F.col("doc_id").cast("string"))))
+    """All ids by length, then as text."""
+    ids = sampling.by_id_text(read(spark, sf, "documents").select("doc_id"), "doc_id")
+    return ids.select("doc_id", F.length(F.col("doc_id").cast("string")).alias("size"), "place")
 
 
-@register(f"SELECT idx, subject || chr(10) || 'Severity : ' || {_tiers_sql(T.SEVERITY, 'body')} || chr(10) || 'rest' AS prompt FROM {_TICKETS} WHERE strpos(subject, chr(10)) = 0")
+@register(f"SELECT idx, subject || chr(10) || 'Severity : ' || {tiers_sql(T.SEVERITY, 'body')} || chr(10) || 'rest' AS prompt FROM {TICKETS} WHERE strpos(subject, chr(10)) = 0")
 def inject_severity(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.concat(F.lit("Severity : "), T.severity(F.col("body")), F.lit("\n"))
-    t = _tickets(spark, sf).filter(F.instr("subject", "\n") == 0)
+    t = tickets(spark, sf).filter(F.instr("subject", "\n") == 0)
     return t.select("idx", T.insert_after_first_line(F.concat("subject", F.lit("\nrest")), lines).alias("prompt"))
 
 
@@ -705,7 +571,7 @@ def inject_severity(spark: SparkSession, sf: str) -> DataFrame:
 @register()
 def span_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of each question as its spans and as what may replace them."""
-    said = _pairs(spark, sf).select("pair_id", T.sentences(F.col("question")).alias("s"))
+    said = pairs(spark, sf).select("pair_id", T.sentences(F.col("question")).alias("s"))
     spans = said.select("pair_id", "s", *(F.get("s", F.lit(k)).alias(c) for k, c in enumerate(aspects.SPANS)))
     return aspects.clean_spans(spans, dict.fromkeys(aspects.SPANS, "s")).drop("s")
 
@@ -713,6 +579,6 @@ def span_cleanup(spark: SparkSession, sf: str) -> DataFrame:
 @register()
 def lr_heads(spark: SparkSession, sf: str) -> DataFrame:
     """A head on the vectors: it learns where the id's crc32 leaves 0 to 2 of 4 and is measured on the others."""
-    e = _read(spark, sf, "embeddings").withColumn("part", F.crc32(F.col("vec_id").cast("string")) % 4)
+    e = read(spark, sf, "embeddings").withColumn("part", F.crc32(F.col("vec_id").cast("string")) % 4)
     model, names = models.train_head(e.filter("part < 3"), "embedding", "label")
     return models.evaluate_head(models.predict_head(e.filter("part = 3"), "embedding", model, names), "label", "predicted")

@@ -12,6 +12,24 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder named by ``spark.checkpoint.dir``; one of our own only where that is unset and the session has one machine."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or f"/tmp/checkpoints/{os.getuid()}").rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is; a session that has ended deletes nothing."""
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may be gone when the interpreter ends
+        pass
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, so they need no installation."""
     context = spark.sparkContext

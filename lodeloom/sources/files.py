@@ -2,34 +2,74 @@
 
 from __future__ import annotations
 
+import io
 import json
+import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lodeloom.operators.sampling import uniform_sample
+
 BOM = "﻿"
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = True) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool | None = None, sample: int | None = None, key: str = "idx", seed: int = 42
+) -> DataFrame:
     """A CSV or Excel file with a header; every column is a string, a missing value is empty.
 
     No spelling of null is taken for one. ``columns`` are read alone, in the
-    order of their first mention; one that is missing raises. With ``multiline``
-    a quoted value may hold line ends, and a file is then one task.
+    order of their first mention; one that is missing raises. A quoted value may
+    hold line ends (``multiline``), for which a file must be one task; where it
+    is not said, only files that do hold such values are read so. ``sample``
+    keeps so many rows, by a seeded hash of ``key``.
     """
     if path.lower().endswith((".xlsx", ".xls")):
         df = _read_excel(spark, path)
     else:
+        multiline = _has_line_ends(spark, path) if multiline is None else multiline
         df = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("encoding", "UTF-8").csv(path)
     df = df.toDF(*(c.removeprefix(BOM) for c in df.columns)).na.fill("")
-    if columns is None:
-        return df
-    missing = [c for c in dict.fromkeys(columns) if c not in df.columns]
-    if missing:
-        raise ValueError(f"{path} lacks columns {missing}; it has {df.columns}")
-    return df.select(*dict.fromkeys(columns))
+    if columns is not None:
+        missing = [c for c in dict.fromkeys(columns) if c not in df.columns]
+        if missing:
+            raise ValueError(f"{path} lacks columns {missing}; it has {df.columns}")
+        df = df.select(*dict.fromkeys(columns))
+    return df if sample is None else uniform_sample(df, key, sample, seed)
+
+
+def _has_line_ends(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes: then a quoted value goes over its end."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """``row, vector`` of a matrix in NumPy's format; a missing file or another shape raises.
+
+    The file is one row of Spark's binary source and is unpacked on an executor.
+    """
+    found = spark.read.format("binaryFile").load(path).select("content")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                matrix = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
+                if matrix.ndim != 2:
+                    raise ValueError(f"a matrix is wanted, not {matrix.ndim} dimensions")
+                for lo in range(0, len(matrix), 4096):
+                    part = matrix[lo : lo + 4096].astype(np.float32)
+                    at = pa.array((np.arange(len(part) + 1) * matrix.shape[1]).astype(np.int32))
+                    vectors = pa.ListArray.from_arrays(at, pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), vectors], names=["row", "vector"])
+
+    return found.mapInArrow(unpack, "row long, vector array<float>")
 
 
 def _read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -116,27 +156,65 @@ def first_path(*candidates: str | None) -> str:
     raise ValueError("no input path is given")
 
 
-def merged(base: dict, over: dict) -> dict:
-    """``base`` with the values of ``over``; mappings are merged, all else, lists too, is replaced."""
-    out = dict(base)
-    for k, v in over.items():
-        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
-    return out
+def find_named(spark: SparkSession, folder: str, name: str) -> str | None:
+    """The first file called ``name``, or the first file in a folder so called, below ``folder``; none if there is none."""
+    for path in list_files(spark, folder, ""):
+        parts = path.split("/")
+        if parts[-1] == name:
+            return path
+        if name in parts[:-1]:
+            return "/".join(parts[: parts.index(name) + 1])
+    return None
+
+
+def merged(base: dict, over: dict | None) -> dict:
+    """What both mappings say, ``over`` where they differ: only mappings that both have are looked into."""
+    both = {k for k in base if isinstance(base[k], dict) and isinstance((over or {}).get(k), dict)}
+    return {**base, **(over or {}), **{k: merged(base[k], over[k]) for k in both}}
+
+
+def read_yaml(path: str, overrides: str | None = None, section: str | None = None) -> dict:
+    """A mapping in YAML, with that of ``overrides`` (or one section of it) merged over it.
+
+    A file that holds no mapping raises; a section that is missing or empty changes nothing.
+    """
+    base = _yaml(path)
+    if not (overrides and overrides.strip()):
+        return base
+    over = _yaml(overrides.strip())
+    if section is not None:
+        over = over.get(section) or {}
+        if not isinstance(over, dict):
+            raise ValueError(f"{overrides}: {section} holds no mapping")
+    return merged(base, over)
+
+
+def _yaml(path: str) -> dict:
+    try:
+        import yaml
+    except ModuleNotFoundError as e:
+        raise RuntimeError(f"reading {path} needs PyYAML; write it as JSON instead") from e
+    if not Path(path).is_file():
+        raise FileNotFoundError(path)
+    found = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return found
 
 
 def read_config(path: str) -> dict:
-    """A configuration in JSON, or in lines ``key: value`` with true, false and numbers read as such; # begins a remark."""
+    """A configuration in JSON, or in lines ``key: value`` with true, false and numbers read as such; # begins a remark at the start of a line or after white space."""
     text = Path(path).read_text(encoding="utf-8")
-    if path.endswith(".json"):
+    if text.lstrip().startswith(("{", "[")):
         found = json.loads(text)
         if not isinstance(found, dict):
             raise ValueError(f"{path} holds no mapping")
         return found
     out = {}
     for line in text.splitlines():
-        key, colon, value = line.split("#", 1)[0].partition(":")
-        if colon and key.strip():
-            out[key.strip()] = _scalar(value.strip())
+        key, colon, value = line.partition(":")
+        if colon and key.strip() and not line.lstrip().startswith("#"):
+            out[key.strip()] = _scalar(re.split(r"\s#", value, maxsplit=1)[0].strip())
     return out
 
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import os
+import warnings
 from collections.abc import Callable
+from pathlib import Path
 
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodeloom.operators.sampling import dense_index
 from lodeloom.operators.tables import pending
+from lodeloom.session import delete
 
-from .files import BOM
+BOM = "\ufeff"
 
 
 def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
@@ -62,6 +69,67 @@ def resume(df: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataF
     return spark.read.schema(schema).parquet(path)
 
 
+def append_batches(df: DataFrame, path: str, fields: list[str], key: str, batch: int) -> int:
+    """Append JSON lines, ``batch`` rows at a time, of rows whose key is not there yet; how many batches were written.
+
+    Each batch is a whole append, so a run that breaks off loses one at most.
+    """
+    spark = df.sparkSession
+    rows = df
+    if exists(spark, path):
+        rows = pending(df, spark.read.schema(df.select(*fields).schema).json(path), key)
+    place = dense_index(rows.withColumn("_key", F.xxhash64(key)), "_key", "_place").drop("_key")
+    total = rows.count()
+    for k in range(-(-total // batch)):
+        some = place.filter(F.floor(F.col("_place") / batch) == k)
+        some.select(*fields).write.mode("append").option("ignoreNullFields", False).json(path)
+    return -(-total // batch)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Remove saved work when it is no longer needed."""
+    delete(spark, path)
+
+
+def write_status(path: str, status: dict) -> None:
+    """A small status file on the driver, replaced as a whole: a reader never sees half of one."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    draft = target.with_name(f".{target.name}.{os.getpid()}")
+    draft.write_text(json.dumps(status, ensure_ascii=False, sort_keys=True), encoding="utf-8")
+    os.replace(draft, target)
+
+
+def set_config_value(path: str, key: str, value: object) -> bool:
+    """Rewrite the line of a top-level key in a configuration; other lines stay as they are. False, and no change, without such a key."""
+    target = Path(path)
+    lines = target.read_text(encoding="utf-8").splitlines()
+    for k, line in enumerate(lines):
+        if line.partition(":")[0].strip() == key and not line[:1].isspace():
+            lines[k] = f"{key}: {value}"
+            target.write_text("\n".join(lines) + "\n", encoding="utf-8")
+            return True
+    warnings.warn(f"{path} has no {key}", stacklevel=2)
+    return False
+
+
+def save_heads(heads: dict[str, tuple[LogisticRegressionModel, list[str]]], path: str) -> None:
+    """Write label heads and their class names under ``path``."""
+    for name, (model, _) in heads.items():
+        model.write().overwrite().save(f"{path}/{name}")
+    spark = SparkSession.active()
+    rows = [(name, list(classes)) for name, (_, classes) in sorted(heads.items())]
+    spark.createDataFrame(rows, "head string, classes array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/classes")
+
+
+def load_heads(spark: SparkSession, path: str) -> dict[str, tuple[LogisticRegressionModel, list[str]]]:
+    """The heads that ``save_heads`` wrote."""
+    if not exists(spark, f"{path}/classes"):
+        raise FileNotFoundError(f"no heads under {path}")
+    rows = spark.read.schema("head string, classes array<string>").json(f"{path}/classes").collect()
+    return {r["head"]: (LogisticRegressionModel.load(f"{path}/{r['head']}"), r["classes"]) for r in rows}
+
+
 def report(stats: DataFrame, title: str, digits: int = 4) -> str:
     """Markdown of ``stats(metric, system, n, mean, ci_low, ci_high)``: a table for each metric, the best mean in bold.
 
