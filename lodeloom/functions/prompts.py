@@ -224,3 +224,8 @@ def metadata_string(columns: list[str], named: list[str]) -> Column:
     tags = [F.when(~F.col(c).isin("", "nan"), F.col(c)) for c in columns if c.startswith("tag_")]
     joined = F.concat_ws(", ", *tags) if tags else F.lit("")
     return F.concat_ws(" | ", *fields, F.when(joined != "", F.concat(F.lit("Tags: "), joined)))
+
+
+def masked_labels(ids: Column, prompt_tokens: Column, ignored: int = -100) -> Column:
+    """Labels of a training sequence: its ids, those of the prompt ignored by the loss."""
+    return F.transform(ids, lambda x, i: F.when(i < prompt_tokens, F.lit(ignored)).otherwise(x))

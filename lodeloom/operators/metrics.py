@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,18 +18,27 @@ def ngrams(w: Column, n: int) -> Column:
     return F.transform(F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda x, i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
 
 
-def _counted(df: DataFrame, key: str, text: str, n: int, name: str) -> DataFrame:
-    grams = df.select(key, F.explode(ngrams(tokens(F.col(text)), n)).alias("g"))
+def ascii_tokens(text: Column, stem: Callable[[Column], Column] | None = None) -> Column:
+    """Lower-cased runs of a to z and digits, the older tokens of ROUGE; words of more than three letters through a caller's stemmer."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return found if stem is None else F.transform(found, lambda w: F.when(F.length(w) > 3, stem(w)).otherwise(w))
+
+
+Tokens = Callable[[Column], Column]
+
+
+def _counted(df: DataFrame, key: str, text: str, n: int, name: str, cut: Tokens = tokens) -> DataFrame:
+    grams = df.select(key, F.explode(ngrams(cut(F.col(text)), n)).alias("g"))
     return grams.groupBy(key, "g").agg(F.count("*").alias(name))
 
 
-def rouge_n(df: DataFrame, key: str, hypothesis: str, reference: str, n: int) -> DataFrame:
+def rouge_n(df: DataFrame, key: str, hypothesis: str, reference: str, n: int, cut: Tokens = tokens) -> DataFrame:
     """``key, rouge``: F1 of clipped n-gram overlap, 4 places; 0 where either has no n-gram.
 
     Both sides are counted by row and n-gram and meet on both, so the rows of
     one text are spread over its n-grams.
     """
-    both = _counted(df, key, hypothesis, n, "h").join(_counted(df, key, reference, n, "r"), [key, "g"], "full")
+    both = _counted(df, key, hypothesis, n, "h", cut).join(_counted(df, key, reference, n, "r", cut), [key, "g"], "full")
     sums = both.groupBy(key).agg(
         F.sum(F.least(F.coalesce("h", F.lit(0)), F.coalesce("r", F.lit(0)))).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")
     )
@@ -52,7 +61,7 @@ def lcs_length(a: list, b: list) -> int:
     return len(b) - row.bit_count()
 
 
-def rouge_l(df: DataFrame, key: str, hypothesis: str, reference: str) -> DataFrame:
+def rouge_l(df: DataFrame, key: str, hypothesis: str, reference: str, cut: Tokens = tokens) -> DataFrame:
     """``key, rouge``: F1 of the longest common subsequence of tokens, 4 places."""
 
     @F.pandas_udf("int")
@@ -60,7 +69,7 @@ def rouge_l(df: DataFrame, key: str, hypothesis: str, reference: str) -> DataFra
         for a, b in parts:
             yield pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    rows = df.select(key, tokens(F.col(hypothesis)).alias("h"), tokens(F.col(reference)).alias("r"))
+    rows = df.select(key, cut(F.col(hypothesis)).alias("h"), cut(F.col(reference)).alias("r"))
     scored = rows.select(key, F.size("h").alias("nh"), F.size("r").alias("nr"), common("h", "r").alias("m"))
     f1 = F.when(F.col("m") > 0, F.round(2 * F.col("m") / (F.col("nh") + F.col("nr")), 4)).otherwise(F.lit(0.0))
     return scored.select(key, f1.alias("rouge"))
@@ -122,3 +131,17 @@ def coverage(aspects: DataFrame, sentences: DataFrame) -> DataFrame:
     both = aspects.join(sentences.select("key", F.col("vector").alias("other")), "key")
     best = both.groupBy("key", "aspect").agg(F.max(cosine(F.col("vector"), F.col("other"))).alias("best"))
     return best.groupBy("key").agg(F.round(F.avg("best"), 4).alias("coverage"))
+
+
+def greedy_f1(hypothesis: DataFrame, reference: DataFrame) -> DataFrame:
+    """``key, precision, recall, f1`` (4 places) of ``hypothesis(key, place, vector)`` and ``reference``: each token's best cosine on the other side, averaged.
+
+    A key without tokens on one side is absent.
+    """
+    one = hypothesis.select("key", F.col("place").alias("i"), F.col("vector").alias("v"))
+    two = reference.select("key", F.col("place").alias("j"), F.col("vector").alias("w"))
+    met = one.join(two, "key").select("key", "i", "j", cosine(F.col("v"), F.col("w")).alias("c"))
+    p = met.groupBy("key", "i").agg(F.max("c").alias("best")).groupBy("key").agg(F.avg("best").alias("p"))
+    r = met.groupBy("key", "j").agg(F.max("c").alias("best")).groupBy("key").agg(F.avg("best").alias("r"))
+    f1 = F.when(F.col("p") + F.col("r") != 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    return p.join(r, "key").select("key", F.round("p", 4).alias("precision"), F.round("r", 4).alias("recall"), F.round(f1, 4).alias("f1"))

@@ -73,3 +73,37 @@ def evaluate_head(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     top = rows.groupBy("_label").agg(F.count("*").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("n"), "_label"))["_label"].alias("_top"))
     base = classification(rows.crossJoin(F.broadcast(top)), "_label", "_top").select(F.col("macro_f1").alias("majority_f1"))  # one row
     return classification(rows, "_label", predicted).select("accuracy", "macro_f1", "correct", "total").crossJoin(F.broadcast(base))
+
+
+#: The heads and the gold columns that they learn.
+HEADS = {"intent": "queue", "ticket_type": "type", "urgency": "priority"}
+
+
+def train_heads(df: DataFrame, vector: str, heads: dict[str, str] = HEADS) -> dict[str, tuple[LogisticRegressionModel, list[str]]]:
+    """A head for each gold column; one that the table lacks raises."""
+    missing = [c for c in heads.values() if c not in df.columns]
+    if missing:
+        raise ValueError(f"the gold columns {missing} are missing; there are {df.columns}")
+    return {name: train_head(df, vector, column) for name, column in heads.items()}
+
+
+def predict_heads(df: DataFrame, vector: str, heads: dict[str, tuple[LogisticRegressionModel, list[str]]]) -> DataFrame:
+    """``df`` with a column for each head."""
+    for name, (model, classes) in heads.items():
+        df = predict_head(df, vector, model, classes, name)
+    return df
+
+
+def evaluate_heads(df: DataFrame, vector: str, heads: dict[str, tuple[LogisticRegressionModel, list[str]]], gold: dict[str, str] = HEADS) -> DataFrame:
+    """``head, split, accuracy, macro_f1, majority_f1, n, beats_majority`` over all rows and each language of ``df(language)`` with two rows or more."""
+    scored = predict_heads(df.withColumn("_lang", F.lower(F.substring("language", 1, 2))), vector, heads)
+    languages = [r["_lang"] for r in scored.groupBy("_lang").count().filter("count >= 2").orderBy("_lang").collect() if r["_lang"]]
+    out = None
+    for name in heads:
+        for split in ["all", *languages]:
+            rows = scored if split == "all" else scored.filter(F.col("_lang") == split)
+            part = evaluate_head(rows, gold[name], name).select(
+                F.lit(name).alias("head"), F.lit(split).alias("split"), "accuracy", "macro_f1", "majority_f1", F.col("total").alias("n"), (F.col("macro_f1") > F.col("majority_f1")).alias("beats_majority")
+            )
+            out = part if out is None else out.unionByName(part)
+    return out

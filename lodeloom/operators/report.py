@@ -77,7 +77,7 @@ def summarise(per_row: DataFrame, key: str, metrics: list[str], label: str, resa
     one with a single value an interval of that value.
     """
     long = _in_splits(_long(per_row.select(key, "language", *metrics), metrics))
-    known = F.when(~F.isnan("v"), F.struct(F.col(key).alias("k"), "v"))
+    known = F.when(F.col("v").isNotNull() & ~F.isnan("v"), F.struct(F.col(key).alias("k"), "v"))
     groups = long.groupBy("split", "metric").agg(F.transform(F.array_sort(F.collect_list(known)), lambda x: x["v"]).alias("vs"))
     groups = groups.withColumn("n", F.size("vs").cast("long"))
     sizes = [r["n"] for r in groups.select("n").distinct().collect() if r["n"]]  # at most one for each metric and language
@@ -298,3 +298,66 @@ def chart(table: DataFrame, metrics: tuple[str, ...] = ("rougeL", "bertscore_f1"
                         out.append(f'<line x1="{x + bar // 2 - 2}" x2="{x + bar // 2 - 2}" y1="{y(r["ci_low"]):.1f}" y2="{y(r["ci_high"]):.1f}" stroke="black"/>')
             out.append(f'<text x="{left + i * (len(systems) + 1) * bar}" y="{36 + height}">{split.upper()}</text>')
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{30 + len(metrics) * (wide + 40)}" height="{height + 50}" font-size="11">{"".join(out)}</svg>'
+
+
+def markdown_table(rows: list, metrics: list[str], split: str) -> list[str]:
+    """A row for each system, ``mean [low, high]`` for each metric; a dash where there is none."""
+    own = {(r["system"], r["metric"]): r for r in rows if r["split"] == split}
+    if not own:
+        return ["_(no rows)_"]
+    named = [m for m in metrics if any(k[1] == m for k in own)]
+    out = ["| System | " + " | ".join(named) + " |", "|---" * (len(named) + 1) + "|"]
+    for system in sorted({k[0] for k in own}):
+        cells = [own.get((system, m)) for m in named]
+        out.append(f"| {system} | " + " | ".join("—" if r is None else f"{r['mean']:.4f} [{r['ci_low']:.4f}, {r['ci_high']:.4f}]" for r in cells) + " |")
+    return out
+
+
+def results_markdown(table: DataFrame, systems: DataFrame | None = None, title: str = "Results", metrics: list[str] = METRICS) -> str:
+    """The whole report: tables over all rows and by language, takeaways, what aspects add, aspect coverage, routes, examples.
+
+    What comes to the driver has a row for each system, split and metric, and a few examples.
+    """
+    rows = table.collect()
+    splits = sorted({r["split"] for r in rows} - {"all"})
+    out = [f"# {title}", "", f"Systems: {', '.join(sorted({r['system'] for r in rows}))}", "", "## Overall", "", *markdown_table(rows, metrics, "all"), ""]
+    for split in splits:
+        out += [f"## {split.upper()}", "", *markdown_table(rows, metrics, split), ""]
+    out += ["## Takeaways", "", *sorted(r["line"] for r in takeaways(table).collect()), ""]
+    added = aspect_contribution(table).orderBy("with_aspects", "metric").collect()
+    if added:
+        verdict = {True: ", significant", False: ", not significant", None: ""}
+        out += ["## Aspect contribution", "", *(f"- {r['with_aspects']} − {r['without']} on {r['metric']}: {r['diff']:+.4f}{verdict[r['significant']]}." for r in added), ""]
+    out += ["## Aspect coverage", "", *markdown_table(rows, ["acs", "aas"], "all"), ""]
+    if systems is not None:
+        if "route" in systems.columns:
+            shares = route_shares(systems).orderBy("system", "route").collect()
+            out += ["## Routes", "", *(f"- `{r['system']}`: {r['route']} {r['share']:.0%}" for r in shares), ""]
+        first = systems.agg(F.min("system")).first()[0]
+        chosen = first_examples(systems.filter(F.col("system") == first).withColumn("_lang", F.lower(F.substring("language", 1, 2))), "idx", "_lang", {"en": 1, "de": 2})
+        shown = systems.join(F.broadcast(chosen.select("idx")), "idx").orderBy("idx", "system").collect()  # three rows of each system
+        out += ["## Examples", ""]
+        for idx in dict.fromkeys(r["idx"] for r in shown):
+            own = [r for r in shown if r["idx"] == idx]
+            out += [f"#### Ticket `{idx}` ({own[0]['language']})", f"**Gold answer:** {own[0]['answer']}", "", *(x for r in own for x in (f"**{r['system']}:** {r['reply']}", ""))]
+    return "\n".join(out)
+
+
+def run_steps(steps: list[tuple[str, Callable[[], None]]], status: Callable[[dict], None], done: set[str] | None = None) -> list[str]:
+    """Run named steps in order, each once: those done before are passed over; ``status`` is told what runs, has ended or failed.
+
+    The first failure is told and raised.
+    """
+    ended = list(done or ())
+    for name, work in steps:
+        if name in ended:
+            continue
+        status({"step": name, "state": "running", "done": ended})
+        try:
+            work()
+        except Exception as e:
+            status({"step": name, "state": "failed", "done": ended, "error": str(e)})
+            raise
+        ended.append(name)
+        status({"step": name, "state": "done", "done": ended})
+    return ended

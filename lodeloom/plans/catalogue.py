@@ -406,9 +406,9 @@ def coverage_max_cos(spark: SparkSession, sf: str) -> DataFrame:
 # --- text metrics -----------------------------------------------------------------------------------
 
 
-def _rouge_sql(n: int) -> str:
+def _rouge_sql(n: int, token: str = r"[\p{L}\p{N}_]+") -> str:
     grams = "w" if n == 1 else "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
-    return f"""WITH t AS (SELECT conv_id * 1000 + turn AS pair_id, {TOKENS.format("answer")} AS h, {TOKENS.format("question")} AS r FROM {PAIRS}),
+    return f"""WITH t AS (SELECT conv_id * 1000 + turn AS pair_id, regexp_extract_all(lower(answer), '{token}') AS h, regexp_extract_all(lower(question), '{token}') AS r FROM {PAIRS}),
 h AS (SELECT pair_id, g, count(*) AS n FROM (SELECT pair_id, unnest({grams}) AS g FROM (SELECT pair_id, h AS w FROM t)) GROUP BY 1, 2),
 r AS (SELECT pair_id, g, count(*) AS n FROM (SELECT pair_id, unnest({grams}) AS g FROM (SELECT pair_id, r AS w FROM t)) GROUP BY 1, 2),
 m AS (SELECT pair_id, sum(least(h.n, r.n)) AS m FROM h JOIN r USING (pair_id, g) GROUP BY pair_id),
@@ -426,6 +426,20 @@ def rouge2(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.rouge_n(pairs(spark, sf), "pair_id", "answer", "question", 2)
 
 
+@register(_rouge_sql(1, "[a-z0-9]+"))
+def rouge1_ascii(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.rouge_n(pairs(spark, sf), "pair_id", "answer", "question", 1, metrics.ascii_tokens)
+
+
+@register("""WITH a AS (SELECT vec_id // 10 AS key, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 < 3), s AS (SELECT vec_id // 10 AS key, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 >= 3),
+m AS (SELECT a.key, a.vec_id AS i, s.vec_id AS j, list_cosine_similarity(a.v, s.v) AS c FROM a JOIN s ON a.key = s.key),
+p AS (SELECT key, avg(b) AS p FROM (SELECT key, max(c) AS b FROM m GROUP BY key, i) GROUP BY key), r AS (SELECT key, avg(b) AS r FROM (SELECT key, max(c) AS b FROM m GROUP BY key, j) GROUP BY key)
+SELECT key, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1 FROM p JOIN r USING (key)""")
+def greedy_f1(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("key"), F.col("vec_id").alias("place"), V.as_double(F.col("embedding")).alias("vector"))
+    return metrics.greedy_f1(e.filter("place % 10 < 3"), e.filter("place % 10 >= 3"))
+
+
 @register(f"""WITH RECURSIVE t AS (SELECT conv_id * 1000 + turn AS pair_id, {TOKENS.format("answer")} AS a, {TOKENS.format("question")} AS b FROM {PAIRS}),
 cell AS (SELECT pair_id, unnest(range(1, len(b) + 1)) AS j, unnest(b) AS w FROM t WHERE len(a) > 0),
 rows AS (SELECT pair_id, 0 AS i, j, 0::BIGINT AS best FROM cell
@@ -576,6 +590,18 @@ def span_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     return aspects.clean_spans(spans, dict.fromkeys(aspects.SPANS, "s")).drop("s")
 
 
+@register()
+def heads_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """Three heads on the vectors, measured over all held-out rows and by language."""
+    n = F.col("vec_id")
+    e = read(spark, sf, "embeddings").withColumns({
+        "queue": F.col("label").cast("string"), "type": (F.col("label") % 3).cast("string"), "priority": (F.col("label") % 2).cast("string"), "language": F.when(n % 2 == 0, "en").otherwise("de"),
+        "part": F.crc32(n.cast("string")) % 4,
+    })
+    heads = models.train_heads(e.filter("part < 3"), "embedding")
+    return models.evaluate_heads(e.filter("part = 3"), "embedding", heads)
+
+
 @register()
 def lr_heads(spark: SparkSession, sf: str) -> DataFrame:
     """A head on the vectors: it learns where the id's crc32 leaves 0 to 2 of 4 and is measured on the others."""
