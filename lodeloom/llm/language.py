@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as w
-from .store import Scratch
+from .store import prepare
 
 #: Units in each direction; bytes read from one state.
 UNITS, SEGMENT = 8, 128
@@ -285,7 +285,7 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     0, as is everything if there is nothing to learn from. Repeated rows are
     labelled each; other columns are ignored. Empty table: no rows.
     """
-    Scratch(spark, "language")
+    prepare(spark)
     texts, labels = excerpts(docs)
     out = docs.select("doc_id", "text", has_letter().alias("spoken"))
     if not texts:

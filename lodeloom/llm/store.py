@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeloom.session import ship_package
+from lodeloom.session import delete, shared_dir, ship_package
 
 #: Rows in one Arrow batch handed to Python. Texts are long, so batches are short.
 ARROW_ROWS = 256
@@ -16,15 +15,6 @@ ARROW_ROWS = 256
 ARROW_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; one of our own only where that is unset and the session has one machine."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (found or f"/tmp/checkpoints/{os.getuid()}").rstrip("/")
-
-
 def prepare(spark: SparkSession) -> None:
     """What a session needs before Python reads texts: this package, and Arrow batches of bounded rows and bytes.
 
@@ -57,7 +47,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lodeloom/{name}-{uuid.uuid4().hex[:12]}"
         prepare(spark)
-        atexit.register(self._remove, self.root)
+        atexit.register(delete, spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -68,12 +58,4 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            self._remove(self.path(name))
-
-    def _remove(self, path: str) -> None:
-        try:
-            jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may be gone when the interpreter ends
-            pass
+            delete(self.spark, self.path(name))

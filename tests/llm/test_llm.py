@@ -192,6 +192,31 @@ def test_language_gradients():
             assert abs((up - down) / (2 * h) - grad[at]) < 2e-3
 
 
+def test_pooled_probabilities_are_those_of_the_network():
+    rng = np.random.default_rng(4)
+    net = language.train([b"abcabc", b"xyzxyz", b"uvw"], ["a", "b", "c"], steps=3, units=5)
+    texts = [bytes(rng.integers(1, 256, n, dtype=np.uint8)) for n in (0, 1, 5, language.SEGMENT, language.SEGMENT + 1, 3 * language.SEGMENT, 1000, 2)]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = language.pooled(net, np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for t, row in zip(texts, got, strict=True):
+        total = np.zeros(3)
+        for lo in range(0, len(t), language.SEGMENT):
+            x = np.frombuffer(t[lo : lo + language.SEGMENT], np.uint8).astype(np.int64)[:, None]
+            real = np.ones(x.shape, np.float32)
+            ahead, _ = language._forward(net.ahead, x, real)
+            back, _ = language._forward(net.back, x[::-1], real)
+            total += language._softmax(np.concatenate([ahead, back[::-1]], axis=2) @ net.out + net.bias).sum(axis=(0, 1))
+        assert np.allclose(row, total / max(len(t), 1), atol=2e-5)
+
+
+def test_languages_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, score string")
+    got = language.identify(spark, none)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == 0
+    untaught = language.identify(spark, spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")).first()
+    assert (untaught["lang_pred"], untaught["score"]) == ("und", 0.0)
+
+
 def test_language_held_out(spark):
     r = random.Random(3)
     speak = {"aa": "the of and to in that ing er on ".split(), "bb": "der die und ein sch ung keit zu ".split()}
@@ -471,6 +496,34 @@ def test_quadratic_score_is_the_log_density_difference():
     assert np.allclose(model.score(probe), 1 / (1 + np.exp(log[0] - log[1])))
 
 
+def plain_statistics(text):
+    """The statistics of one text, counted one by one."""
+    raw, size = text.encode(), max(len(text.encode()), 1)
+    ws = [x for x in re.split(rb"[\x20\x09-\x0D]+", raw) if x]
+    low = [x.lower() for x in ws]
+    runs = [tuple(low[i : i + 3]) for i in range(len(low) - 2)] or ([tuple(low)] if low else [])
+    lines = [x for x in raw.split(b"\n") if x]
+    marked = [re.sub(rb"[\x20\x09-\x0D]", b"_", x) for x in lines]
+    n, symbols = max(len(ws), 1), b"#*$%&<>=@^~_{}[]\\+"
+    share = lambda chars: np.sqrt(sum(b in chars for b in raw) / size)
+    return {
+        "words": np.log1p(len(ws)), "word_length": np.log1p(sum(map(len, ws)) / n), "distinct_words": len(set(low)) / n * np.log1p(len(ws)),
+        "repeated_lines": np.sqrt((len(lines) - len(set(marked))) / (len(lines) + 4)), "repeated_runs": np.sqrt((len(runs) - len(set(runs))) / (len(runs) + 40)),
+        "line_words": np.log1p(len(ws) / max(len(lines), 1)), "end_symbols": np.sqrt(sum(x[-1] in symbols + b"|" for x in ws) / n), "upper": share(bytes(range(65, 91))),
+        "digits": share(b"0123456789"), "symbols": share(symbols), "stops": share(b".,;:"), "other_marks": share(b"!?\"'()/-`"), "pipes": share(b"|"),
+    }
+
+
+def test_statistics_one_by_one():
+    texts = [t or "" for t in ODD] + [t for _, t, *_ in corpus() if t] + ["A|B# c*\nA|B# c*\n\n  \nx y x y x y", "\n\n", "ß ß|\u00a0x", "9 9 9\n9 9 9"]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    got = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for t, row in zip(texts, got, strict=True):
+        expected = plain_statistics(t)
+        assert np.allclose(row, [expected[n] for n in quality.NAMES], atol=1e-9), t[:40]
+
+
 # 7 and 10 -----------------------------------------------------------------------------
 
 
@@ -840,6 +893,61 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids_of[3]
 
 
+def without_repeats(rows, least):
+    """Texts as words, without those of windows that an earlier document or place has."""
+    seen, later = {}, {}
+    for i, t in sorted(rows):
+        ws = split(t)
+        for p in range(len(ws) - least + 1):
+            if seen.setdefault(tuple(ws[p : p + least]), (i, p)) != (i, p):
+                later.setdefault(i, set()).update(range(p, p + least))
+    return {i: [x for p, x in enumerate(split(t)) if p not in later.get(i, ())] for i, t in rows}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, ids):
+    import corpus_pipeline
+
+    items = [(k, prose(7000 + k, 14 + 3 * k, 10**6)) for k in range(6)]
+    passage = prose(8000, 75, 10**6)
+    rows = [(i, t) for i, t, *_ in corpus() if t and len(t.split()) > 20]
+    rows += [(500 + k, f"{prose(8100 + k, 30)} {item} {prose(8200 + k, 30)}") for k, item in items[:4]]
+    rows += [(600 + k, f"{prose(8300 + k, 40)} {passage} {prose(8400 + k, 40)} {passage if k == 2 else ''}") for k in range(4)]
+    near = items[4][1].split()
+    near[3] = "other"
+    rows += [(700, " ".join([prose(8500, 30), *near])), (701, passage), (702, prose(8600, 5000, 10**5))]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+
+    classes = true_components(rows, 5)  # all labels are 1: nothing is rejected
+    kept = [(i, t) for i, t in rows if classes[i][1] == i]
+    assert 5 < len(kept) < len(rows)
+    cut = {i: ws for i, ws in without_repeats(kept, 50).items() if ws}
+    assert 701 in dict(kept) and sum(map(len, cut.values())) < sum(len(split(t)) for _, t in kept) - 200
+    clean = lambda ws: [x for x in (re.sub(r"[!-/:-@\[-`{-~]", "", y) for y in ws) if x]
+
+    def dirty(ws):
+        ws = clean(ws)
+        for _, item in items:
+            iw = clean(split(item))
+            if any(weighted(iw, ws[p : p + len(iw)]) >= 0.8 for p in range(len(ws) - len(iw) + 1)):
+                return True
+        return False
+
+    left = {i for i, ws in cut.items() if not dirty(ws)}
+    assert set(packed.doc_id) == left and {500, 501, 502, 503} & set(cut) and not {500, 501, 502, 503} & left
+    # Lengths of the pieces: of the texts that are left, as the pipeline's own third stage writes them.
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {i: split(t) for i, t in texts.items()} == {i: cut[i] for i in left}
+    lengths = [n for t in texts.values() for _, n in packing.cut(len(ids(t)), 2048)]
+    got = sorted(tuple(sorted(own.length)) for _, own in packed.groupby("sequence_id"))
+    assert got == best_two_fit_one_by_one(lengths, 2048)
+
+
 STAGES = {
     "quality": lambda spark, docs, bench, labels: quality.keep_good(spark, docs, labels),
     "near": lambda spark, docs, bench, labels: minhash.keep_one_of_each(spark, docs),
