@@ -9,7 +9,7 @@ from dataclasses import field as default
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeloom.functions.text import jaccard, normalize_null, tokens
+from lodeloom.functions.text import jaccard, let, normalize_null, tokens
 
 from .index import Index, bm25_search, dense_search
 
@@ -42,8 +42,8 @@ def renumber(df: DataFrame) -> DataFrame:
 
 def overlap_score(query: Column, doc: Column) -> Column:
     """Default re-ranker: share of the query's distinct tokens that the document has, 4 places."""
-    q, d = F.array_distinct(query), F.array_distinct(doc)
-    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect(q, d)) / F.size(q), 4))
+    shared = lambda q: F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect(q, doc)) / F.size(q), 4))
+    return let(F.array_distinct(query), shared)
 
 
 def field(m: Column, *keys: str) -> Column:

@@ -126,9 +126,9 @@ def coalesce_merge(spark: SparkSession, sf: str) -> DataFrame:
 @register(f"""SELECT conv_id, turn, CASE WHEN s >= 0.5 THEN 'rag' ELSE 'no_context' END AS route, CASE WHEN s >= 0.5 THEN answer ELSE question END AS reply
 FROM (SELECT *, (turn % 7) / 6.0 AS s FROM {PAIRS})""")
 def route_reuse(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = pairs(spark, sf)
-    routed = pairs.select("pair_id", "conv_id", "turn", F.col("answer").alias("reply"), retrieval.route((F.col("turn") % 7 / 6.0).cast("string"), 0.5).alias("route"))
-    other = pairs.select("pair_id", F.col("question").alias("reply"))
+    turns = pairs(spark, sf)
+    routed = turns.select("pair_id", "conv_id", "turn", F.col("answer").alias("reply"), retrieval.route((F.col("turn") % 7 / 6.0).cast("string"), 0.5).alias("route"))
+    other = turns.select("pair_id", F.col("question").alias("reply"))
     return tables.pick_by_route(routed, other, "pair_id").select("conv_id", "turn", "route", "reply")
 
 
