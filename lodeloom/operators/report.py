@@ -300,6 +300,32 @@ def chart(table: DataFrame, metrics: tuple[str, ...] = ("rougeL", "bertscore_f1"
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{30 + len(metrics) * (wide + 40)}" height="{height + 50}" font-size="11">{"".join(out)}</svg>'
 
 
+def evaluate_predictions(df: DataFrame, key: str, truth: str = "answer", predicted: str = "response_pred") -> DataFrame:
+    """``metric, split, value`` of predicted replies and labels: ROUGE means and BLEU over all rows and each language with two rows or more, then both labels.
+
+    ``df(key, language, queue, priority, queue_pred, priority_pred)`` with the replies.
+    """
+    named = df.withColumn("_lang", F.lower(F.substring(F.coalesce("language", F.lit("")), 1, 2)))
+    languages = [r["_lang"] for r in named.groupBy("_lang").count().filter("count >= 2").orderBy("_lang").collect() if r["_lang"]]
+    out = None
+    for split in ["all", *languages]:
+        rows = named if split == "all" else named.filter(F.col("_lang") == split)
+        parts = [M.rouge_n(rows, key, predicted, truth, n).agg(F.lit(f"rouge{n}").alias("metric"), F.round(F.avg("rouge"), 4).alias("value")) for n in (1, 2)]
+        parts.append(M.rouge_l(rows, key, predicted, truth).agg(F.lit("rougeL").alias("metric"), F.round(F.avg("rouge"), 4).alias("value")))
+        bleu = M.corpus_bleu(M.bleu_counts(rows, key, predicted, truth))
+        parts.append(bleu.unpivot([], ["bleu", "p1", "p4"], "metric", "value").withColumn("metric", F.when(F.col("metric") == "bleu", "bleu").otherwise(F.concat(F.lit("bleu_"), "metric"))))
+        for part in parts:
+            part = part.select("metric", F.lit(split).alias("split"), F.col("value").cast("double").alias("value"))
+            out = part if out is None else out.unionByName(part)
+    clean = lambda c: F.lower(F.trim(c)) if c.startswith("priority") else F.trim(c)
+    for label in ("queue", "priority"):
+        pairs = named.select(clean(label).alias("t"), clean(f"{label}_pred").alias("p"))
+        scores = M.classification(pairs, "t", "p").select(*(F.col(c).cast("double").alias(c) for c in ("accuracy", "macro_f1", "weighted_f1", "correct", "total")))
+        long = scores.unpivot([], scores.columns, "metric", "value")
+        out = out.unionByName(long.select(F.concat(F.lit(f"{label}_"), "metric").alias("metric"), F.lit("all").alias("split"), "value"))
+    return out
+
+
 def markdown_table(rows: list, metrics: list[str], split: str) -> list[str]:
     """A row for each system, ``mean [low, high]`` for each metric; a dash where there is none."""
     own = {(r["system"], r["metric"]): r for r in rows if r["split"] == split}

@@ -136,3 +136,22 @@ def by_id_text(df: DataFrame, key: str, name: str = "place") -> DataFrame:
     before = counts.select("_s", "_r", (F.sum("_n").over(Window.orderBy("_s", "_r")) - F.col("_n")).alias("_b"))
     local = F.row_number().over(Window.partitionBy("_s", "_r").orderBy("_t"))
     return df.withColumn("_l", local).join(F.broadcast(before), ["_s", "_r"]).withColumn(name, (F.col("_l") + F.col("_b")).cast("long")).drop("_s", "_t", "_r", "_l", "_b")
+
+
+def id_range(df: DataFrame, key: str, low: int | None = None, high: int | None = None, strict: bool = True) -> DataFrame:
+    """Rows whose id, as a number, is in the range, both ends included; without ends all rows.
+
+    An id that is no number raises when it is read if ``strict``, else its row goes.
+    """
+    if low is None and high is None:
+        return df
+    number = F.col(key).cast("string").try_cast("bigint")
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit(f"{key} must be a number, not "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("bigint")
+        number = F.coalesce(number, wrong)
+    inside = F.lit(True)
+    if low is not None:
+        inside = inside & (number >= low)
+    if high is not None:
+        inside = inside & (number <= high)
+    return df.filter(inside)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeloom.functions import prompts
 from lodeloom.functions import text as T
 from lodeloom.functions import vectors as V
-from lodeloom.operators import aspects, metrics, models, preprocess, retrieval, sampling, statistics, tables
+from lodeloom.operators import aspects, labels, metrics, models, preprocess, report, retrieval, sampling, statistics, tables
 
 from . import reports, search
 from .registry import ORACLE_SQL, PAIRS, QUERIES, TICKETS, TOKENS, pairs, read, register, tickets
@@ -87,8 +87,7 @@ def nonempty_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("SELECT doc_id, n_chars FROM documents WHERE TRY_CAST(doc_id::VARCHAR AS BIGINT) BETWEEN 100 AND 299")
 def idx_range(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents")
-    return docs.filter(F.col("doc_id").cast("string").try_cast("bigint").between(100, 299)).select("doc_id", "n_chars")
+    return sampling.id_range(read(spark, sf, "documents"), "doc_id", 100, 299).select("doc_id", "n_chars")
 
 
 @register(rf"SELECT idx, regexp_matches(lower(body), '{T.PLEASANTRY}') AS pleasantry FROM {TICKETS}")
@@ -455,16 +454,66 @@ def rougeL(spark: SparkSession, sf: str) -> DataFrame:  # noqa: N802  the metric
     return metrics.rouge_l(pairs(spark, sf), "pair_id", "answer", "question")
 
 
-@register(f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, {TOKENS.format("answer")} AS h, {TOKENS.format("question")} AS r FROM {PAIRS}),
+_BLEU_SQL = f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, {TOKENS.format("answer")} AS h, {TOKENS.format("question")} AS r FROM {PAIRS}),
 k AS (SELECT unnest([1, 2, 3, 4]) AS n),
 hg AS (SELECT n, id, g, count(*) AS c FROM (SELECT n, id, unnest(list_transform(range(1, len(h) - n + 2), lambda i: array_to_string(h[i : i + n - 1], ' '))) AS g FROM t, k) GROUP BY 1, 2, 3),
 rg AS (SELECT n, id, g, count(*) AS c FROM (SELECT n, id, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i : i + n - 1], ' '))) AS g FROM t, k) GROUP BY 1, 2, 3)
 SELECT n, sum(least(hg.c, coalesce(rg.c, 0)))::BIGINT AS matched, sum(hg.c)::BIGINT AS total, (SELECT sum(len(h)) FROM t)::BIGINT AS hyp_len, (SELECT sum(len(r)) FROM t)::BIGINT AS ref_len
-FROM hg LEFT JOIN rg USING (n, id, g) GROUP BY n""")
+FROM hg LEFT JOIN rg USING (n, id, g) GROUP BY n"""
+
+
+@register(_BLEU_SQL)
 def bleu_counts(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.bleu_counts(pairs(spark, sf), "pair_id", "answer", "question")
 
 
+@register(f"""WITH c AS ({_BLEU_SQL}), r AS (SELECT sum(ln(matched / total)) FILTER (matched > 0) AS logs, min(matched) AS least, max(matched / total) FILTER (n = 1) AS p1, max(matched / total) FILTER (n = 4) AS p4,
+max(hyp_len) AS h, max(ref_len) AS r, count(*) AS k FROM c)
+SELECT round(CASE WHEN least > 0 THEN 100 * CASE WHEN h >= r THEN 1 ELSE exp(1 - r / h) END * exp(logs / k) ELSE 0 END, 4) AS bleu, round(100 * p1, 4) AS p1, round(100 * p4, 4) AS p4 FROM r""")
+def bleu(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.corpus_bleu(bleu_counts(spark, sf))
+
+
+@register(f"""SELECT 'rouge1' AS metric, 'all' AS split, round(avg(rouge), 4) AS value FROM ({_rouge_sql(1)})
+UNION ALL SELECT 'rouge2', 'all', round(avg(rouge), 4) FROM ({_rouge_sql(2)})
+UNION ALL SELECT 'rouge1', CASE WHEN pair_id % 2 = 0 THEN 'de' ELSE 'en' END, round(avg(rouge), 4) FROM ({_rouge_sql(1)}) GROUP BY 2
+UNION ALL SELECT 'queue_accuracy', 'all', round(avg((pair_id % 3 = pair_id % 4)::INT), 4) FROM (SELECT conv_id * 1000 + turn AS pair_id FROM {PAIRS})
+UNION ALL SELECT 'queue_total', 'all', count(*)::DOUBLE FROM {PAIRS}
+UNION ALL SELECT 'priority_correct', 'all', sum((pair_id % 2 = pair_id % 3)::INT)::DOUBLE FROM (SELECT conv_id * 1000 + turn AS pair_id FROM {PAIRS})""")
+def predictions_eval(spark: SparkSession, sf: str) -> DataFrame:
+    """Some of the metrics of predicted replies and labels."""
+    n = F.col("pair_id")
+    rows = pairs(spark, sf).select(
+        "pair_id", F.when(n % 2 == 0, "DE").otherwise("en").alias("language"), F.col("question").alias("answer"), F.col("answer").alias("response_pred"),
+        (n % 3).cast("string").alias("queue"), (n % 4).cast("string").alias("queue_pred"), (n % 2).cast("string").alias("priority"), F.concat(F.lit(" "), (n % 3).cast("string")).alias("priority_pred"),
+    )
+    found = report.evaluate_predictions(rows, "pair_id")
+    some = F.col("metric").isin("rouge1") | ((F.col("split") == "all") & F.col("metric").isin("rouge2", "queue_accuracy", "queue_total", "priority_correct"))
+    return found.filter(some)
+
+
+@register(f"""SELECT field, filled, total, round(filled / total, 4) AS share FROM (SELECT 'subject' AS field, count(*) FILTER (trim(subject) <> '') AS filled, count(*) AS total FROM {TICKETS}
+UNION ALL SELECT 'queue', count(*) FILTER (queue <> ''), count(*) FROM {TICKETS} UNION ALL SELECT 'cause', count(*) FILTER (idx % 3 = 2), count(*) FROM {TICKETS})""")
+def field_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    cause = F.when(F.col("idx") % 3 == 0, "None").when(F.col("idx") % 3 == 2, "x")
+    return labels.coverage(tickets(spark, sf).withColumn("cause", cause), ["subject", "queue", "cause"])
+
+
+@register(f"""SELECT idx, subject AS prob_sub, CASE WHEN idx % 4 = 0 THEN '' ELSE queue END AS prob_statement, CASE WHEN idx % 2 = 0 THEN 'billing_issue' ELSE 'general_inquiry' END AS intent, 'product_support' AS ticket_type_nli
+FROM (SELECT idx, regexp_replace(subject, '["\\\n'']', '', 'g') AS subject, queue FROM {TICKETS}) WHERE idx % 5 > 0""")
+def silver_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """What a judge says of the tickets that are not judged yet; the judge here repeats the ticket."""
+    rows = tickets(spark, sf).withColumn("subject", F.regexp_replace("subject", "[\"\\\\\n']", ""))
+    said = F.concat(
+        F.lit('```json\n{"prob_sub": "'), "subject", F.lit('", '), F.when(F.col("idx") % 4 == 0, "").otherwise(F.concat(F.lit('"prob_statement": "'), "queue", F.lit('", '))),
+        F.lit('"intent": "'), F.when(F.col("idx") % 2 == 0, "Billing Issue").otherwise("?"), F.lit('",}\n```'),
+    )
+    judge = lambda df: df.withColumn("generated_answer", said)
+    done = rows.filter("idx % 5 = 0").select(F.col("idx").cast("string").alias("idx"))
+    return labels.silver_labels(rows, "Extract the fields.", judge, done).select("idx", "prob_sub", "prob_statement", "intent", "ticket_type_nli")
+
+
+
 @register(f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents")
 def tokens_unicode(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))

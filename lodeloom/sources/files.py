@@ -167,6 +167,12 @@ def find_named(spark: SparkSession, folder: str, name: str) -> str | None:
     return None
 
 
+def resolve_input(config: dict, given: str | None = None, aspects: str | None = None) -> str:
+    """The tickets to work on: the fixed sample of the configuration, else the given file, the given aspects, and those two of the configuration; none is an error."""
+    named = (config.get("sample_csv"), given, aspects, config.get("input_tickets_csv"), config.get("aspects_csv"))
+    return first_path(*((str(x).strip() if x else None) for x in named))
+
+
 def merged(base: dict, over: dict | None) -> dict:
     """What both mappings say, ``over`` where they differ: only mappings that both have are looked into."""
     both = {k for k in base if isinstance(base[k], dict) and isinstance((over or {}).get(k), dict)}

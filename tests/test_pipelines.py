@@ -453,3 +453,52 @@ def test_batches_are_appended_once(spark, tmp_path):
     assert sorted(r["idx"] for r in spark.read.json(f"{tmp_path}/b").collect()) == list(range(10))
     sinks.clear(spark, f"{tmp_path}/b")
     assert not sinks.exists(spark, f"{tmp_path}/b")
+
+
+# --- labels and small guards ---------------------------------------------------------------------
+
+
+def test_silver_labels_and_learning_examples(spark):
+    from lodeloom.operators import labels
+
+    rows = spark.createDataFrame([(i, "en", f"s{i}", f"b{i}") for i in range(20)], "idx long, language string, subject string, body string")
+    said = F.concat(F.lit('{"prob_sub": "p", "prob_statement": "'), F.when(F.col("idx") == 3, "").otherwise("x"), F.lit('", "intent": "outage", "ticket_type_nli": "feedback"}'))
+    seen = []
+
+    def judge(df):
+        seen.append(df.columns)
+        return df.withColumn("generated_answer", F.when(F.col("idx") == 4, "no object").otherwise(said))
+
+    got = {r["idx"]: r for r in labels.silver_labels(rows, "Say.", judge, spark.createDataFrame([("7",)], "idx string")).collect()}
+    assert len(got) == 19 and 7 not in got and "prompt" in seen[0]
+    assert (got[1]["intent"], got[1]["cause"]) == ("service_outage", "") and (got[4]["intent"], got[4]["prob_sub"]) == ("general_inquiry", "")
+    made = labels.learning_examples(spark.createDataFrame(list(got.values()))).collect()
+    assert len(made) == 17 and sum(r["is_val"] for r in made) == 2
+    assert json.loads(made[0]["target"]) == {"prob_sub": "p", "prob_statement": "x", "cause": "", "intent": "service_outage", "ticket_type_nli": "feedback"}
+    assert labels.allowed({"a": 1, "b": 2}, {"b", "c"}) == {"b": 2}
+
+
+def test_id_ranges(spark):
+    df = spark.createDataFrame([("1",), ("2",), ("10",)], "idx string")
+    assert [r["idx"] for r in sampling.id_range(df, "idx", 2, None).collect()] == ["2", "10"] and sampling.id_range(df, "idx").count() == 3
+    odd = df.unionByName(spark.createDataFrame([("x",)], "idx string"))
+    with pytest.raises(Exception, match="must be a number, not x"):
+        sampling.id_range(odd, "idx", 1, 2).collect()
+    assert sampling.id_range(odd, "idx", 1, 2, strict=False).count() == 2
+
+
+def test_input_precedence():
+    config = {"sample_csv": " ", "input_tickets_csv": "t", "aspects_csv": "a"}
+    assert files.resolve_input(config, "g", "x") == "g" and files.resolve_input(config, None, "x") == "x" and files.resolve_input(config) == "t"
+    assert files.resolve_input(config | {"sample_csv": "s "}, "g") == "s"
+    with pytest.raises(ValueError, match="no input"):
+        files.resolve_input({})
+
+
+def test_aspects_by_number_or_by_text(spark):
+    cols = "idx string, language string, subject string, body string, cause string"
+    tickets_ = spark.createDataFrame([("0", "en", "s", "b", " "), ("1", "en", "t", "c", "own")], cols)
+    by_idx = spark.createDataFrame([("0", "x", "x", "x", "by number"), ("1", "y", "y", "y", "no")], cols)
+    by_text = spark.createDataFrame([("8", "en", "s", "b", "first"), ("9", "en", "s", "b", "last")], cols)
+    got = lambda other: [r["cause"] for r in tables.fill_from_aspects(tickets_, other.withColumn("pos", F.col("idx")), ["cause"], "pos").orderBy("idx").collect()]
+    assert got(by_idx) == ["by number", "own"] and got(by_text) == ["last", "own"]
