@@ -1,13 +1,18 @@
-"""Repeated passages by minimisers, spans and windows.
+"""Repeated passages by a sparse suffix array of minimisers.
 
 Of each LEAST - GRAM + 1 successive runs of GRAM words the one with the
 smallest hash is a minimiser. Every window of LEAST words has one, at the same
 place in all its copies, and the windows of one minimiser follow each other:
-together they are its span. Spans are grouped by their whole content, which
-settles all copies but the first of each group. Windows are compared one by one
-only for those first spans, and only where the minimiser's words stand in
-several groups. Both groupings are over the whole corpus and exact: each window
-finds all its copies and the earliest of them, however many there are.
+together they are its span. Only suffixes that begin at minimisers are kept.
+
+Spans are grouped by their whole content first, which settles all copies but
+the first of each group. The suffixes of the first ones whose minimiser's words
+stand in several groups are sorted; neighbours that share these words are
+compared and their matches are extended to the right and to the left. Where more
+than MOST groups share them, their suffixes stand too far apart in any order for
+neighbours to meet: there each window is grouped by its content. All of this is
+over the whole corpus and exact: each window finds all its copies and the
+earliest of them, however many there are.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from .store import Scratch, fresh
 
 U64 = np.uint64
 LEAST, GRAM = 50, 8
+#: Groups of spans with the same minimiser whose suffixes are all compared; of more, each window is grouped.
+MOST = 16
 #: Windows that one batch holds.
 ROWS = 1 << 16
 _PLACE = 22  # bits of a place in a slice
@@ -45,11 +52,11 @@ def _window_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(behind[: n - size + 1], ahead[size - 1 : n])
 
 
-def minimisers(words: w.Words, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of the slice: their first windows, how many windows each has, and the hashes of the minimisers' words."""
+def minimisers(words: w.Words, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the slice: their first windows, how many windows each has, their minimisers, and the hashes of these' words."""
     n = len(words.h)
     if n < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     grams = w.shingles(words.h, np.array([0, n]), gram)[0]
     bits = U64(max(_PLACE, int(n).bit_length()))
     keyed = (w.mix(grams) >> bits << bits) | np.arange(len(grams), dtype=U64)  # ties: the first
@@ -60,7 +67,7 @@ def minimisers(words: w.Words, least: int, gram: int) -> tuple[np.ndarray, np.nd
     new = np.ones(len(at), dtype=bool)
     new[1:] = place[1:] != place[:-1]
     first = np.flatnonzero(new)
-    return at[first], np.diff(np.append(first, len(at))), grams[place[first]]
+    return at[first], np.diff(np.append(first, len(at))), place[first], grams[place[first]]
 
 
 class Runs:
@@ -86,7 +93,7 @@ def _choose(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, words in _slices(batch.column("text")):
-                at, sizes, grams = minimisers(words, least, gram)
+                at, sizes, place, grams = minimisers(words, least, gram)
                 doc = np.searchsorted(words.at, at, side="right") - 1
                 rows = pa.array(a + doc)
                 yield pa.RecordBatch.from_arrays(
@@ -95,43 +102,109 @@ def _choose(least: int, gram: int):
                         batch.column("text_hash").take(rows),
                         pa.array((at - words.at[doc]).astype(np.int32)),
                         pa.array(sizes.astype(np.int32)),
+                        pa.array((place - at).astype(np.int32)),
                         pa.array(grams.view(np.int64)),
                         pa.array(Runs(words).hashes(at, sizes + least - 1).view(np.int64)),
                     ],
-                    names=["doc_id", "text_hash", "start", "windows", "gram", "span"],
+                    names=["doc_id", "text_hash", "start", "windows", "back", "gram", "span"],
                 )
 
     return run
 
 
-def _windows(least: int):
-    """A row for each window of the spans ``at`` (place << 32 | windows) of each text."""
+_OPENED = "doc_id long, text_hash long, start int, window long, gram long, right binary, left binary"
+
+
+def _open(least: int):
+    """Of the spans of each text: a row for each window of those in ``many`` (place << 32 | windows), and the suffix of those in ``few``.
+
+    A suffix has its place, the hashes of its words to the end of the span, and
+    of the words before it, backwards, to the beginning of the span.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("at")
             for a, b, words in _slices(batch.column("text")):
-                some, runs = spans.slice(a, b - a), Runs(words)
+                some, runs = batch.column("many").slice(a, b - a), Runs(words)
                 packed = some.flatten().to_numpy()
                 sizes = packed & 0xFFFFFFFF
                 doc = np.repeat(np.repeat(np.arange(b - a), np.diff(some.offsets.to_numpy())), sizes)
                 place = w._positions(packed >> 32, sizes)
                 for lo in range(0, len(doc), ROWS):
                     d, p = doc[lo : lo + ROWS], place[lo : lo + ROWS]
-                    rows = pa.array(a + d)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc_id").take(rows),
-                            batch.column("text_hash").take(rows),
-                            pa.array(p.astype(np.int32)),
-                            pa.array(runs.hashes(words.at[d] + p, least).view(np.int64)),
-                        ],
-                        names=["doc_id", "text_hash", "start", "window"],
-                    )
+                    yield _opened(batch, a + d, p, window=runs.hashes(words.at[d] + p, least).view(np.int64))
+                rows, places, grams, right, left = [], [], [], [], []
+                for row, spans in enumerate(batch.column("few").slice(a, b - a).to_pylist()):
+                    base = int(words.at[row])
+                    for span in spans:
+                        start, p, stop = base + span["start"], base + span["start"] + span["back"], base + span["start"] + span["windows"] + least - 1
+                        rows.append(a + row)
+                        places.append(p - base)
+                        grams.append(span["gram"])
+                        right.append(words.h[p:stop].tobytes())
+                        left.append(words.h[start:p][::-1].tobytes())
+                if rows:
+                    yield _opened(batch, np.array(rows), np.array(places), gram=grams, right=right, left=left)
 
     return run
 
 
+def _opened(batch: pa.RecordBatch, rows: np.ndarray, places: np.ndarray, **columns) -> pa.RecordBatch:
+    taken, n = pa.array(rows), len(rows)
+    kinds = {"window": pa.int64(), "gram": pa.int64(), "right": pa.binary(), "left": pa.binary()}
+    rest = [pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id").take(taken), batch.column("text_hash").take(taken), pa.array(places.astype(np.int32)), *rest], names=["doc_id", "text_hash", "start", *kinds]
+    )
+
+
+def _common(one: np.ndarray, other: np.ndarray) -> int:
+    """Words at the beginning that both have."""
+    n = min(len(one), len(other))
+    apart = np.flatnonzero(one[:n] != other[:n])
+    return int(apart[0]) if len(apart) else n
+
+
+def _compare(least: int):
+    """Marks of the matches between neighbours in sorted suffixes of the same words.
+
+    Of two places of a match that with the larger doc_id, then place, is later.
+    """
+
+    def matches(group: list[tuple]) -> Iterator[tuple]:
+        for i, one in enumerate(group):
+            for other in group[i + 1 :]:
+                r, back = _common(one[3], other[3]), _common(one[4], other[4])
+                if r + back >= least:
+                    first = one[:3] < other[:3]
+                    for (doc, place, text, *_), later in ((one, not first), (other, first)):
+                        yield doc, text, (place - back) << 32 | (back + r) << 1 | later
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, words, out = [], None, []
+        for batch in batches:
+            grams = batch.column("gram").to_pylist()
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "start", "text_hash")]
+            sides = [[np.frombuffer(x, U64) for x in batch.column(c).to_pylist()] for c in ("right", "left")]
+            for gram, *row in zip(grams, *columns, *sides, strict=True):
+                if gram != words:
+                    out += matches(group)
+                    group, words = [], gram
+                group.append(tuple(row))
+            if len(out) >= ROWS:
+                yield _marked(out)
+                out = []
+        out += matches(group)
+        yield _marked(out)
+
+    return run
+
+
+def _marked(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "text_hash", "mark"])
+
+
 def _union(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> pa.Array:
     """For each of ``n`` texts its spans, sorted by start, as one list; touching ones become one."""
     far = doc << 32
@@ -195,28 +268,31 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = LEAST, gra
     scratch = Scratch(spark, "suffixes")
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     chosen = scratch.keep(
-        texts.mapInArrow(_choose(least, gram), "doc_id long, text_hash long, start int, windows int, gram long, span long"), "chosen"
+        texts.mapInArrow(_choose(least, gram), "doc_id long, text_hash long, start int, windows int, back int, gram long, span long"), "chosen"
     )
     total = chosen.count()
     # Copies of whole spans: each but the first is a later one, with all its windows.
     classes = scratch.keep(_groups(chosen, ["gram", "span"]), "classes")
     whole = meet(chosen, classes.filter("repeated").drop("repeated"), ["gram", "span"], total)
     whole = _marks(whole, F.col("windows") + (least - 1))
-    # Windows that different spans share: their minimisers have the same words.
+    # Different spans may share windows only if their minimisers have the same words.
     shared = scratch.keep(classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    spans = meet(classes.select("gram", "first"), shared, ["gram"], classes.count()).select("first.*")
-    heads = chosen.select(*_AT, "windows").join(spans, _AT)
+    spans = meet(classes.select("gram", "first"), shared, ["gram"], classes.count()).select("gram", F.col("n").alias("groups"), "first.*")
+    heads = chosen.select(*_AT, "windows", "back").join(spans, _AT)
+    few = F.col("groups") <= MOST
     places = heads.groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.shiftleft(F.col("start").cast("long"), 32) + F.col("windows")).alias("at")
+        F.collect_set(F.when(~few, F.shiftleft(F.col("start").cast("long"), 32) + F.col("windows"))).alias("many"),
+        F.collect_set(F.when(few, F.struct("start", "windows", "back", "gram"))).alias("few"),
     )
-    windows = (
-        texts.join(places, ["doc_id", "text_hash"])
-        .dropDuplicates(["doc_id", "text_hash"])
-        .mapInArrow(_windows(least), "doc_id long, text_hash long, start int, window long")
+    opened = scratch.keep(
+        texts.join(places, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).mapInArrow(_open(least), _OPENED), "opened"
     )
-    windows = scratch.keep(windows, "windows")
+    # No words have more than MOST suffixes here, so a group in one task is small.
+    suffixes = opened.filter("gram is not null").select(*_AT, "gram", "right", "left")
+    near = suffixes.repartition("gram").sortWithinPartitions("gram", "right", *_AT).mapInArrow(_compare(least), "doc_id long, text_hash long, mark long")
+    windows = opened.filter("window is not null").select(*_AT, "window")
     found = scratch.keep(_groups(windows, ["window"]).filter("repeated").drop("repeated"), "found")
-    single = _marks(meet(windows, found, ["window"], windows.count()), F.lit(least))
+    single = _marks(meet(windows, found, ["window"], windows.count()), F.lit(least)).unionByName(near)
     marks = whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
     kind = "array<struct<start:int,stop:int>>"
     return marks.mapInArrow(_join_spans, f"doc_id long, text_hash long, spans {kind}, later {kind}")
