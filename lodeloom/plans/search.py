@@ -149,7 +149,7 @@ def _retrieve_sql(k: int, same_language: bool = False, rerank: bool = True) -> s
     f AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 6) AS rrf, min(rank) FILTER (l = 0) AS r1, min(rank) FILTER (l = 1) AS r2, coalesce(round(max(score) FILTER (l = 0), 4), 0.0) AS dense FROM h GROUP BY 1, 2),
     p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, r1 NULLS LAST, r2 NULLS LAST, doc_id) AS place FROM f QUALIFY place <= 50),
     c AS (SELECT p.*, CASE WHEN {judged} THEN {_OVERLAP.format(q=TOKENS.format("q.text"), d=TOKENS.format(body))} END AS ce,
-        round(CASE WHEN lower(q.source) = lower(d.source) THEN 0.4 ELSE 0.0 END + CASE WHEN q.lang = d.lang THEN 0.2 ELSE 0.0 END, 4) AS a
+        round(CASE WHEN lower(q.source) = lower(d.source) THEN 0.4::DOUBLE ELSE 0.0 END + CASE WHEN q.lang = d.lang THEN 0.2::DOUBLE ELSE 0.0 END, 4) AS a
         FROM p JOIN documents q ON q.doc_id = query_id JOIN documents d ON d.doc_id = p.doc_id),
     s AS (SELECT *, {base} AS base, round({base} + 0.1 * a, 4) AS final FROM c)
     SELECT query_id, doc_id, dense, rrf, ce AS ce_score, round(a, 3) AS a_score, final, rank FROM (
