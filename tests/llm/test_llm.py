@@ -455,6 +455,27 @@ def test_passages_that_end_in_a_frequent_line(spark):
     assert {i for i, _ in spans} == set(range(80))
 
 
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_mixed_passages_whatever_way_they_are_compared(spark, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "MOST", most)
+    r = random.Random(11)
+    chunks = [prose(9000 + k, r.randrange(3, 26), 10**6) for k in range(25)]
+    rows = []
+    for i in range(90):
+        parts = [r.choice(chunks) if r.random() < 0.7 else prose(9100 + 50 * i + j, r.randrange(1, 9), 10**6) for j in range(r.randrange(1, 9))]
+        rows.append((i, " ".join(parts)))
+    rows += [(200, rows[3][1]), (201, f"{rows[4][1]} {rows[4][1]}"), (-5, rows[6][1].upper())]
+    spans, later = marked_words(spark, rows, 12)
+    assert (spans, later) == windows_of(rows, 12) and len(later) > 500
+
+
+def test_compared_suffixes_tell_the_later_of_equal_documents(spark):
+    text = prose(9, 70, 10**6)
+    rows = [(1, f"{text} {prose(10, 9)}"), (1, f"x {text}"), (1, f"{text} {prose(10, 9)}"), (None, text)]
+    got = suffixes.repeated_spans(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((len(r["spans"]), len(r["later"])) for r in got) == [(1, 0), (1, 1)]
+
+
 # 6 ------------------------------------------------------------------------------------
 
 
