@@ -105,6 +105,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base LEFT JOIN verdict USING (source)
 """
 
+_OP4 = r"""
+WITH clean AS (
+    SELECT 'd' AS kind, doc_id AS id, lower(text) AS text FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT DISTINCT 'i', item_id, lower(text) FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+),
+w AS (
+    SELECT kind, id, row_number() OVER () AS r, list_filter(list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'),
+        lambda x: regexp_replace(x, '[!-/:-@\[-`{-~]', '', 'g')), lambda x: x <> '') AS w FROM clean
+),
+runs AS (
+    SELECT kind, id, r, len(w) AS n, unnest(range(0, greatest(len(w) - 4, 1))) AS p, w FROM w WHERE len(w) > 0
+),
+sh AS (SELECT kind, id, r, n, p, CASE WHEN n < 5 THEN n::VARCHAR || ' ' || array_to_string(w, ' ') ELSE array_to_string(w[p + 1 : p + 5], ' ') END AS g FROM runs),
+item AS (SELECT id AS item_id, r AS ir, n, g, count(*) AS c FROM sh WHERE kind = 'i' GROUP BY 1, 2, 3, 4),
+short AS (
+    SELECT 'd' AS kind, id, r, n, unnest(range(0, n - k + 1)) AS p, k, w FROM (SELECT id, r, len(w) AS n, w FROM w WHERE kind = 'd'), (SELECT DISTINCT n AS k FROM item WHERE n < 5) WHERE n >= k
+),
+hits AS (
+    SELECT d.id AS doc_id, d.r, d.n AS size, d.p, i.item_id, i.ir, i.n, i.g, i.c FROM sh d JOIN item i ON i.g = d.g WHERE d.kind = 'd' AND i.n >= 5 AND d.n >= 5
+    UNION ALL SELECT d.id, d.r, d.n, d.p, i.item_id, i.ir, i.n, i.g, i.c FROM short d JOIN item i ON i.n = d.k AND i.g = d.k::VARCHAR || ' ' || array_to_string(d.w[d.p + 1 : d.p + d.k], ' ')
+),
+spots AS (
+    SELECT DISTINCT doc_id, r, item_id, ir, n, size, least(n, size) AS span, s
+    FROM (SELECT *, unnest(range(greatest(p - greatest(least(n, size) - 5, 0), 0), least(p, size - least(n, size)) + 1)) AS s FROM hits WHERE 100 * size >= 75 * n)
+),
+shared AS (
+    SELECT s.doc_id, s.r, s.item_id, s.ir, s.n, s.span, s.s, h.g, least(count(*), max(h.c)) AS m FROM spots s
+    JOIN hits h ON h.r = s.r AND h.ir = s.ir AND h.p BETWEEN s.s AND s.s + greatest(s.span - 5, 0) GROUP BY ALL
+),
+scored AS (
+    SELECT doc_id, r, item_id, s, span, m / (greatest(n - 4, 1) + greatest(span - 4, 1) - m) AS similarity
+    FROM (SELECT doc_id, r, item_id, ir, n, span, s, sum(m)::BIGINT AS m FROM shared GROUP BY ALL)
+)
+SELECT doc_id, item_id, similarity, s::BIGINT AS start, span::BIGINT AS n_words FROM scored WHERE similarity >= 0.8 - 1e-11
+QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, s, span) = 1
+"""
+
 _OP5 = r"""
 WITH d AS (
     SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -165,6 +202,7 @@ FROM d LEFT JOIN sizes USING (doc_id) JOIN least_ ON a = d.doc_id
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": _OP3,
+    "op4_decontamination": _OP4,
     "op5_suffix_dedup": _OP5,
     "op8_warc": _OP8,
     "op9_minhash_dedup": _OP9,
