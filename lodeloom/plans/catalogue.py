@@ -631,7 +631,34 @@ def inject_severity(spark: SparkSession, sf: str) -> DataFrame:
 # --- span clean-up, heads ------------------------------------------------------------------------
 
 
-@register()
+def _pleasant_sql(c: str) -> str:
+    return f"regexp_matches({c}, '(?i){T.PLEASANTRY}')"
+
+
+def _swapped_sql(c: str, used: str) -> str:
+    """A pleasantry becomes the first sentence of four words that is no pleasantry and is not used."""
+    words = "len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> ''))"
+    return f"CASE WHEN lower({c}) <> 'none' AND {_pleasant_sql(c)} THEN coalesce(list_filter(r, lambda x: {words} >= 4 AND NOT {_pleasant_sql('x')} AND NOT list_contains({used}, x))[1], 'none') ELSE {c} END"
+
+
+def _alike_sql(a: str, b: str) -> str:
+    return _JAC.format(a=f"list_distinct({TOKENS.format(a)})", b=f"list_distinct({TOKENS.format(b)})") + " > 0.8"
+
+
+_SPLIT_SQL = r"""trim(regexp_replace(regexp_replace({}, '\n\n+', '. ', 'g'), '[\n]', ' ', 'g'))"""
+_MARK_SQL = r"""regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(t, '\*\*[^*]+\*\*', '', 'g'), '\s\s+', ' ', 'g')), '([.!?])\s+([A-Za-zÜÖÄ\[*])', '\1' || chr(30) || '\2', 'g'), '([.!?])\s+([A-Za-zÜÖÄ\[*])', '\1' || chr(30) || '\2', 'g')"""
+
+
+@register(f"""WITH d AS (SELECT conv_id * 1000 + turn AS pair_id, {_SPLIT_SQL.format('question')} AS t FROM {PAIRS}), m AS (SELECT pair_id, {_MARK_SQL} AS t FROM d),
+l AS (SELECT pair_id, list_filter(list_transform(string_split(t, chr(30)), lambda s: trim(s)), lambda s: len(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '')) >= 2) AS r FROM m),
+a AS (SELECT pair_id, r, coalesce(r[1], '') AS p0, coalesce(r[2], '') AS c0, coalesce(r[3], '') AS a0 FROM l),
+b AS (SELECT *, {_swapped_sql('p0', '[p0]')} AS p1 FROM a), c AS (SELECT *, {_swapped_sql('c0', '[p0, p1]')} AS c1 FROM b), e AS (SELECT *, {_swapped_sql('a0', '[p0, p1, c1]')} AS a1 FROM c),
+f AS (SELECT *, CASE WHEN lower(p1) = 'none' THEN '' ELSE p1 END AS p, CASE WHEN lower(c1) = 'none' THEN '' ELSE c1 END AS cc, CASE WHEN lower(a1) = 'none' THEN '' ELSE a1 END AS aa FROM e),
+g AS (SELECT *, CASE WHEN {_alike_sql('cc', 'p')} THEN 'none' ELSE c1 END AS c2 FROM f), h AS (SELECT *, CASE WHEN lower(c2) = 'none' THEN '' ELSE c2 END AS cv FROM g),
+k AS (SELECT *, CASE WHEN {_alike_sql('aa', 'p')} OR {_alike_sql('aa', 'cv')} OR NOT regexp_matches(aa, '(?i){_BEFORE}{_CUE}{_AFTER}') THEN 'none' ELSE a1 END AS a2,
+    concat_ws(' | ', CASE WHEN p <> '' THEN p END, CASE WHEN cv <> '' AND cv <> p THEN cv END) AS told FROM h)
+SELECT pair_id, CASE WHEN p1 = '' THEN 'none' ELSE p1 END AS prob_sub, CASE WHEN c2 = '' THEN 'none' ELSE c2 END AS cause, CASE WHEN a2 = '' THEN 'none' ELSE a2 END AS action_taken,
+CASE WHEN told <> '' THEN told ELSE 'none' END AS prob_statement FROM k""")
 def span_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of each question as its spans and as what may replace them."""
     said = pairs(spark, sf).select("pair_id", T.sentences(F.col("question")).alias("s"))
