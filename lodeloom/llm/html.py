@@ -45,7 +45,7 @@ CLOSES = {
 BAD_TAGS = {"nav", "footer", "aside", "menu", "dialog", "button", "head", "header", "form", "fieldset"}
 GOOD_TAGS = {"article", "main"}
 _BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|adslot|sponsor(?:s|ed)?|promo(?:s|tion|tions)?|banner|cookies?|consent|gdpr|"
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|adslot|sponsor(?:s|ed)?|promo(?:s|tion|tions)?|banner|cookies?|consent|gdpr|notices?|alert|"
     r"popup|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|sidebar|side-bar|rail|widgets?|"
     r"share|sharing|social|breadcrumbs?|menu|submenu|nav|navbar|navigation|topbar|top-bar|footer|masthead|comments?|commentlist|"
     r"comment-list|disqus|respond|replies|reply|login|search|searchbox|pager|pagination|toolbar|skip|skip-link|byline-share|"
@@ -54,7 +54,7 @@ _BAD_NAME = re.compile(
 )
 #: Names that stand on boilerplate and on parts of articles.
 _HINT = re.compile(
-    r"(?:^|[\s_-])(?:notices?|alert|related|recommended|header|tags|legal|copyright|disclaimer|trending|popular|teasers?|feedback|survey|form)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:related|recommended|header|tags|legal|copyright|disclaimer|trending|popular|teasers?|feedback|survey|form)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")

@@ -54,10 +54,11 @@ def signs(page: Page) -> list[list[float]]:
         share = min(1.0, b.linked / max(b.chars, 1))
         sentence = b.text[-1] in ".!?:;\"'»”…"
         prose = b.words >= PROSE and sentence and share < PLAIN
+        longer = min(math.log(b.words / PROSE), 2.0) if prose else 0.0
         heading = page.nodes[b.node].name in _HEADINGS
         out.append([
             1.0, tag, name, hint, good, 0.0 if good else share, share if good and share > 0.5 and b.words > 40 else 0.0,
-            min(math.log1p(b.words), 4.0), prose, min(math.log(b.words / PROSE), 2.0) if prose else 0.0, prose and hint,
+            min(math.log1p(b.words), 4.0), prose, longer, longer if hint else 0.0,
             sentence, b.words <= 3 and not heading, heading, b.text[0] == "©" and not good,
         ])
     return out
@@ -106,7 +107,10 @@ class _Maker:
             lambda: f"<form><label>{self.words(1, 3)}</label><input><p>{self.sentence(4, 20)}</p><button>{self.words(1, 2)}</button></form>",
             lambda: f"<footer><p>© {self.words(2, 8)}</p>{self.links(3)}<p>{self.sentence(5, 30)}</p></footer>",
             lambda: f"{self.named('footer', 'copyright', 'legal', 'disclaimer')}© {self.words(3, 12)}</div>",
-            lambda: f"{self.named('legal', 'alert', 'feedback', 'tags')}{self.words(2, 9)}</div>",
+            lambda: f"{self.named('legal', 'notice', 'feedback', 'tags')}{self.words(2, 9)}</div>",
+            lambda: f"<div>© {self.words(1, 12)}{r.choice(['', '.'])}</div>",
+            lambda: f"{self.named('related', 'legal', 'popular', 'disclaimer', 'feedback', 'teaser')}<p>{self.sentence(8, 26)}</p></div>",
+            lambda: f"{self.named('notice', 'alert', 'site-notice')}<p>{self.sentence(6, 60)}</p></div>",
             lambda: f"<div {r.choice(['hidden', 'style="display:none"', 'aria-hidden="true"'])}><p>{self.sentence(5, 40)}</p></div>",
             lambda: f"<header><a href='/'>{self.words(1, 3)}</a><p>{self.words(2, 6)}</p></header>",
         ]
@@ -130,7 +134,7 @@ class _Maker:
             lambda: f"<blockquote>{self.text(self.sentence(5, 40))}</blockquote>",
             lambda: "<table><tr>" + "".join(f"<td>{self.text(self.words(1, 3))}</td>" for _ in range(3)) + "</tr></table>",
             lambda: f"<p>{self.text(self.sentence(1, 5))}</p>",
-            lambda: self.named("legal", "related-work", "alert", "feedback", "popular", "notice-box", "survey", "form") + self.paragraph(40) + "</div>",
+            lambda: self.named("legal", "related-work", "feedback", "popular", "survey", "form", "disclaimer") + self.paragraph(40) + "</div>",
             lambda: r.choice([f"<pre>{self.text(self.words(4, 20))}</pre>", f"<figure><figcaption>{self.text(self.sentence(4, 12))}</figcaption></figure>"]),
         ]
         return r.choice(kinds)() if r.random() < 0.4 else self.paragraph()
@@ -138,7 +142,7 @@ class _Maker:
     def page(self) -> str:
         r = self.r
         if r.random() < 0.1:  # one paragraph in a container that hints at boilerplate
-            body = self.named("related-work", "legal", "alert", "feedback") + self.paragraph(40) + "</div>"
+            body = self.named("related-work", "legal", "feedback") + self.paragraph(40) + "</div>"
         else:
             parts = [f"<h1>{self.text(self.words(2, 9).capitalize())}</h1>"] * (r.random() < 0.8)
             for _ in range(r.randint(2, 9)):
