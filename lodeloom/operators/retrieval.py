@@ -20,6 +20,15 @@ def top_k(df: DataFrame, group: list[str], score: str, ties: list[str], k: int,
     return df.withColumn(rank, place).filter(F.col(rank) <= k)
 
 
+#: Rows that may be sent to every task, so that a large table need not be shuffled to meet them.
+BROADCAST_ROWS = 500_000
+
+
+def beside(rows: DataFrame, table: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows``, ``most`` of them at most, joined to a large table: up to BROADCAST_ROWS go to the table, more are joined by key."""
+    return table.join(F.broadcast(rows), key) if most <= BROADCAST_ROWS else rows.join(table, key)
+
+
 def dense_topk(spark: SparkSession, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """``dense_search`` in the given session."""
     return dense_search(queries, docs, k)
@@ -123,19 +132,20 @@ def retrieve(queries: DataFrame, index: Index, settings: Settings | None = None)
     if s.hybrid and index.lexical:
         found.append(bm25_search(queries.select("query_id", "text"), index, s.candidates))
     shown = index.documents().withColumnRenamed("language", "doc_language")
+    most = queries.count() * s.candidates  # of one list, and of all together after the fusion
     asked = queries.select("query_id", "language", F.coalesce("exclude", F.array().cast("array<long>")).alias("exclude"))
     lists = []
     for hits in found:
         kept = hits.join(asked, "query_id").filter(~F.array_contains("exclude", F.col("doc_id")))
         if s.same_language:
-            kept = kept.join(shown.select("doc_id", "doc_language"), "doc_id").filter(F.col("doc_language") == F.col("language"))
+            kept = beside(kept, shown.select("doc_id", "doc_language"), "doc_id", most).filter(F.col("doc_language") == F.col("language"))
         lists.append(renumber(kept.select("query_id", "doc_id", "score", "rank")))
     ranks = [F.asc_nulls_last(f"rank_{i + 1}") for i in range(len(lists))]
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), *ranks, "doc_id"))
     fused = fuse(lists, s.rrf_k).withColumn("place", place).filter(F.col("place") <= s.candidates).select("query_id", "doc_id", "rrf", "place")
     dense = lists[0].select("query_id", "doc_id", F.round("score", 4).alias("dense"))
     both = fused.join(dense, ["query_id", "doc_id"], "left").withColumn("dense", F.coalesce("dense", F.lit(0.0)))
-    both = both.join(queries.select("query_id", "text", "language", "spans"), "query_id").join(shown, "doc_id")
+    both = beside(both, shown, "doc_id", most).join(queries.select("query_id", "text", "language", "spans"), "query_id")
     judged = F.lower(F.substring(F.trim(F.coalesce("language", F.lit("en"))), 1, 2)).isin(*s.rerank_languages) if s.rerank else F.lit(False)
     score = F.when(judged, F.round(s.scorer(F.col("text"), F.col("body")), 4))
     no_map = F.create_map().cast("map<string,string>")

@@ -115,7 +115,7 @@ def rerank_final(spark: SparkSession, sf: str) -> DataFrame:
     # Each text is read once, not once for each pair that it is in.
     docs = docs.select("doc_id", F.array_distinct(F.transform(T.tokens(F.col("text")), lambda t: F.xxhash64(t))).alias("d"), "source")
     asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("d").alias("q"), F.col("source").alias("qs"))
-    both = hits.join(asked, "query_id").join(docs, "doc_id")
+    both = retrieval.beside(hits, docs, "doc_id", 30 * asked.count()).join(asked, "query_id")
     maps = [F.create_map(F.lit(k), F.col(c)) for k, c in (("intent", "qs"), ("queue", "source"))]
     scored = both.select("query_id", "doc_id", "rrf", retrieval.overlap_score(F.col("q"), F.col("d")).alias("base"), retrieval.aspect_score(*maps).alias("a_score"))
     return retrieval.rerank(scored, 5).select("query_id", "doc_id", "base", "final", "rank")
@@ -229,9 +229,10 @@ def retrieval_summary(spark: SparkSession, sf: str) -> DataFrame:
 def _prompt_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Queries with what BM25 finds for them: ``docs`` array<struct<subject,response>> of up to three others, best first."""
     docs = tickets(spark, sf).select(F.col("idx").alias("doc_id"), F.struct("subject", F.col("body").alias("response")).alias("doc"))
-    hits = retrieval.renumber(_bm25(spark, sf, 4).filter("doc_id <> query_id")).filter("rank <= 3").join(docs, "doc_id")
-    found = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("docs"))
+    few = retrieval.renumber(_bm25(spark, sf, 4).filter("doc_id <> query_id")).filter("rank <= 3")
     asked = with_checklist(tickets(spark, sf).filter("idx % 20 = 0"))
+    hits = retrieval.beside(few, docs, "doc_id", 3 * asked.count())
+    found = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("docs"))
     none = F.array().cast("array<struct<subject:string,response:string>>")
     return asked.join(found.withColumnRenamed("query_id", "idx"), "idx", "left").withColumn("docs", F.coalesce("docs", none))
 
