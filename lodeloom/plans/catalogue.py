@@ -382,7 +382,7 @@ def query_vector_weighted(spark: SparkSession, sf: str) -> DataFrame:
     both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
     mean = both.select("vec_id", V.weighted_mean([(F.col("a"), 2.0), (F.col("b"), 1.5)]).alias("m"))
     sized = mean.select("vec_id", "m", (V.norm(F.col("m")) + 1e-9).alias("s"))
-    return sized.select("vec_id", F.expr("transform(m, x -> round(x / s, 6))").alias("vector"))
+    return sized.select("vec_id", F.transform("m", lambda x: V.round_signed(x / F.col("s"), 6)).alias("vector"))
 
 
 @register("""WITH c AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY 1, 2)
