@@ -20,6 +20,18 @@ def tickets(spark):
     return spark.createDataFrame(rows, "idx long, language string, subject string, body string, answer string, spans map<string,string>")
 
 
+def test_systems_share_their_searches(spark, tmp_path, monkeypatch):
+    index, ran = corpus(spark, f"{tmp_path}/i"), []
+    systems = [runners.system(name, embedder=EMBEDDER) for name in runners.SYSTEMS]
+    alone = {(r["system"], r["idx"]): r for s in systems for r in runners.run(tickets(spark), s, index).collect()}
+    for module in (runners, retrieval):
+        for name in ("dense_search", "bm25_search"):
+            monkeypatch.setattr(module, name, lambda *a, f=getattr(search_index, name), n=name: ran.append(n) or f(*a))
+    got = {(r["system"], r["idx"]): r for r in runners.run_all(tickets(spark), systems, index).collect()}
+    assert got == alone and len(got) == 27
+    assert sorted(ran) == ["bm25_search", "dense_search", "dense_search"]
+
+
 def test_hits_are_read_once(spark, tmp_path):
     index = corpus(spark, f"{tmp_path}/i")
     asked = tickets(spark).select(
