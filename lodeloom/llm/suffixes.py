@@ -295,7 +295,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, least: int = LEAST, gra
     single = _marks(meet(windows, found, ["window"], windows.count()), F.lit(least)).unionByName(near)
     marks = whole.unionByName(single).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
     kind = "array<struct<start:int,stop:int>>"
-    return marks.mapInArrow(_join_spans, f"doc_id long, text_hash long, spans {kind}, later {kind}")
+    spans = scratch.keep(marks.mapInArrow(_join_spans, f"doc_id long, text_hash long, spans {kind}, later {kind}"), "spans")
+    scratch.drop("chosen", "classes", "shared", "opened", "found")
+    return spans
 
 
 def _cut(column: str):

@@ -9,6 +9,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from lodeloom.llm import decontaminate, html, html_costs, language, minhash, packing, quality, rules, suffixes, tokenstore, warc
 from lodeloom.llm import words as w
 from lodeloom.llm.components import components
-from lodeloom.llm.store import Scratch
+from lodeloom.llm.store import CLEANUP, Scratch
 from lodeloom.llm.tokens import Encoder, vocabulary
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -476,6 +477,32 @@ def test_compared_suffixes_tell_the_later_of_equal_documents(spark):
     assert sorted((len(r["spans"]), len(r["later"])) for r in got) == [(1, 0), (1, 1)]
 
 
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(CLEANUP, None)
+    frame = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    table = Scratch(spark, "test").keep(frame, "counts")
+    end = time.time() + 10  # executors delete files after the write's end
+    while (new := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.1)
+    assert not new and spark.conf.get(CLEANUP, None) == setting
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, frame.collect())) and table.count() == 7
+
+
+def test_only_the_spans_of_a_search_for_repeats_stay_on_disk(spark):
+    made = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suffixes, "Scratch", lambda *a: made.append(Scratch(*a)) or made[-1])
+        rows = [(i, f"{prose(6000 + i, 30, 10**6)} {prose(5, 52)}") for i in range(9)]
+        got = suffixes.repeated_spans(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [p.name for p in Path(made[0].root).iterdir()] == ["spans"]
+    assert sorted(len(r["later"]) for r in got.collect()) == [0] + [1] * 8
+
+
 # 6 ------------------------------------------------------------------------------------
 
 
